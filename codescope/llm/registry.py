@@ -7,6 +7,9 @@ import importlib
 #: query: module
 MODULES = {
     "op1_token_output": "token_output",
+    "op4_language_id": "language_id",
+    "op6_ngram_join": "ngram_join",
+    "op7_quality_classifier": "quality_classifier",
     "op9_decontamination": "decontamination",
     "op10_quality_rules": "quality_rules",
 }
