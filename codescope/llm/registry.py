@@ -10,6 +10,7 @@ MODULES = {
     "op4_language_id": "language_id",
     "op6_ngram_join": "ngram_join",
     "op7_quality_classifier": "quality_classifier",
+    "op8_personal_data": "personal_data",
     "op9_decontamination": "decontamination",
     "op10_quality_rules": "quality_rules",
 }
