@@ -75,7 +75,7 @@ def write_file(uri: str, write) -> int:
     """Writes a file under its final name in one go; write gets the open stream. Returns its size."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         write(out)
         return out.tell()
 

@@ -7,7 +7,10 @@ import importlib
 #: query: module
 MODULES = {
     "op1_token_output": "token_output",
+    "op2_mixing": "mixing",
+    "op3_warc_bundles": "warc_bundles",
     "op4_language_id": "language_id",
+    "op5_line_dedup": "line_dedup",
     "op6_ngram_join": "ngram_join",
     "op7_quality_classifier": "quality_classifier",
     "op8_personal_data": "personal_data",
