@@ -1,8 +1,8 @@
 """Quality rules by weak supervision, in DataFrame functions alone.
 
-Every rule votes good (1), bad (-1) or abstains (0). The votes of all documents are counted by pattern of votes, of which
-there are 3 to the power of the number of rules at most; expectation-maximisation over these counts estimates, for good
-and for bad documents, how often each rule casts each vote. The posterior probability that a document is good takes the
+Every rule votes good (1), bad (-1) or abstains (0). The votes of all documents that pass the base rule are counted by pattern of votes, of which
+there are 3 to the power of the number of rules at most; expectation-maximisation over these counts, begun from the documents without a bad vote as good, estimates, for good
+and for bad documents, how often a rule that votes votes bad; abstentions say nothing. The posterior probability that a document is good takes the
 place of a filter that all rules must pass.
 
 Defined results: null, empty and blank texts have no words, fail the base rule and aren't kept; repeated rows count as
@@ -20,6 +20,10 @@ from .common import let, table, word_array
 
 ROUNDS = 20
 KEEP_AT = 0.5
+#: What is assumed of a rule before counting: its share of bad votes on good documents, with the weight of as many votes as it
+#: casts in all, and on bad documents, with the weight of four votes. Where few rules disagree, votes alone can't tell classes apart.
+GOOD_PRIOR = (0.005, lambda cast: cast + 1.0)
+BAD_PRIOR = (0.25, lambda cast: F.lit(4.0))
 #: name: (bad, good) as SQL conditions over the measures of a document; neither: the rule abstains.
 RULES = {
     "length": ("n_words < 50", "n_words >= 100"),
@@ -99,18 +103,27 @@ def posteriors(counts: DataFrame) -> DataFrame:
         return F.aggregate(F.zip_with(ps, q, lambda p, x: F.when(keep(p), p["n"] * x).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
 
     def step(ps: Column):
-        def rates(q: Column) -> Column:
-            """For each rule and vote (bad, none, good): its rate among the documents that q weighs; one is added to each count."""
-            all_ = mass(ps, q, lambda p: F.lit(True))
-            return let(all_, lambda a: F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), lambda j: F.transform(F.array(*(F.lit(v) for v in (-1, 0, 1))), lambda v: (mass(ps, q, lambda p: F.get(p["votes"], j) == v) + 1.0) / (a + 3.0))))
+        def rates(q: Column, bad_rate: float, weight) -> Column:
+            """For each rule: the share of bad votes among the votes it casts on the documents that q weighs, as if weight(votes
+            cast in all) votes more had been cast, of which bad_rate were bad."""
+
+            def of(j: Column) -> Column:
+                more = weight(mass(ps, F.transform(ps, lambda p: F.lit(1.0)), lambda p: F.get(p["votes"], j) != 0))
+                return (mass(ps, q, lambda p: F.get(p["votes"], j) == -1) + bad_rate * more) / (mass(ps, q, lambda p: F.get(p["votes"], j) != 0) + more)
+
+            return F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), of)
 
         def new(q: Column) -> Column:
             rest = F.transform(q, lambda x: 1.0 - x)
-            both = F.struct(rates(q).alias("g"), rates(rest).alias("b"), (mass(ps, q, lambda p: F.lit(True)) + 1.0).alias("ng"), (mass(ps, rest, lambda p: F.lit(True)) + 1.0).alias("nb"))
+            both = F.struct(rates(q, *GOOD_PRIOR).alias("g"), rates(rest, *BAD_PRIOR).alias("b"), (mass(ps, q, lambda p: F.lit(True)) + 1.0).alias("ng"), (mass(ps, rest, lambda p: F.lit(True)) + 1.0).alias("nb"))
 
             def posterior(m: Column) -> Column:
                 def of(p: Column) -> Column:
-                    terms = F.transform(p["votes"], lambda v, j: F.log(F.get(F.get(m["b"], j), v + 1)) - F.log(F.get(F.get(m["g"], j), v + 1)))
+                    def term(v: Column, j: Column) -> Column:
+                        g, b = F.get(m["g"], j), F.get(m["b"], j)
+                        return F.when(v == -1, F.log(b) - F.log(g)).when(v == 1, F.log(1 - b) - F.log(1 - g)).otherwise(F.lit(0.0))
+
+                    terms = F.transform(p["votes"], term)
                     return 1.0 / (1.0 + F.exp(F.aggregate(terms, F.log(m["nb"]) - F.log(m["ng"]), lambda a, x: a + x)))
 
                 return F.transform(ps, of)
@@ -127,13 +140,16 @@ def posteriors(counts: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """docs with measures_, votes_ and p_good_; the table of patterns that is joined has 3 ** rules rows at most."""
     seen = measured(docs).withColumn("votes_", votes())
-    counts = measured(docs.select("text")).select(votes().alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))
+    counts = measured(docs.select("text")).where(~base_failed()).select(votes().alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))
     return seen.join(F.broadcast(posteriors(counts)), "votes_", "left")
 
 
+def base_failed() -> Column:
+    return F.expr("".join(f"measures_.{t}" if t in MEASURES else t for t in _tokens(BASE_FAILED)))
+
+
 def verdict() -> Column:
-    failed = F.expr("".join(f"measures_.{t}" if t in MEASURES else t for t in _tokens(BASE_FAILED)))
-    return ~failed & F.coalesce(F.col("p_good_") >= KEEP_AT, F.lit(False))
+    return ~base_failed() & F.coalesce(F.col("p_good_") >= KEEP_AT, F.lit(False))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -143,8 +159,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("measures_")
-    failed = F.expr("".join(f"measures_.{t}" if t in MEASURES else t for t in _tokens(BASE_FAILED)))
-    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(m[k].alias(k) for k in MEASURES[:5]), failed.alias("base_failed"), verdict().alias("kept"))
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(m[k].alias(k) for k in MEASURES[:5]), base_failed().alias("base_failed"), verdict().alias("kept"))
 
 
 def _rounds_sql() -> str:
@@ -152,7 +167,8 @@ def _rounds_sql() -> str:
     parts = ["q0 AS (SELECT pid, n, CASE WHEN list_contains(votes, -1) THEN 0.1 ELSE 0.95 END AS q FROM pats)"]
     for k in range(1, ROUNDS + 1):
         parts.append(f"t{k} AS MATERIALIZED (SELECT sum(n * q) AS g, sum(n * (1 - q)) AS b FROM q{k - 1})")
-        parts.append(f"r{k} AS MATERIALIZED (SELECT j, v, ln((sum(n * (1 - q)) + 1) / (any_value(b) + 3)) - ln((sum(n * q) + 1) / (any_value(g) + 3)) AS w FROM q{k - 1} JOIN cast_votes USING (pid), t{k} GROUP BY j, v)")
+        parts.append(f"a{k} AS MATERIALIZED (SELECT j, (coalesce(sum(n * q) FILTER (v = -1), 0) + {GOOD_PRIOR[0]} * (sum(n) + 1.0)) / (sum(n * q) + sum(n) + 1.0) AS g, (coalesce(sum(n * (1 - q)) FILTER (v = -1), 0) + {BAD_PRIOR[0]} * 4.0) / (sum(n * (1 - q)) + 4.0) AS b FROM q{k - 1} JOIN cast_votes USING (pid) WHERE v <> 0 GROUP BY j)")
+        parts.append(f"r{k} AS MATERIALIZED (SELECT j, v, CASE WHEN v = -1 THEN ln(b) - ln(g) WHEN v = 1 THEN ln(1 - b) - ln(1 - g) ELSE 0 END AS w FROM (SELECT DISTINCT j, v FROM cast_votes) LEFT JOIN a{k} USING (j))")
         parts.append(f"q{k} AS MATERIALIZED (SELECT pid, any_value(n) AS n, 1 / (1 + exp(sum(w) + any_value(ln(b + 1) - ln(g + 1)))) AS q FROM q{k - 1} JOIN cast_votes USING (pid) JOIN r{k} USING (j, v), t{k} GROUP BY pid)")
     return ",\n".join(parts)
 
@@ -167,9 +183,9 @@ m AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '
  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
  length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(text, '[^.!?]+', '', 'g'))::BIGINT AS n_marks FROM split LEFT JOIN reps USING (r)),
 voted AS (SELECT *, [{", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for bad, good in RULES.values())}] AS votes FROM m),
-pats AS MATERIALIZED (SELECT row_number() OVER (ORDER BY votes) AS pid, votes, n FROM (SELECT votes, count(*)::DOUBLE AS n FROM voted GROUP BY votes)),
+pats AS MATERIALIZED (SELECT row_number() OVER (ORDER BY votes) AS pid, votes, n FROM (SELECT votes, count(*)::DOUBLE AS n FROM voted WHERE NOT ({BASE_FAILED}) GROUP BY votes)),
 cast_votes AS MATERIALIZED (SELECT pid, unnest(range(1, len(votes) + 1)) AS j, unnest(votes) AS v FROM pats),
 {_rounds_sql()}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND q >= {KEEP_AT} AS kept
-FROM voted JOIN pats USING (votes) JOIN q{ROUNDS} USING (pid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND coalesce(q >= {KEEP_AT}, FALSE) AS kept
+FROM voted LEFT JOIN pats USING (votes) LEFT JOIN q{ROUNDS} USING (pid)
 """
