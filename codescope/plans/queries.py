@@ -1,13 +1,617 @@
-"""The registered queries of the engine's own operators and their SQL."""
+"""The registered queries of the engine's own operators and their SQL.
+
+documents stand in for samples (text as code, lang as language, source as generator, quality as label), benchmark for a second
+split, pages for texts with trees, embeddings for vectors and scores. Pattern features run over texts whose characters beyond
+ASCII are folded to x, because the classes of the engines that run the SQL are ASCII only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ast33, lexical44, signature57, stylometric12
+from ..functions.text import ascii_only, clip, normalise
+from ..operators import augment, clean, graph, joins, metrics, models, profile, sampling, submission, vectors
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return d.join(l, "doc_id", "left").select(F.col("doc_id").alias("ID"), F.col("text").alias("code"), F.col("lang").alias("language"), F.col("source").alias("generator"), F.col("quality").alias("label"), F.col("toxic"))
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return samples(spark, sf).where("label IS NOT NULL")
+
+
+def folded(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", ascii_only(F.col("text")).alias("code"))
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*(F.round(F.col(c).cast("double"), places).alias(c) if t in ("double", "float") or t.startswith("decimal") else F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
+
+
+S = "s AS (SELECT d.doc_id AS ID, text AS code, lang AS language, source AS generator, quality AS label, toxic FROM documents d LEFT JOIN labels USING (doc_id)), l AS (SELECT * FROM s WHERE label IS NOT NULL)"
+FOLD = r"f AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS code FROM documents)"
+DRAW = "md5('42|' || ID::VARCHAR)"
+
+
+# ---- cleaning, labels, languages ----
+
+@query(f"WITH {S} SELECT ID, md5(regexp_replace(replace(replace(replace(coalesce(code, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), '    '), '[ \\x0b\\f]+(\\n|$)', '\\1', 'g')) AS code_md5 FROM s")
+def normalised_code(spark, sf):
+    return samples(spark, sf).select("ID", F.md5(normalise(F.col("code"))).alias("code_md5"))
+
+
+@query(f"WITH {S} SELECT ID, label::BIGINT AS label FROM s WHERE code IS NOT NULL AND trim(code, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AND label IS NOT NULL")
+def clean_filter(spark, sf):
+    return rounded(clean.clean(samples(spark, sf)).select("ID", "label"))
+
+
+@query(f"WITH {S} SELECT ID, (CASE WHEN label > 0 THEN 1 ELSE 0 END)::BIGINT AS label FROM l")
+def binarise(spark, sf):
+    return rounded(clean.binarised(labelled(spark, sf)).select("ID", "label"))
+
+
+@query("SELECT DISTINCT label::BIGINT AS label, (dense_rank() OVER (ORDER BY label) - 1)::BIGINT AS idx FROM embeddings")
+def dense_reindex(spark, sf):
+    return rounded(clean.dense_labels(table(spark, sf, "embeddings")))
+
+
+@query("SELECT vec_id, label::BIGINT AS label FROM embeddings WHERE NOT label BETWEEN 0 AND 7")
+def label_range(spark, sf):
+    return rounded(clean.outside(table(spark, sf, "embeddings"), 8).select("vec_id", "label"))
+
+
+@query(f"WITH {S} SELECT ID, CASE label WHEN 0 THEN 'human' ELSE label::VARCHAR END AS label_name FROM l")
+def label_names(spark, sf):
+    return clean.named(labelled(spark, sf), spark.createDataFrame([(0, "human")], "label int, name string")).select("ID", "label_name")
+
+
+@query("SELECT customer.c_custkey, CASE lower(trim(a)) WHEN 'py' THEN 'python' WHEN 'c++' THEN 'cpp' WHEN 'cs' THEN 'c_sharp' WHEN 'golang' THEN 'go' END AS language FROM customer, LATERAL (SELECT ['py', ' C++', 'CS ', 'golang', 'other'][1 + c_custkey % 5] AS a)")
+def language_alias(spark, sf):
+    names = F.array(*map(F.lit, ("py", " C++", "CS ", "golang", "other")))
+    return table(spark, sf, "customer").select("c_custkey", clean.language_alias(F.get(names, F.col("c_custkey") % 5)).alias("language"))
+
+
+DETECT = "CASE WHEN contains(c, '#include') AND (contains(c, 'class') OR contains(c, 'cout') OR contains(c, '::')) THEN 'C++' WHEN contains(c, '#include') THEN 'C' WHEN contains(c, 'System.out') OR contains(c, 'public class') THEN 'Java' WHEN contains(c, '<?php') THEN 'PHP' WHEN contains(c, 'using System') THEN 'C#' WHEN contains(c, 'func main()') OR contains(c, 'package main') THEN 'Go' WHEN contains(c, 'console.log') OR contains(c, 'function ') THEN 'JavaScript' ELSE 'Python' END"
+
+
+@query(f"SELECT page_id, {DETECT} AS detected FROM (SELECT page_id, html AS c FROM pages)")
+def detect_language(spark, sf):
+    return table(spark, sf, "pages").select("page_id", clean.detect_language(F.col("html")).alias("detected"))
+
+
+@query("SELECT page_id, CASE WHEN contains(c, '#include') THEN 'cpp' WHEN contains(c, 'System.out') OR contains(c, 'public class') THEN 'java' WHEN contains(c, '<?php') THEN 'php' WHEN contains(c, 'using System') THEN 'c_sharp' WHEN contains(c, 'func main()') THEN 'go' WHEN contains(c, 'console.log') THEN 'javascript' WHEN contains(c, 'printf(') THEN 'c' ELSE 'python' END AS detected FROM (SELECT page_id, substr(html, 1, 400) AS c FROM pages)")
+def detect_language_head(spark, sf):
+    return table(spark, sf, "pages").select("page_id", clean.detect_language_head(F.col("html")).alias("detected"))
+
+
+@query("SELECT page_id, replace(substr(html, 1, 150), chr(10), ' ') AS preview FROM pages")
+def snippet_preview(spark, sf):
+    return table(spark, sf, "pages").select("page_id", clean.preview(F.col("html")).alias("preview"))
+
+
+@query("SELECT event_id, round(least(1, greatest(0, coalesce(value, 0) / 100)), 6) AS clipped FROM events")
+def clip_scores(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(clip(F.coalesce("value", F.lit(0.0)) / 100), 6).alias("clipped"))
+
+
+# ---- profiles ----
+
+@query(f"WITH {S} SELECT label::BIGINT AS label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM l GROUP BY label")
+def label_counts(spark, sf):
+    return rounded(profile.with_percent(profile.value_counts(labelled(spark, sf), "label")))
+
+
+@query(f"WITH {S} SELECT language, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1 FROM l GROUP BY language")
+def lang_label_crosstab(spark, sf):
+    return profile.crosstab(labelled(spark, sf), "language", "label", [0, 1]).withColumnsRenamed({"0": "label_0", "1": "label_1"})
+
+
+@query(f"WITH {S} SELECT count(DISTINCT generator) AS n_distinct FROM s")
+def distinct_generators(spark, sf):
+    return profile.distinct_count(samples(spark, sf), "generator")
+
+
+@query(f"WITH {S} SELECT language, arg_min(generator, ID) AS first_generator FROM s GROUP BY language")
+def first_generator(spark, sf):
+    return profile.first_by(samples(spark, sf), "language", "generator", "ID")
+
+
+@query(f"WITH {S}, c AS (SELECT language, generator, count(*) AS n FROM s GROUP BY ALL) SELECT language, generator AS mode_generator FROM c QUALIFY row_number() OVER (PARTITION BY language ORDER BY n DESC, generator) = 1")
+def mode_generator(spark, sf):
+    return profile.mode_by(samples(spark, sf), "language", "generator")
+
+
+@query(f"WITH {S} SELECT label::BIGINT AS majority FROM l GROUP BY label ORDER BY count(*) DESC, label LIMIT 1")
+def majority_label(spark, sf):
+    return rounded(profile.majority(labelled(spark, sf)))
+
+
+@query(r"WITH p AS (SELECT length(text) AS c, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS t FROM documents) SELECT min(c)::BIGINT AS chars_min, round(median(c), 6) AS chars_median, round(avg(c), 6) AS chars_mean, max(c)::BIGINT AS chars_max, round(quantile_cont(c, 0.95), 6) AS chars_p95, min(t)::BIGINT AS tokens_min, round(median(t), 6) AS tokens_median, round(avg(t), 6) AS tokens_mean, max(t)::BIGINT AS tokens_max, round(quantile_cont(t, 0.95), 6) AS tokens_p95 FROM p")
+def profile_lengths(spark, sf):
+    return rounded(profile.length_profile(samples(spark, sf)))
+
+
+@query("SELECT " + ", ".join(f"round(avg(CASE WHEN len(string_split(text, chr(10))) <= {k} THEN 100.0 ELSE 0 END), 6) AS at_most_{k}" for k in (5, 10, 20)) + " FROM documents")
+def short_snippets(spark, sf):
+    return rounded(profile.short_snippets(samples(spark, sf)))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT md5(text)) AS n_distinct, count(*) - count(DISTINCT md5(text)) AS n_duplicates FROM documents")
+def dup_counts(spark, sf):
+    return profile.duplicates(samples(spark, sf))
+
+
+def _leak_sql(size: int | None) -> str:
+    h = f"md5(substr(text, 1, {size}))" if size else "md5(text)"
+    return f"WITH t AS (SELECT DISTINCT {h} AS h FROM documents WHERE doc_id % 10 < 7), v AS (SELECT DISTINCT {h} AS h FROM documents WHERE doc_id % 10 >= 7) SELECT count(*) AS n_val, count(t.h) AS n_overlap, round(100.0 * count(t.h) / greatest(count(*), 1), 6) AS percent, count(t.h) * 100.0 / greatest(count(*), 1) > 1 AS warn FROM v LEFT JOIN t USING (h)"
+
+
+def _leak(spark, sf, size):
+    s = samples(spark, sf)
+    return rounded(profile.leakage(s.where("ID % 10 < 7"), s.where("ID % 10 >= 7"), size))
+
+
+@query(_leak_sql(None))
+def full_leakage(spark, sf):
+    return _leak(spark, sf, None)
+
+
+@query(_leak_sql(200))
+def prefix_leakage_200(spark, sf):
+    return _leak(spark, sf, 200)
+
+
+@query(_leak_sql(1000))
+def prefix_leakage_1000(spark, sf):
+    return _leak(spark, sf, 1000)
+
+
+@query("SELECT label::BIGINT AS label FROM embeddings INTERSECT SELECT quality FROM labels")
+def common_labels(spark, sf):
+    return rounded(profile.common(table(spark, sf, "embeddings"), table(spark, sf, "labels").select(F.col("quality").alias("label")), "label"))
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_ids(spark, sf):
+    return profile.missing(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("SELECT item_id AS ID, text AS code, NULL::VARCHAR AS language FROM benchmark UNION ALL SELECT doc_id, text, lang FROM documents")
+def union_splits(spark, sf):
+    return profile.union(table(spark, sf, "benchmark").select(F.col("item_id").alias("ID"), F.col("text").alias("code")), samples(spark, sf).select("ID", "code", "language"))
+
+
+@query("SELECT event_type AS label, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(median(value), 6) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def score_stats(spark, sf):
+    return rounded(profile.score_stats(table(spark, sf, "events").withColumnRenamed("event_type", "label"), "value"))
+
+
+@query("WITH p AS (SELECT list_max(list_transform(embedding, lambda x: x::DOUBLE)) AS c FROM embeddings) SELECT round(avg(c), 6) AS mean, round(median(c), 6) AS median, round(min(c), 6) AS least FROM p")
+def confidence_stats(spark, sf):
+    return rounded(profile.confidence_stats(table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("p")), "p"))
+
+
+@query("WITH m AS (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS s FROM lineitem) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round((l_quantity - a) / s, 6) AS q FROM lineitem, m")
+def standard_scaler(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    return rounded(profile.scaled(li, profile.scaler(li, ["q"]), ["q"]))
+
+
+def _weights_sql(raw: str, out: str, where: str = "TRUE") -> str:
+    return f"WITH c AS (SELECT l::BIGINT AS label, count(e.label) AS n FROM range(12) t(l) LEFT JOIN embeddings e ON e.label = l GROUP BY l), r AS (SELECT *, {raw} AS raw FROM c WHERE {where}) SELECT label, n, round({out}, 6) AS weight FROM r"
+
+
+@query(_weights_sql("1.0 / greatest(n, 1)", "raw / avg(raw) OVER ()"))
+def class_weights_inv(spark, sf):
+    return rounded(profile.class_weights(table(spark, sf, "embeddings"), 12))
+
+
+@query(_weights_sql("sum(n) OVER () / 12.0 / greatest(n, 1)", "raw / sum(raw) OVER () * 12"))
+def class_weights_total(spark, sf):
+    return rounded(profile.class_weights(table(spark, sf, "embeddings"), 12, "total"))
+
+
+@query(_weights_sql("sum(n) OVER () / (count(*) OVER () * n)", "raw", "n > 0"))
+def class_weights_balanced(spark, sf):
+    return rounded(profile.class_weights(table(spark, sf, "embeddings"), 12, "balanced"))
+
+
+# ---- sampling ----
+
+RANKED = f"row_number() OVER (PARTITION BY {{}} ORDER BY {DRAW}, ID)"
+
+
+@query(f"WITH {S} SELECT ID FROM s ORDER BY {DRAW}, ID LIMIT 100")
+def sample_rows(spark, sf):
+    return sampling.sample_rows(samples(spark, sf), 100).select("ID")
+
+
+@query(f"WITH {S}, c AS (SELECT count(DISTINCT language) * count(DISTINCT label) AS k FROM l) SELECT ID, language, label::BIGINT AS label FROM l, c QUALIFY {RANKED.format('language, label')} <= greatest(200 // k // 50 * 50, 50)")
+def cap_lang_label(spark, sf):
+    return rounded(sampling.balanced(labelled(spark, sf), ["language", "label"], 200).select("ID", "language", "label"))
+
+
+@query(f"WITH {S}, c AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM s GROUP BY language)) SELECT ID, language FROM s, c QUALIFY {RANKED.format('language')} <= least")
+def equal_languages(spark, sf):
+    return sampling.equal_groups(samples(spark, sf), "language").select("ID", "language")
+
+
+@query(f"WITH RECURSIVE {S}, c AS (SELECT language, count(*) AS n, row_number() OVER (ORDER BY count(*), language) AS k, count(*) OVER () AS m FROM s GROUP BY language), w AS (SELECT 0 AS k, ''::VARCHAR AS language, 500::BIGINT AS rest, 0::BIGINT AS keep UNION ALL SELECT c.k, c.language, rest - least(n, rest // (m - c.k + 1)), least(n, rest // (m - c.k + 1)) FROM w JOIN c ON c.k = w.k + 1) SELECT ID, s.language FROM s JOIN w USING (language) QUALIFY {RANKED.format('s.language')} <= keep")
+def waterfill(spark, sf):
+    return sampling.water_filled(samples(spark, sf), 500, "language").select("ID", "language")
+
+
+@query(f"WITH {S}, c AS (SELECT generator, count(*) AS n, sum(count(*)) OVER () AS t FROM s GROUP BY generator) SELECT ID, s.generator FROM s JOIN c USING (generator) QUALIFY {RANKED.format('s.generator')} <= greatest(1, floor(n * 130 / t))")
+def proportional_sample(spark, sf):
+    return sampling.proportional(samples(spark, sf), 130, "generator").select("ID", "generator")
+
+
+@query(f"WITH {S}, r AS (SELECT ID, {RANKED.format('label')} AS r, count(*) OVER (PARTITION BY label) AS n FROM l) SELECT ID, CASE WHEN r <= round(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM r")
+def split_70_30(spark, sf):
+    return sampling.stratified_split(labelled(spark, sf)).select("ID", "split")
+
+
+# ---- joins ----
+
+@query("SELECT l.doc_id, l.quality::BIGINT AS quality_true, (d.doc_id % 2)::BIGINT AS quality_pred FROM documents d JOIN labels l USING (doc_id)")
+def join_predictions(spark, sf):
+    p = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    return rounded(joins.suffixed(p, table(spark, sf, "labels").select("doc_id", "quality"), "doc_id"))
+
+
+@query("SELECT d.doc_id, coalesce(quality, 0)::BIGINT AS quality FROM documents d LEFT JOIN labels USING (doc_id)")
+def lookup_default(spark, sf):
+    return rounded(joins.lookup(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id", "quality", 0))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * 2, 6) AS total, 128::BIGINT AS size FROM embeddings")
+def stack_vectors(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("probs"))
+    return rounded(joins.stacked_probabilities("vec_id", e, e).select("vec_id", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("features").alias("size")))
+
+
+@query("WITH e AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT label::BIGINT AS label, i::BIGINT AS i, round(avg(v[i + 1]), 6) AS x FROM e, range(64) t(i) GROUP BY label, i")
+def mean_pool(spark, sf):
+    e = table(spark, sf, "embeddings").groupBy("label").agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("v"))
+    pooled = e.select("label", F.posexplode(joins.mean_pool(F.col("v"), F.transform("v", lambda x: F.lit(1.0)), 64)).alias("i", "x"))
+    return rounded(pooled)
+
+
+# ---- features ----
+
+def _lexical(*groups):
+    return lambda spark, sf: rounded(lexical44.with_lexical44(folded(spark, sf), "code", groups).drop("code"))
+
+
+def _sql_count(pattern: str, flags: str = "", text: str = "code") -> str:
+    quoted = pattern.replace("'", "''")
+    return f"len(regexp_extract_all({text}, '(?{flags}{'' if 's' in flags else '-s'}){quoted}'))"
+
+
+def _put(name: str, f, sql: str | None = None) -> None:
+    f.__name__ = name
+    query(sql)(f)
+
+
+_lines = "string_split(code, chr(10))"
+_put("feat_length", _lexical("length"), f"WITH {FOLD}, p AS (SELECT doc_id, code, list_transform({_lines}, lambda x: length(x)) AS n FROM f) SELECT doc_id, length(code)::DOUBLE AS total_chars, len(n)::DOUBLE AS total_lines, round(list_avg(n), 6) AS avg_line_length, list_max(n)::DOUBLE AS max_line_length, CASE WHEN len(n) < 2 THEN 0 ELSE round(list_stddev_samp(n), 6) END AS std_line_length, round(list_median(n), 6) AS median_line_length FROM p")
+_put("feat_whitespace", _lexical("whitespace"), f"WITH {FOLD}, p AS (SELECT doc_id, {_lines} AS ls, list_transform({_lines}, lambda x: length(x) - length(ltrim(x, ' ' || chr(9)))) AS n FROM f) SELECT doc_id, round(list_avg(n), 6) AS avg_indent, list_max(n)::DOUBLE AS max_indent, CASE WHEN len(n) < 2 THEN 0 ELSE round(list_stddev_samp(n), 6) END AS std_indent, round(len(list_filter(ls, lambda x: trim(x) = '')) / len(ls), 6) AS blank_line_ratio, round(len(list_filter(ls, lambda x: x <> rtrim(x))) / len(ls), 6) AS trailing_ws_ratio FROM p")
+_TOK = f"regexp_extract_all(code, '{lexical44.TOKEN}')"
+_put("feat_lexical", _lexical("lexical"), f"WITH {FOLD}, p AS (SELECT doc_id, {_TOK} AS t FROM f), q AS (SELECT *, list_transform(list_filter(t, lambda x: regexp_matches(x, '^[A-Za-z_]')), lambda x: length(x)) AS n, len(list_filter(t, lambda x: list_contains([{', '.join(repr(k) for k in lexical44.KEYWORDS)}], lower(x)))) AS k FROM p) SELECT doc_id, len(t)::DOUBLE AS total_tokens, round(len(list_distinct(t)) / greatest(len(t), 1), 6) AS unique_token_ratio, round(coalesce(list_avg(n), 0), 6) AS avg_identifier_length, CASE WHEN len(n) < 2 THEN 0 ELSE round(list_stddev_samp(n), 6) END AS std_identifier_length, round(len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]'))) / greatest(len(t), 1), 6) AS number_ratio, len(n)::DOUBLE AS identifier_count, k::DOUBLE AS keyword_count, round(k / greatest(len(n), 1), 6) AS keyword_to_identifier_ratio FROM q")
+_MULTI = " + ".join(_sql_count(p, "s") for p in (r"/\*.*?\*/", '""".*?"""', "'''.*?'''"))
+_put("feat_comment", _lexical("comment"), f"WITH {FOLD}, p AS (SELECT doc_id, len({_lines}) AS n, {_sql_count(lexical44.COMMENT_LINE, 'm')} AS c, {_sql_count(lexical44.COMMENT_INLINE)} AS i, {_MULTI} AS m FROM f) SELECT doc_id, round(c / n, 6) AS comment_line_ratio, round(i / n, 6) AS inline_comment_ratio, m::DOUBLE AS multi_line_comment_count, round((c + m) / n, 6) AS comment_to_code_ratio FROM p")
+_put("feat_brace_depth", lambda spark, sf: rounded(lexical44.with_lexical44(table(spark, sf, "events").select("event_id", F.coalesce("props", F.lit("")).alias("code")), "code", ("structure",)).select("event_id", "max_brace_depth", "avg_brace_depth")), "WITH RECURSIVE e AS (SELECT event_id, coalesce(props, '') AS code FROM events), w AS (SELECT event_id, code, 0 AS i, 0 AS d, 0 AS most, 0 AS area FROM e UNION ALL SELECT event_id, code, i + 1, x, greatest(most, x), area + x FROM (SELECT *, CASE code[i + 1] WHEN '{' THEN d + 1 WHEN '}' THEN greatest(d - 1, 0) ELSE d END AS x FROM w WHERE i < length(code))) SELECT event_id, most::DOUBLE AS max_brace_depth, CASE WHEN length(code) = 0 THEN 0 ELSE round(area / length(code), 6) END AS avg_brace_depth FROM w WHERE i = length(code)")
+_put("feat_structure", lambda spark, sf: rounded(lexical44.with_lexical44(folded(spark, sf), "code", ("structure",)).select("doc_id", "func_count", "import_count")), f"WITH {FOLD} SELECT doc_id, {_sql_count(lexical44.FUNCTION)}::DOUBLE AS func_count, {_sql_count(lexical44.IMPORT, 'm')}::DOUBLE AS import_count FROM f")
+_put("feat_control", _lexical("control"), f"WITH {FOLD}, p AS (SELECT doc_id, {_sql_count(lexical44.CONTROL, 'i')} AS a, {_sql_count(lexical44.LOOP, 'i')} AS b, {_sql_count(lexical44.CONDITION, 'i')} AS c, len({_TOK}) AS n, {' + '.join(_sql_count(t, 'i') for t in lexical44.TEMPLATES)} AS t, regexp_extract_all(code, '{lexical44.CALLED}', 1) AS calls, regexp_extract_all(code, '(?i){lexical44.DECLARED}', 1) AS names FROM f) SELECT doc_id, a::DOUBLE AS control_flow_count, b::DOUBLE AS loop_count, c::DOUBLE AS conditional_count, round(a / greatest(n, 1), 6) AS control_flow_density, len(list_filter(names, lambda x: len(list_filter(calls, lambda y: y = x)) > 1))::DOUBLE AS recursive_like_count, t::DOUBLE AS template_like_count FROM p")
+_part = lambda *c: " + ".join(f"length(code) - length(replace(code, '{x}', ''))" for x in c)
+_put("feat_punct", _lexical("punctuation"), f"WITH {FOLD} SELECT doc_id, " + ", ".join(f"round(({_part(*c)}) / greatest(length(code), 1), 6) AS {n}" for n, c in (("brace_ratio", "{}"), ("bracket_ratio", "[]"), ("paren_ratio", "()"), ("semicolon_density", ";"), ("comma_density", ","))) + f", len(list_distinct(regexp_extract_all(code, '{lexical44.OPERATORS}')))::DOUBLE AS operator_diversity FROM f")
+
+
+def _entropy_sql(items: str) -> str:
+    return f"WITH {FOLD}, x AS (SELECT doc_id, unnest({items}) AS x FROM f), c AS (SELECT doc_id, x, count(*) AS c FROM x GROUP BY ALL), h AS (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM c GROUP BY doc_id) SELECT doc_id, round(coalesce(h, 0), 6) AS {{}} FROM documents LEFT JOIN h USING (doc_id)"
+
+
+for _name, _items in (("char_entropy", "string_split(code, '')"), ("token_entropy", _TOK), ("bigram_entropy", "list_transform(range(1, length(code)), lambda i: code[i:i + 1])")):
+    _put(_name, lambda spark, sf, n=_name: rounded(lexical44.with_lexical44(folded(spark, sf), "code", ("entropy",)).select("doc_id", n)), _entropy_sql(_items).replace("{}", _name))
+_put("line_repetition", _lexical("repetition"), f"WITH {FOLD}, p AS (SELECT doc_id, len({_lines}) AS n, list_filter(list_transform({_lines}, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS s FROM f), u AS (SELECT doc_id, count(*) AS again FROM (SELECT doc_id, x FROM (SELECT doc_id, unnest(s) AS x FROM p) GROUP BY doc_id, x HAVING count(*) > 1) GROUP BY doc_id) SELECT doc_id, round(coalesce(again, 0) / greatest(n, 1), 6) AS duplicate_line_ratio, round(len(list_distinct(s)) / greatest(len(s), 1), 6) AS unique_line_ratio FROM p LEFT JOIN u USING (doc_id)")
+
+
+def _signature_sql(name: str) -> str:
+    n, size = f"(len({_lines}) + 1)", "(length(code) + 1.0)"
+    for other, pattern, flags, by in signature57.COUNTED:
+        if other == name:
+            c = _sql_count(pattern, flags)
+            value = f"CASE WHEN {c} > 0 THEN 1.0 ELSE 0.0 END" if by == signature57.HAS else f"{c} / {n}" if by == signature57.LINES else f"{c} / ({size} / {by})"
+            break
+    else:
+        count = lambda p, fl="": _sql_count(p, fl)
+        value = {
+            "deepseek_clean_structure": f"len(list_filter({_lines}, lambda x: x = rtrim(x))) / {n}", "llama_clear_separation": f"len(list_filter({_lines}, lambda x: trim(x) = '')) / {n}",
+            "gemma_standard_patterns": "CASE WHEN contains(code, 'import') AND contains(code, chr(10) || chr(10)) THEN 0.7 ELSE 0.5 END", "mistral_minimal_comments": f"1.0 - {count(r'\s+#\s+\w+')} / {n}",
+            "ai_consistent_style": f"greatest({count(signature57.SNAKE)}, {count(signature57.CAMEL)}) / ({count(signature57.SNAKE)} + {count(signature57.CAMEL)} + 1)",
+            "ai_over_engineering": f"({count(signature57.CLASS)} + {count(signature57.DEF)}) / {n}", "ai_no_dead_code": f"1.0 - least({count(signature57.DEAD, 'm')} / {n}, 1.0)",
+        }[name]
+    return f"CASE WHEN code = '' THEN 0.0 ELSE round(greatest(0.0, least(1.0, {value})), 6) END::DOUBLE AS {name}"
+
+
+for _family in signature57.FAMILIES:
+    _names = [n for n in signature57.NAMES if n.startswith(_family + "_") and n != "ai_uniform_complexity"]
+    _put(f"signature_{_family}", lambda spark, sf, f=_family, ns=tuple(_names): rounded(signature57.with_signature57(folded(spark, sf), "code", (f,)).select("doc_id", *ns)), f"WITH {FOLD} SELECT doc_id, " + ", ".join(map(_signature_sql, _names)) + " FROM f")
+
+
+@query()
+def signature_scores(spark, sf):
+    return rounded(signature57.family_scores(signature57.with_signature57(folded(spark, sf))).select("doc_id", "ai_uniform_complexity", *(f"score_{'ai_generic' if f == 'ai' else f}" for f in signature57.FAMILIES)))
+
+
+@query()
+def stylometric(spark, sf):
+    return rounded(stylometric12.with_stylometric12(table(spark, sf, "documents").select("doc_id", F.col("text").alias("code"))).drop("code"))
+
+
+_marks = " + ".join(f"(length(upper(code)) - length(replace(upper(code), '{m}', ''))) / {len(m)}" for m in stylometric12.MARKERS)
+_put("human_markers", lambda spark, sf: rounded(stylometric12.with_stylometric12(folded(spark, sf), "code", ("human_markers",)).drop("code")), f"WITH {FOLD}, p AS (SELECT doc_id, {_marks} AS m, len(list_filter({_lines}, lambda x: trim(x) <> '')) AS n FROM f) SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE round(least(1.0, m / (n * 0.1)), 6) END::DOUBLE AS human_markers FROM p")
+_put("line_variation", lambda spark, sf: rounded(stylometric12.with_stylometric12(folded(spark, sf), "code", ("line_length_variation",)).drop("code")), f"WITH {FOLD}, p AS (SELECT doc_id, list_transform(list_filter({_lines}, lambda x: trim(x) <> ''), lambda x: length(x)) AS n FROM f) SELECT doc_id, CASE WHEN len(n) < 2 THEN 0 ELSE round(least(1.0, list_stddev_pop(n) / list_avg(n)), 6) END::DOUBLE AS line_length_variation FROM p")
+_put("token4", lambda spark, sf: rounded(stylometric12.with_token4(folded(spark, sf)).drop("code")), f"WITH {FOLD}, p AS (SELECT doc_id, {_lines} AS ls, list_transform(regexp_extract_all(code, '{stylometric12.IDENTIFIER}'), lambda x: length(x)) AS n, list_distinct(regexp_extract_all(code, '[+\\-*/%=<>!&|^~]+')) AS o FROM f), q AS (SELECT *, list_transform(list_filter(ls, lambda x: trim(x) <> ''), lambda x: length(x) - length(ltrim(x))) AS i FROM p) SELECT doc_id, round(coalesce(list_avg(n), 0) / 20, 6) AS token_name_length, round(len(list_filter(ls, lambda x: regexp_matches(trim(x), '^(//|#|/\\*|\\*)'))) / len(ls), 6) AS token_comment_ratio, CASE WHEN len(i) < 2 THEN 0 ELSE round(least(1.0, list_var_pop(i) / 100), 6) END::DOUBLE AS token_indent_variance, round(least(1.0, len(o) / 20), 6) AS token_operators FROM q")
+
+
+@query()
+def ast_features(spark, sf):
+    df = table(spark, sf, "pages").select("page_id", F.col("html").alias("code"), F.lit("html").alias("language"))
+    return rounded(ast33.with_ast33(df).drop("code", "language"))
+
+
+# ---- vectors and language model ----
+
+_COUNTS = f"WITH t AS (SELECT doc_id AS ID, unnest(regexp_extract_all(lower(code), '{vectors.TOKEN}')) AS term FROM f), c AS (SELECT ID, term, count(*) AS tf FROM t GROUP BY ALL), top AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 100), v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM top)".replace("WITH ", f"WITH {FOLD}, ", 1)
+
+
+@query(_COUNTS + " SELECT term, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS term_id, round(idf, 6) AS idf FROM v")
+def tfidf_top(spark, sf):
+    return rounded(vectors.fit_tfidf(folded(spark, sf), id_="doc_id"))
+
+
+@query(_COUNTS + ", w AS (SELECT ID, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term)) SELECT ID AS doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY ID)), 6) AS weight FROM w")
+def tfidf_weights(spark, sf):
+    f = folded(spark, sf)
+    return rounded(vectors.tfidf(f, vectors.fit_tfidf(f, id_="doc_id"), id_="doc_id").select("doc_id", "term", "weight"))
+
+
+@query(f"WITH {FOLD}, t AS (SELECT doc_id, regexp_extract_all(lower(code), '{vectors.TOKEN}') AS t FROM f), b AS (SELECT doc_id, unnest(['<s>'] || t[1:len(t) - 1]) AS a, unnest(t) AS b FROM t WHERE len(t) > 0), p AS (SELECT a, b, count(*) AS n FROM b WHERE doc_id % 2 = 0 GROUP BY ALL), x AS (SELECT a, sum(n) AS na FROM p GROUP BY a), v AS (SELECT count(DISTINCT b) AS v FROM p), o AS (SELECT doc_id, a, b, count(*) AS c FROM b GROUP BY ALL), r AS (SELECT doc_id, exp(sum(-ln((coalesce(n, 0) + 1.0) / (coalesce(na, 0) + v + 1.0)) * c) / sum(c)) AS p FROM o LEFT JOIN p USING (a, b) LEFT JOIN x USING (a), v GROUP BY doc_id) SELECT documents.doc_id, round(coalesce(p, 'inf'::DOUBLE), 4) AS perplexity FROM documents LEFT JOIN r USING (doc_id)")
+def ngram_ppl(spark, sf):
+    f = folded(spark, sf)
+    return rounded(vectors.perplexity(f, vectors.fit_bigram_lm(f.where("doc_id % 2 = 0"), id_="doc_id"), id_="doc_id"), 4)
+
+
+@query("WITH n AS (SELECT doc_id, length(text) AS n FROM documents), k AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 0 THEN 0 WHEN n <= 512 THEN 1 ELSE ceil((n - 512) / 256.0)::BIGINT + 1 END)) AS k FROM n) SELECT doc_id, k * 256 AS \"begin\", least(k * 256 + 512, n) AS \"end\", least(k * 256 + 512, n) - CASE WHEN k = 0 THEN 0 ELSE least((k - 1) * 256 + 512, n) END AS target FROM k")
+def sliding_windows(spark, sf):
+    return rounded(table(spark, sf, "documents").select("doc_id", F.explode(vectors.windows(F.length("text"))).alias("w")).select("doc_id", "w.*"))
+
+
+# ---- models and metrics ----
+
+def predictions(spark, sf):
+    """Truth is the label of a vector; the prediction its first largest of ten components."""
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("ID"), F.col("label").cast("int").alias("label"), metrics.argmax(F.slice(F.col("embedding").cast("array<double>"), 1, 10)).alias("prediction"))
+
+
+P = "v AS (SELECT vec_id AS ID, label::INTEGER AS label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT ID, label, list_position(e, list_max(e)) - 1 AS prediction FROM v)"
+M = P + ", g AS (SELECT DISTINCT unnest([label, prediction]) AS l FROM p), r AS (SELECT l, count(*) FILTER (label = l) AS support, count(*) FILTER (prediction = l) AS predicted, count(*) FILTER (label = l AND prediction = l) AS hit FROM p, g GROUP BY l), q AS (SELECT *, CASE WHEN predicted = 0 THEN 0 ELSE hit / predicted END AS pr, CASE WHEN support = 0 THEN 0 ELSE hit / support END AS re FROM r), f AS (SELECT *, CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END AS f1 FROM q)"
+
+
+@query(f"WITH {P} SELECT ID, prediction::BIGINT AS prediction, round(list_max(e), 6) AS top FROM p JOIN v USING (ID)")
+def softmax_argmax(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ID"), F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("e"))
+    return rounded(e.select("ID", metrics.argmax(F.col("e")).alias("prediction"), F.array_max("e").alias("top")))
+
+
+@query("WITH v AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE)) AS e FROM embeddings) SELECT vec_id, i::BIGINT AS i, round(e[i + 1] / list_sum(e), 6) AS p FROM v, range(10) t(i)")
+def softmax(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(metrics.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 10))).alias("i", "p"))
+    return rounded(e)
+
+
+@query("WITH v AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, label, i, greatest(e[i + 1] / list_sum(e), 1e-12) AS p FROM v, range(10) t(i)) SELECT vec_id, round(sum(-(0.01 + CASE WHEN i = label THEN 0.9 ELSE 0 END) * ln(p) * pow(1 - p, 2)), 6) AS loss FROM p GROUP BY vec_id")
+def focal_loss(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", metrics.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 10)).alias("p"))
+    return rounded(e.select("vec_id", metrics.focal_loss(F.col("p"), F.col("label").cast("int")).alias("loss")))
+
+
+@query(f"WITH {P}, g AS (SELECT DISTINCT unnest([label, prediction]) AS l FROM p) SELECT t.l::BIGINT AS truth, q.l::BIGINT AS pred, count(ID) AS n FROM g t CROSS JOIN g q LEFT JOIN p ON label = t.l AND prediction = q.l GROUP BY t.l, q.l")
+def confusion(spark, sf):
+    return rounded(metrics.confusion(predictions(spark, sf)))
+
+
+@query(f"WITH {P}, g AS (SELECT DISTINCT unnest([label, prediction]) AS l FROM p), c AS (SELECT t.l AS truth, q.l AS pred, count(ID) AS n FROM g t CROSS JOIN g q LEFT JOIN p ON label = t.l AND prediction = q.l GROUP BY t.l, q.l) SELECT truth::BIGINT AS truth, pred::BIGINT AS pred, n, CASE WHEN sum(n) OVER (PARTITION BY truth) = 0 THEN 0 ELSE round(n / sum(n) OVER (PARTITION BY truth), 6) END AS share FROM c")
+def confusion_normalised(spark, sf):
+    return rounded(metrics.normalised_confusion(metrics.confusion(predictions(spark, sf))))
+
+
+@query(f"WITH {M} SELECT l::BIGINT AS label, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1, support FROM f")
+def class_report(spark, sf):
+    return rounded(metrics.report(metrics.confusion(predictions(spark, sf))).drop("hit"))
+
+
+@query(f"WITH {M} SELECT round(sum(hit) / sum(support), 6) AS accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, round(avg(re) FILTER (support > 0), 6) AS balanced_accuracy FROM f")
+def summary_metrics(spark, sf):
+    return rounded(metrics.summary(metrics.confusion(predictions(spark, sf))))
+
+
+@query(f"WITH {S}, m AS (SELECT label AS m FROM l GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), a AS (SELECT avg(CASE WHEN label = m THEN 1.0 ELSE 0 END) AS a, count(DISTINCT label) AS k FROM l, m) SELECT round(a, 6) AS accuracy, round(2 * a / (1 + a) / k, 6) AS macro_f1 FROM a")
+def majority_baseline(spark, sf):
+    return rounded(metrics.baseline(labelled(spark, sf)).select("accuracy", "macro_f1"))
+
+
+@query(f"WITH {P} SELECT ID, label::BIGINT AS label, prediction::BIGINT AS prediction, row_number() OVER (PARTITION BY label ORDER BY ID) AS place FROM p WHERE label <> prediction QUALIFY place <= 5")
+def errors_top5(spark, sf):
+    return rounded(metrics.errors_per_class(predictions(spark, sf)).drop("correct"))
+
+
+def scores(spark, sf):
+    return labelled(spark, sf).select("ID", F.length("code").cast("double").alias("score"), "label")
+
+
+R = f"{S}, b AS (SELECT length(code)::DOUBLE AS score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS m FROM l GROUP BY 1), t AS (SELECT score, p, m, sum(p) OVER (ORDER BY score DESC) AS tp, sum(m) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS pos, sum(m) OVER () AS neg FROM b)"
+
+
+@query(f"WITH {R} SELECT score, round(tp / pos, 6) AS tpr, round(fp / neg, 6) AS fpr FROM t")
+def roc_curve(spark, sf):
+    return rounded(metrics.roc(scores(spark, sf), "score").select("score", "tpr", "fpr"))
+
+
+@query(f"WITH {R} SELECT round(sum(p * (neg - fp + m / 2)) / any_value(pos * neg), 6) AS auc FROM t")
+def roc_auc(spark, sf):
+    return rounded(metrics.auc(scores(spark, sf), "score"))
+
+
+@query(f"WITH {R} SELECT score AS threshold, round(tp / pos, 6) AS tpr, round(fp / neg, 6) AS fpr, round(tp / pos - fp / neg, 6) AS j FROM t ORDER BY tp / pos - fp / neg DESC, score DESC LIMIT 1")
+def youden(spark, sf):
+    return rounded(metrics.youden(scores(spark, sf), "score"))
+
+
+@query(f"WITH {R}, f AS (SELECT score, (2.0 * tp / (2 * tp + fp + pos - tp) + CASE WHEN 2 * (neg - fp) + fp + pos - tp = 0 THEN 0 ELSE 2.0 * (neg - fp) / (2 * (neg - fp) + fp + pos - tp) END) / 2 AS f FROM t) SELECT score AS threshold, round(f, 6) AS macro_f1 FROM f ORDER BY f DESC, score DESC LIMIT 1")
+def threshold_f1(spark, sf):
+    return rounded(metrics.best_f1_threshold(scores(spark, sf), "score"))
+
+
+@query(f"WITH {S} SELECT ID, CASE WHEN length(code) < 1000 THEN 1 ELSE 0 END::BIGINT AS prediction FROM l")
+def threshold_classifier(spark, sf):
+    return rounded(metrics.threshold_predictions(scores(spark, sf), "score", 1000.0).select("ID", "prediction"))
+
+
+@query("WITH h AS (SELECT o_custkey % 40 AS epoch, round(avg(o_totalprice)::DOUBLE, 2) AS val_f1 FROM orders GROUP BY 1), b AS (SELECT *, max(val_f1) OVER (ORDER BY epoch) AS best, max(val_f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h), w AS (SELECT *, before IS NULL OR val_f1 > before AS improved FROM b), x AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch) AS wait FROM w) SELECT epoch, val_f1, best, improved, wait, max(CASE WHEN wait >= 3 THEN 1 ELSE 0 END) OVER (ORDER BY epoch) = 1 AS stopped FROM x")
+def best_epoch(spark, sf):
+    h = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 40).alias("epoch")).agg(F.round(F.avg(F.col("o_totalprice").cast("double")), 2).alias("val_f1"))
+    return metrics.best_epoch(h)
+
+
+@query("SELECT doc_id AS ID, coalesce(quality, (SELECT quality FROM labels GROUP BY quality ORDER BY count(*) DESC, quality LIMIT 1))::BIGINT AS label FROM documents LEFT JOIN labels USING (doc_id)")
+def submission_rows(spark, sf):
+    s = samples(spark, sf)
+    return rounded(submission.submission(s, s.where("label IS NOT NULL").select("ID", F.col("label").alias("prediction"))))
+
+
+@query("SELECT * FROM (VALUES ('columns', 0::BIGINT), ('duplicate_ids', (SELECT count(*) FROM (SELECT 1 FROM labels GROUP BY doc_id HAVING count(*) > 1))), ('null_labels', (SELECT count(*) FROM labels WHERE quality IS NULL)), ('missing_ids', (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))), ('extra_ids', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))), ('invalid_labels', (SELECT count(*) FROM labels WHERE NOT quality BETWEEN 0 AND 1)), ('row_count', (SELECT abs((SELECT count(*) FROM labels) - (SELECT count(*) FROM documents))))) t(\"check\", violations)")
+def submission_checks(spark, sf):
+    s = table(spark, sf, "labels").select(F.col("doc_id").alias("ID"), F.col("quality").alias("label"))
+    return submission.checks(s, table(spark, sf, "documents").select(F.col("doc_id").alias("ID")), 2)
+
+
+# ---- trees ----
+
+def tree(spark, sf, **how):
+    return graph.nodes(table(spark, sf, "pages"), "html", "page_id", F.lit("html"), **how)
+
+
+@query()
+def html_nodes(spark, sf):
+    return graph.subtree_sizes(graph.truncated(tree(spark, sf), 64)).select("sample_id", "node_id", "parent_id", "type", "subtree")
+
+
+@query()
+def html_features(spark, sf):
+    return rounded(graph.structural_features(graph.truncated(tree(spark, sf))))
+
+
+def _star(spark, sf):
+    """Orders as trees: the order is the root, its lines the leaves."""
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").cast("int").alias("node_id"), F.lit(0).alias("parent_id"), F.col("l_linenumber").cast("int").alias("child_pos"), F.col("l_partkey").cast("int").alias("start"), F.col("l_returnflag").alias("type"))
+    o = l.select("sample_id").distinct().select("sample_id", F.lit(0).alias("node_id"), F.lit(-1).alias("parent_id"), F.lit(0).alias("child_pos"), F.lit(0).alias("start"), F.lit("order").alias("type"))
+    return o.unionByName(l)
+
+
+_L = "l AS (SELECT l_orderkey AS sample_id, l_linenumber AS node_id, l_partkey AS start FROM lineitem)"
+
+
+@query(f"WITH {_L} SELECT sample_id, 0::BIGINT AS src, node_id::BIGINT AS dst, 0::BIGINT AS edge_type FROM l UNION ALL SELECT sample_id, node_id, 0, 1 FROM l")
+def parent_edges(spark, sf):
+    return rounded(graph.parent_edges(_star(spark, sf)))
+
+
+@query(f"WITH {_L}, p AS (SELECT sample_id, lag(node_id) OVER (PARTITION BY sample_id ORDER BY node_id) AS a, node_id AS b FROM l) SELECT sample_id, a::BIGINT AS src, b::BIGINT AS dst, 2::BIGINT AS edge_type FROM p WHERE a IS NOT NULL UNION ALL SELECT sample_id, b, a, 2 FROM p WHERE a IS NOT NULL")
+def sibling_edges(spark, sf):
+    return rounded(graph.sibling_edges(_star(spark, sf)))
+
+
+@query(f"WITH {_L}, p AS (SELECT sample_id, node_id AS a, lead(node_id) OVER (PARTITION BY sample_id ORDER BY start, node_id) AS b FROM l) SELECT sample_id, a::BIGINT AS src, b::BIGINT AS dst, 3::BIGINT AS edge_type FROM p WHERE b IS NOT NULL UNION ALL SELECT sample_id, b, a, 3 FROM p WHERE b IS NOT NULL")
+def next_leaf_edges(spark, sf):
+    return rounded(graph.next_leaf_edges(_star(spark, sf)))
+
+
+_T = "t AS (SELECT l_returnflag AS type FROM lineitem UNION ALL SELECT 'order' FROM (SELECT DISTINCT l_orderkey FROM lineitem))"
+
+
+@query(f"WITH {_T} SELECT type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, type) AS type_id FROM t GROUP BY type ORDER BY n DESC, type LIMIT 5")
+def vocab_topk(spark, sf):
+    return rounded(graph.vocabulary(_star(spark, sf), 6))
+
+
+@query(f"WITH {_T}, v AS (SELECT type, row_number() OVER (ORDER BY count(*) DESC, type) AS type_id FROM t GROUP BY type ORDER BY count(*) DESC, type LIMIT 5) SELECT coalesce(type_id, 0) AS type_id, count(*) AS n FROM t LEFT JOIN v USING (type) GROUP BY 1")
+def vocab_encoded(spark, sf):
+    t = _star(spark, sf)
+    return rounded(graph.encoded(t, graph.vocabulary(t, 6)).groupBy("type_id").agg(F.count("*").alias("n")))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(t, 'identifier') OR contains(t, 'name') THEN 'IDENTIFIER' WHEN contains(t, 'string') THEN 'STRING_LITERAL' WHEN contains(t, 'number') OR contains(t, 'integer') OR contains(t, 'float') THEN 'NUMERIC_LITERAL' WHEN contains(t, 'function') OR contains(t, 'method') THEN 'FUNCTION_DEF' WHEN contains(t, 'comment') THEN 'COMMENT' ELSE t END AS type FROM (SELECT p_partkey, lower(p_name) AS t FROM part)")
+def smoothed_types(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", graph.smoothed_type(F.col("p_name")).alias("type"))
+
+
+# ---- augmentation and training (rows only) ----
+
+@query()
+def augmented_copies(spark, sf):
+    return augment.with_augmented(samples(spark, sf).select("ID", "code", "label"), 0.2).select("ID", "label", F.md5("code").alias("code_md5"))
+
+
+def _trained(spark, sf):
+    names = ["avg_line_length", "std_line_length", "avg_identifier_length", "unique_token_ratio", "comma_density", "char_entropy"]
+    f = lexical44.with_lexical44(labelled(spark, sf), "code", ("length", "lexical", "punctuation", "entropy")).select("ID", F.col("label").cast("int").alias("label"), *names)
+    return sampling.stratified_split(f), names
+
+
+@query()
+def boosted_trees(spark, sf):
+    f, names = _trained(spark, sf)
+    model = models.boosted_trees(f.where("split = 'train'"), names, iterations=8, depth=4)
+    return models.predicted(model, f.where("split = 'test'")).select("ID", "label", "prediction")
+
+
+@query()
+def stacking(spark, sf):
+    f, names = _trained(spark, sf)
+    train, test = f.where("split = 'train'"), f.where("split = 'test'")
+    base = [models.boosted_trees(train, names, iterations=4, depth=3), models.forest(train, names, 2, trees=10, depth=5)]
+    both = lambda d: joins.stacked_probabilities("ID", *(models.predicted(m, d).select("ID", "probs") for m in base)).join(d.select("ID", "label"), "ID")
+    return models.stacked(models.stacker(both(train), 4, 2), both(test)).select("ID", "label", "prediction")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    """Cleaned labelled texts with length and lexical features, profiled by language and label."""
+    s = clean.normalised(clean.clean(labelled(spark, sf_dir)))
+    f = lexical44.with_lexical44(s, "code", ("length", "lexical"))
+    return rounded(f.groupBy("language", "label").agg(F.count("*").alias("n"), F.avg("total_chars").alias("mean_chars"), F.avg("total_tokens").alias("mean_tokens"), F.avg("unique_token_ratio").alias("mean_unique_tokens")))
+
+
+query(f"WITH {S}, p AS (SELECT language, label, length(regexp_replace(code, '[ ]+(\\n|$)', '\\1', 'g')) AS c FROM l) SELECT language, label::BIGINT AS label, count(*) AS n, round(avg(c), 6) AS mean_chars FROM p GROUP BY language, label")(type("", (), {"__call__": lambda self, spark, sf: flagship(spark, sf).select("language", "label", "n", "mean_chars"), "__name__": "provenance_profile"})())
