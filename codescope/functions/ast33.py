@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import characters, found, hits, let, lines_of, mean, ratio, std, strip
 
@@ -84,7 +85,7 @@ def python_features(code: str) -> list[float]:
     return [float(out[k]) for k in NAMES]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def python_ast(code: pd.Series) -> pd.Series:
     return code.map(lambda c: python_features(c) if c else [0.0] * len(NAMES))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import entropy, found, let, lines_of, mean, occurrences, ratio, std, strip
 
@@ -68,7 +69,7 @@ def _formatting(code: Column) -> Column:
     return let(F.array_compact(checks), lambda c: F.when(F.size(c) == 0, F.lit(0.5)).otherwise(mean(c)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_diversity(code: pd.Series) -> pd.Series:
     """Distinct over all tokens of Python's tokenizer; of words between white space where that fails."""
     import io

@@ -526,7 +526,7 @@ def tree(spark, sf, **how):
 
 @query()
 def html_nodes(spark, sf):
-    return graph.subtree_sizes(graph.truncated(tree(spark, sf), 64)).select("sample_id", "node_id", "parent_id", "type", "subtree")
+    return graph.subtree_sizes(graph.truncated(tree(spark, sf))).select("sample_id", "node_id", "parent_id", "type", "subtree")
 
 
 @query()
