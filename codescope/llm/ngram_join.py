@@ -35,6 +35,8 @@ BLOCKS = 64
 FRAGMENT_BITS = 3  # 8 fragments
 #: Ids of at most so many documents are broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Likewise shingles of more than one head.
+BROADCAST_KEYS = 2_000_000
 #: Comparisons of members of groups that are made at once; beyond, a further member is tested against its group first.
 AT_ONCE = 50_000_000
 PEELS = 6
@@ -135,12 +137,34 @@ def _fit(a: str, b: str, percent: int) -> str:
     return f"{b}.n <= {_room(f'{a}.n', f'{a}.pos', percent)} AND {a}.n <= {_room(f'{b}.n', f'{b}.pos', percent)} AND 100 * {a}.n >= {percent} * {b}.n AND 100 * {b}.n >= {percent} * {a}.n"
 
 
-def _verified(pairs: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, na, b, nb) -> links (a, b): partial overlaps of the fragments of a pair are counted separately and summed."""
+def _head(n: str, percent: int) -> str:
+    """The length of the head of a set of n."""
+    return f"({n} - ({percent} * {n} + 99) DIV 100 + 1)"
+
+
+def _screened(pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, na, b, nb) whose heads share enough. What two sets share beyond the head that ends first is at most the
+    rest of its set. keys (set_id, keys): the shingles of a head that other heads have too."""
+    both = pairs.join(keys.select(F.col("set_id").alias("a"), F.col("keys").alias("ka")), "a").join(keys.select(F.col("set_id").alias("b"), F.col("keys").alias("kb")), "b")
+    most = f"size(array_intersect(ka, kb)) + greatest(na - {_head('na', percent)}, nb - {_head('nb', percent)})"
+    return both.where(f"{100 + percent} * ({most}) >= {percent} * (na + nb)").select("a", "na", "b", "nb")
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (a, na, b, nb) -> links (a, b), a table: the partial overlaps of the fragments of a pair are counted separately and summed."""
+    pairs = written(_screened(pairs, keys, percent), "ngram-pairs")
+    ids = written(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "ngram-sets")
+    rows = ids.count()
+    one = sets.where("doc_id IS NOT NULL").join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    frags = written(fragments(docs, one, rows, k), "ngram-fragments")
+    frags = frags.dropDuplicates(["set_id"]) if frags.count() != rows else frags  # rows that share a doc_id
     both = pairs.join(frags.select(F.col("set_id").alias("a"), F.col("frags").alias("fa")), "a").join(frags.select(F.col("set_id").alias("b"), F.col("frags").alias("fb")), "b")
     partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
     shared = both.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, x: s + x).alias("o"))
-    return shared.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
+    links = written(shared.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"), "ngram-links")
+    for done in (pairs, ids):
+        drop_written(done)
+    return links
 
 
 def _pairs(x: str, y: str) -> list:
@@ -152,26 +176,25 @@ def _pairs(x: str, y: str) -> list:
 def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame | None:
     """(id, component) of the sets that link with another set; None where there are none."""
     members = sets.select("set_id", "n", F.posexplode("head").alias("pos", "key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    hot = written(members.join(shared, "key").dropDuplicates(["key", "set_id"]), "ngram-groups")
-    several = hot.groupBy("key").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x < y").select("key")
-    score = hot.groupBy("set_id").agg(F.sum("c").alias("score"))
-    groups = written(hot.join(several, "key").join(score, "set_id").select("key", "set_id", "n", "pos", "score"), "ngram-members")
+    shared = written(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "ngram-keys")
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
+    hot = written(members.join(few, "key").dropDuplicates(["key", "set_id"]), "ngram-groups")
+    drop_written(shared)
+    several = hot.groupBy("key").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count("*").alias("c")).where("x < y").select("key", "c")
+    groups = written(hot.join(several, "key"), "ngram-members")
     drop_written(hot)
-    ids = written(groups.select("set_id").distinct(), "ngram-sets")
-    rows = ids.count()
-    if not rows:
+    if groups.isEmpty():
         return None
-    one = sets.where("doc_id IS NOT NULL").join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    frags = written(fragments(docs, one, rows, k), "ngram-fragments")
-    frags = frags.dropDuplicates(["set_id"]) if frags.count() != rows else frags  # rows that share a doc_id
+    of_set = written(groups.groupBy("set_id").agg(F.sum("c").alias("score"), F.collect_list("key").alias("keys")), "ngram-set-keys")
+    keys = of_set.select("set_id", "keys")
+    groups = groups.join(of_set.select("set_id", "score"), "set_id").select("key", "set_id", "n", "pos", "score")
 
     def lead(of: DataFrame, all_: DataFrame) -> DataFrame:
         """Pairs of each group's first of `of` with the members of all_."""
         top = of.groupBy("key").agg(F.max(F.struct("score", "set_id", "n", "pos")).alias("t")).select("key", "t.*")
         return all_.alias("x").join(top.alias("y"), "key").where("x.set_id <> y.set_id").where(_fit("x", "y", percent)).select(*_pairs("x", "y")).distinct()
 
-    links = written(_verified(lead(groups, groups), frags, percent), "ngram-links")
+    links = _verified(docs, sets, lead(groups, groups), keys, k, percent)
     comps = written(components(links), "ngram-components")
     done = None
     for peel in range(PEELS + 1):
@@ -194,7 +217,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
             top = rest.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("set_id"))
             done = written(top if done is None else done.unionByName(top), "ngram-tested")
             pairs = lead(rest, mixed)
-        more = written(_verified(pairs, frags, percent), "ngram-links")
+        more = _verified(docs, sets, pairs, keys, k, percent)
         drop_written(rest)
         links = links.union(more)
         comps = written(components(links), "ngram-components")
