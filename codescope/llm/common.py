@@ -49,6 +49,11 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """All columns of docs as the struct row_, beside those asked for, so that no name that an operator adds can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), *columns)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -29,6 +29,8 @@ UNKNOWN = "und"
 
 def codewords(languages: int, seed: int = 7) -> np.ndarray:
     """A row of +1 and -1 for each language: all splits in two for up to 6, else random distinct ones."""
+    if languages < 2:
+        return np.zeros((languages, 0))
     if languages <= 6:
         rows = [[1 if l == 0 or not (m >> (l - 1)) & 1 else -1 for m in range(1, 1 << max(languages - 1, 0))] for l in range(languages)]
         return np.array(rows, np.float64).reshape(languages, -1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import boxed, table, written
 
 WORDS = 50
 AT = ["doc_id", "copy"]
@@ -115,18 +115,15 @@ def with_copies(docs: DataFrame) -> DataFrame:
     return docs.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1 if twice else F.lit(0))
 
 
-def marked(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with copy and deleted, the numbers of the lines to delete (null: none)."""
-    docs = with_copies(docs)
-    gone = repeated(docs.select("doc_id", "copy", "text"), words).groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list("line_no")).alias("deleted"))
-    gone = written(gone, "suffix-deleted").withColumnsRenamed({"doc_id": "d", "copy": "c"})
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left").drop("d", "c")
-
-
 def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs, its columns kept, with the later copies of repeated line runs deleted from text."""
+    held = with_copies(boxed(docs, "doc_id", "text"))
+    gone = repeated(held.select("doc_id", "copy", "text"), words).groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("deleted"))
+    gone = written(gone, "suffix-deleted").withColumnsRenamed({"doc_id": "d", "copy": "c"})
+    marked = held.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left")
     kept = F.concat_ws("\n", F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("deleted", k)))
-    return marked(docs, words).select(*(F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept)
+    return marked.select(F.col("row_").withField("text", text).alias("row_")).select("row_.*")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

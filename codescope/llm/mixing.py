@@ -8,7 +8,7 @@ the blocks says which are taken once more.
 
 Defined results: null and blank texts have size 0 and nothing taken; rows without source are one source, the last; rows that
 repeat a doc_id are counted by row and returned once each; equal ranks go by shard or block number; a source without words
-has target 0; an empty table gives no rows; further columns are kept by mixed() under names that don't clash (their own).
+has target 0; an empty table gives no rows; further columns are kept by mixed().
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table, word_array, written
+from .common import boxed, let, table, word_array, written
 
 BLOCK = 128
 #: Words that a shard has about; no source has more than MOST_SHARDS shards, so beyond their product shards grow.
@@ -125,8 +125,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     times = chosen.select(F.col("doc_id").alias("mix_id"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("times")).where("times > 0")
     plan = written(times, "mix-times")
     small = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    joined = docs.join(small, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return joined.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    joined = boxed(docs, "doc_id").join(small, F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    return joined.select("row_", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row_.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

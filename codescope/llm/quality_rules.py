@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, word_array
+from .common import boxed, let, table, word_array
 
 ROUNDS = 20
 KEEP_AT = 0.5
@@ -154,7 +154,7 @@ def verdict() -> Column:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of docs."""
-    return judged(docs).where(verdict()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged(boxed(docs, "text")).where(verdict()).select("row_.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
