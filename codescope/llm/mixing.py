@@ -132,3 +132,24 @@ def mixed(docs: DataFrame) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return taken(written(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS size, [{", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)}][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % {len(WEIGHTS)}] AS v, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS i FROM d GROUP BY source),
+o AS (SELECT *, {MOST_TIMES}.0::DOUBLE * size AS cap, row_number() OVER (ORDER BY {MOST_TIMES} * size / v, i) AS k, sum(size) OVER () * {SHARE_PERCENT / 100}::DOUBLE AS whole FROM s),
+c AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(v) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM o),
+e AS (SELECT *, max(CASE WHEN rate * v < cap THEN 1 ELSE 0 END) OVER (ORDER BY k) = 0 AS capped FROM c),
+t AS (SELECT *, CASE WHEN capped THEN cap ELSE (whole - coalesce(sum(cap) FILTER (WHERE capped) OVER (), 0)) / sum(v) FILTER (WHERE NOT capped) OVER () * v END AS target FROM e),
+n AS (SELECT *, round(sum(target) OVER () / {BLOCK})::BIGINT AS seats, sum(target) OVER () AS total, count(*) OVER () AS parties FROM t),
+q AS (SELECT i, count(*) AS quota FROM (SELECT i, seats, row_number() OVER (ORDER BY w / (2 * j + 1) DESC, i) AS place FROM (SELECT i, seats, target AS w, unnest(range(0, floor(seats * target / total)::BIGINT + parties + 2)) AS j FROM n WHERE total > 0)) WHERE place <= seats GROUP BY i),
+a AS (SELECT n.*, coalesce(quota, 0) AS quota FROM n LEFT JOIN q USING (i)),
+h AS (SELECT d.*, a.i, a.size AS source_size, target, quota, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(1, least({MOST_SHARDS}, ceil(a.size / {SHARD})))::BIGINT AS shard FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+w AS (SELECT i, shard, quota, sum(size)::DOUBLE AS words, sum(sum(size)) OVER (PARTITION BY i) AS total, count(*) OVER (PARTITION BY i) AS parties FROM h GROUP BY i, shard, quota),
+y AS (SELECT i, shard, count(*) AS shard_quota FROM (SELECT i, shard, quota, row_number() OVER (PARTITION BY i ORDER BY words / (2 * j + 1) DESC, shard) AS place FROM (SELECT *, unnest(range(0, floor(quota * words / total)::BIGINT + parties + 2)) AS j FROM w WHERE total > 0)) WHERE place <= quota GROUP BY i, shard),
+p AS (SELECT h.*, coalesce(shard_quota, 0) AS shard_quota, sum(size) OVER (PARTITION BY h.i, h.shard ORDER BY doc_id NULLS FIRST, size, r) AS stop, sum(size) OVER (PARTITION BY h.i, h.shard) AS words FROM h LEFT JOIN y ON y.i = h.i AND y.shard = h.shard),
+b AS (SELECT *, unnest(range((stop - size)::BIGINT // {BLOCK}, (stop - 1)::BIGINT // {BLOCK} + 1)) AS block FROM p WHERE size > 0),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY i, shard ORDER BY md5('{SEED}|' || coalesce(source, '') || '|' || shard || '|' || block), block) AS place, ceil(words / {BLOCK})::BIGINT AS blocks FROM b),
+m AS (SELECT r, sum(least({MOST_TIMES}, shard_quota // blocks + CASE WHEN place <= shard_quota % blocks THEN 1 ELSE 0 END) * (least(stop, (block + 1) * {BLOCK}) - greatest(stop - size, block * {BLOCK})))::BIGINT AS taken FROM k GROUP BY r)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM h LEFT JOIN m USING (r)
+"""
