@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- the field ----
 
-TRIGGER = re.compile(r"\S*[0-9@=]\S*|[\[(](?:at|dot)[\])]|(?<!\S)dot(?!\S)")
+TRIGGER = re.compile(r"[0-9@=]|[\[(](?:at|dot)[\])]|(?<!\S)dot(?!\S)")
 WORD = re.compile(r"\S+")
 AROUND = 4
 TRIM = "\"'`,;:!?()<>[]{}."
@@ -263,37 +263,39 @@ def trained(seed: int = 11, sentences: int = 400, rounds: int = 4) -> Field:
 
 
 def windows(text: str):
-    """Runs of words near a trigger; each is a list of (start, end)."""
+    """Runs of words near a trigger; each is a list of (start, end). Two whose contexts meet are one, so that no entity straddles them."""
     now: list = []
-    reach = -1
-    for m in TRIGGER.finditer(text):
-        if m.start() < reach:  # inside the window: it grows
-            tail = now
-        else:
+    reach = 0
+    m = TRIGGER.search(text)
+    while m:
+        at, gap = m.start(), []
+        while at > reach and not text[at - 1].isspace():
+            at -= 1
+        begin = at
+        for _ in range(AROUND + 1):
+            end = begin
+            while end > reach and text[end - 1].isspace():
+                end -= 1
+            if end == reach:
+                break
+            begin = end
+            while begin > reach and not text[begin - 1].isspace():
+                begin -= 1
+            gap.append((begin, end))
+        if len(gap) > AROUND:  # the window's end is out of reach
             if now:
                 yield now
-            at, left = m.start(), []
-            for _ in range(AROUND):
-                cut = text[max(0, at - MOST_CHARS) : at].rstrip()
-                k = max(cut.rfind(" "), cut.rfind("\n"), cut.rfind("\t"))
-                w = cut[k + 1 :]
-                if not w:
-                    break
-                at = max(0, at - MOST_CHARS) + k + 1
-                if at < reach:
-                    break
-                left.append((at, at + len(w)))
-            tail = now = left[::-1]
-            reach = max(reach, m.start())
-        pos = max(reach, tail[-1][1] if tail else m.start())
-        stop, after = m.end(), 0
-        for w in WORD.finditer(text, pos):
-            tail.append(w.span())
-            if w.start() >= stop:
-                after += 1
-            if after >= AROUND:
+            now = []
+            gap.pop()
+        now += gap[::-1]
+        left = AROUND + 1
+        for w in WORD.finditer(text, at):
+            now.append(w.span())
+            left = AROUND if TRIGGER.search(text, *w.span()) else left - 1
+            if not left:
                 break
-        reach = tail[-1][1] if tail else m.end()
+        reach = now[-1][1]
+        m = TRIGGER.search(text, reach)
     if now:
         yield now
 

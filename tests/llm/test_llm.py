@@ -332,6 +332,20 @@ def test_field():
     assert hit / (hit + miss) > 0.93 and hit / (hit + wrong) > 0.95
 
 
+def test_windows_lose_no_entity():
+    """Decoding over windows finds what decoding over all words of the text does."""
+    field, rng = personal_data.trained(), random.Random(3)
+    decoded = lambda text, runs: [s for w in runs for s in field.best(personal_data.segments(text, w))]
+    assert personal_data.spans("7 a john at host dot com", field)[1] == [(4, 0, 24)]
+    found = 0
+    for _ in range(300):
+        text = " ".join(rng.choice(["7", "x=1", "@me", "smith at mill dot org", "jane(at)mill(dot)net", "10.0.0.1"]) + rng.choice([" ", "\n", "\r\n"]) + prose(rng, rng.randint(1, 12)) for _ in range(4))
+        whole = decoded(text, [[m.span() for m in personal_data.WORD.finditer(text)]])
+        assert decoded(text, personal_data.windows(text)) == whole, text
+        found += len(whole)
+    assert found > 300
+
+
 def test_personal_data(spark, odd, empty):
     df = spark.createDataFrame([(1, "write a.b@c-d.org or 10.0.0.1, 4111 1111 1111 1111, +1 (202) 555-0143."), (2, "password=hunter2hunter2 and é +1 (202) 555-0143 4111111111111111"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in personal_data.personal_data(df).collect()}
