@@ -6,7 +6,7 @@ Base spans are those of four fixed patterns. The field then reads a window of wo
 Its spans that touch no base span are added. It is trained once, on sentences made from templates by a fixed seed.
 
 Defined results: a null text counts as empty; equal rows get equal results; very long texts are read whole, windows being
-as long as they need and segments at most LONGEST words and MOST_CHARS characters; an empty table gives no rows; further
+as long as they need and segments one word of any length, or at most LONGEST words and MOST_CHARS characters; an empty table gives no rows; further
 columns aren't looked at.
 """
 
@@ -89,16 +89,46 @@ SHAPES = {
     "phone": re.compile(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
     "hex": re.compile(r"[0-9a-f]{30,}"),
     "access_key": re.compile(r"A[KS]IA[0-9A-Z]{16}"),
-    "assigned": re.compile(r"(?i:\w*(?:password|passwd|secret|token|api_?key)\w*)[=:][^\s=]{6,}"),
+    "assigned": re.compile(r"(?=\w++[=:])(?i:\w*(?:password|passwd|secret|token|api_?key)\w*)[=:][^\s=]{6,}"),
     "words": re.compile(r"[^0-9@=]*"),
 }
 
 
+SPELT_AT = re.compile(r"[\w.%+-]+")
+SPELT_DOT = re.compile(r"[\[(](?:dot|DOT)[\])]?|(?:dot|DOT)[\])]")
+
+
+def spelt_word(s: str) -> bool:
+    """Whether a word has the shape spelt_email, in time that is linear in its length: the pattern tries every way to cut it
+    at its "at"s and "dot"s. A bracket must belong to one of these; of the others the first "at" that may be one will do."""
+    if not (m := SPELT_AT.match(s)):
+        return False
+    q = m.end()
+    starts = [q - 2] if q > 2 and s[q : q + 1] in ("]", ")") and s[q - 2 : q] in ("at", "AT") else []
+    if s[q : q + 1] in ("[", "(") and s[q + 1 : q + 3] in ("at", "AT"):
+        starts.append(q + 1)
+    first = re.compile("at|AT").search(s, max(1, 1 + max(s.rfind(c, 0, q) for c in ".%+")), q)
+    if first and first.start() not in starts:
+        starts.append(first.start())
+    for at in starts:
+        host, *rest = SPELT_DOT.split(s[at + 2 + (s[at + 2 : at + 3] in ("]", ")")) :])
+        if re.fullmatch(r"[\w-]+", host) and all(re.fullmatch(r"[A-Za-z][\w-]*", x) for x in rest) and (rest or re.compile("(?:dot|DOT)[A-Za-z]").search(host, 1)):
+            return True
+    return False
+
+
+def shapes(s: str) -> list[str]:
+    if len(s) <= MOST_CHARS:
+        return [k for k, p in SHAPES.items() if p.fullmatch(s)]
+    return [k for k, p in SHAPES.items() if (spelt_word(s) if k == "spelt_email" else p.fullmatch(s))]
+
+
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """The span without quotes and marks around it; an opening bracket stays if its closing one does."""
-    while end > start and text[end - 1] in TRIM and not (text[end - 1] in ")]" and re.search(r"[\[(](?:at|dot)$", text[start : end - 1])):
+    while end > start and text[end - 1] in TRIM and not (text[end - 1] in ")]" and re.search(r"[\[(](?:at|dot)$", text[max(start, end - 6) : end - 1])):
         end -= 1
-    while start < end and text[start] in TRIM and not (text[start] == "(" and ")" in text[start:end]):
+    closing = text.rfind(")", start, end)
+    while start < end and text[start] in TRIM and not (text[start] == "(" and start < closing):
         start += 1
     return start, end
 
@@ -107,7 +137,7 @@ def features(text: str, start: int, end: int, words: int, before: str) -> list[s
     """Of a whole segment."""
     s = text[start:end]
     digits = sum(c.isdigit() for c in s)
-    found = [k for k, p in SHAPES.items() if p.fullmatch(s)]
+    found = shapes(s)
     out = ["bias", f"words{words}", f"digits{next(k for k, most in enumerate((0, 3, 8, 11, 15, 19, 1 << 60)) if digits <= most)}", f"cue_{CUES.get(before, '-')}", *(f"is_{k}" for k in found), "formed" if found and found != ["words"] else "formless"]
     if "@" in s:
         out.append("at")
@@ -124,7 +154,7 @@ def segments(text: str, words: list[tuple[int, int]]) -> list[list[tuple[int, in
     for j in range(1, len(words) + 1):
         here = []
         for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
-            if words[j - 1][1] - words[i][0] > MOST_CHARS:
+            if i < j - 1 and words[j - 1][1] - words[i][0] > MOST_CHARS:
                 break
             start, end = trimmed(text, words[i][0], words[j - 1][1])
             # a segment begins in its first word and ends in its last

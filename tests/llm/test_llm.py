@@ -346,6 +346,24 @@ def test_windows_lose_no_entity():
     assert found > 300
 
 
+def test_long_words_are_scored():
+    """A word is a segment whatever its length; its shape is found in time linear in it."""
+    field, rng = personal_data.trained(), random.Random(4)
+    for word in ("0123456789abcdef" * 8, "api_key=" + "a1b2c3d4e5" * 12, "0123456789abcdef" * 10_000):
+        text = f"the key {word} here"
+        assert personal_data.redact(text, personal_data.spans(text, field)[1]) == "the key <secret> here"
+    hits = 0
+    for _ in range(50_000):
+        s = "".join(rng.choice(["at", "dot", "dot", "AT", "DOT", "[", "]", "(", ")", "x", "a", "1", ".", "-", "é"]) for _ in range(rng.randint(0, 9)))
+        s = rng.choice(["", "x", "x(at)y"]) + s
+        full = bool(personal_data.SHAPES["spelt_email"].fullmatch(s))
+        assert personal_data.spelt_word(s) == full, s
+        hits += full
+    assert hits > 1000
+    for s in ("token" * 40_000 + "1", "1at" + "dota" * 50_000 + "!", "at" * 100_000 + "1", "x(at)1" + "(dota" * 40_000 + "!", ")" * 200_000 + "1" + ")" * 200_000, "1" + "(" * 200_000):
+        personal_data.spans(s, field)
+
+
 def test_personal_data(spark, odd, empty):
     df = spark.createDataFrame([(1, "write a.b@c-d.org or 10.0.0.1, 4111 1111 1111 1111, +1 (202) 555-0143."), (2, "password=hunter2hunter2 and é +1 (202) 555-0143 4111111111111111"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in personal_data.personal_data(df).collect()}
