@@ -79,6 +79,11 @@ def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(1 + total.reshape(-1).astype(np.float64))).astype(np.uint8)
 
 
+def set_id(h: np.ndarray) -> int:
+    """Of a set of shingles."""
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def heads(docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
     """doc_id, n (shingles), set_id, head: the first shingles in the global order, empty where a document before it in its
     batch has the same set. ranks: the broadcast table of frequency_ranks()."""
@@ -89,7 +94,7 @@ def heads(docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
                 part, seen, out = b.slice(lo, 2000), set(), ([], [], [])
                 for t in texts_of(part):
                     h = shingles(t, k)
-                    s = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    s = set_id(h)
                     p = len(h) + (percent * -len(h)) // 100 + 1 if len(h) and s not in seen else 0
                     seen.add(s)
                     if p:
@@ -105,26 +110,39 @@ def heads(docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "doc_id long, n long, set_id long, head array<long>")
 
 
-def fragments(docs: DataFrame, wanted: DataFrame, rows: int, k: int) -> DataFrame:
-    """set_id, frags: the shingles of the wanted (doc_id, set_id), cut into fragments."""
+def fragments(docs: DataFrame, wanted: DataFrame, rows: int, nameless: bool, k: int) -> DataFrame:
+    """set_id, frags: the shingles of the wanted (doc_id, set_id), cut into fragments. Texts that share a doc_id are told apart
+    by their sets; nameless: some documents have no doc_id, and a wanted set without one is looked for among them."""
 
     def cut(batches):
+        seen = set()
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                flat, ends, sizes = [], [0], [0]
-                for t in texts_of(part, 0):
+                flat, ends, sizes, ids = [], [0], [0], []
+                for t, of in zip(texts_of(part, 0), part.column(1).to_pylist(), strict=True):
                     h = shingles(t, k)
+                    s = set_id(h)
+                    if s in seen or of not in (None, s):
+                        continue
+                    seen.add(s)
+                    ids.append(s)
                     flat.append(h.view(np.int64))
                     at = np.searchsorted(h, np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS))
                     base = ends[-1]
                     ends += [base + int(x) for x in at] + [base + len(h)]
                     sizes.append(sizes[-1] + (1 << FRAGMENT_BITS))
                 inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), inner)], names=["set_id", "frags"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), inner)], names=["set_id", "frags"])
 
-    wanted = F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted
-    return docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("text", "set_id").mapInArrow(cut, "set_id long, frags array<array<long>>")
+    put = F.broadcast if rows <= BROADCAST_ROWS else lambda df: df
+    kind = "set_id long, frags array<array<long>>"
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    out = docs.join(put(wanted.where("doc_id IS NOT NULL")), "doc_id").select("text", "set_id").mapInArrow(cut, kind)
+    if nameless:
+        lone = docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("set_id")).mapInArrow(cut, kind)
+        out = out.union(lone.join(put(wanted.where("doc_id IS NULL").select("set_id")), "set_id", "left_semi"))
+    return out
 
 
 def _room(n: str, pos: str, percent: int) -> str:
@@ -155,9 +173,10 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, keys: DataFram
     pairs = written(_screened(pairs, keys, percent), "ngram-pairs")
     ids = written(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "ngram-sets")
     rows = ids.count()
-    one = sets.where("doc_id IS NOT NULL").join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    frags = written(fragments(docs, one, rows, k), "ngram-fragments")
-    frags = frags.dropDuplicates(["set_id"]) if frags.count() != rows else frags  # rows that share a doc_id
+    one = sets.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    nameless = not sets.where("doc_id IS NULL").isEmpty()
+    frags = written(fragments(docs, one, rows, nameless, k), "ngram-fragments")
+    frags = frags.dropDuplicates(["set_id"]) if frags.count() != rows else frags  # rows that share a doc_id, or have none
     both = pairs.join(frags.select(F.col("set_id").alias("a"), F.col("frags").alias("fa")), "a").join(frags.select(F.col("set_id").alias("b"), F.col("frags").alias("fb")), "b")
     partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
     shared = both.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, x: s + x).alias("o"))

@@ -283,6 +283,23 @@ def test_ngram_peels(spark, monkeypatch):
     assert collect(ngram_join.joined(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)) == brute_components(docs, 3, 90)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_ngram_null_and_clashing_ids(spark, monkeypatch, most):
+    """Sets without doc_id link and bridge; texts that share a doc_id keep their own links."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+    rng = random.Random(12)
+    docs = [(7, "some other text of no interest"), (None, None), (None, "")]
+    for i in range(12):
+        words = [prose(rng, 1) + str(rng.random()) for _ in range(100)]
+        other = [f"e{i}{j}" for j in range(10)]
+        near = [" ".join(w) for w in (words, words[:95] + other[:5], other[5:] + words[5:95] + other[:5])]
+        # the first and the last are linked through the middle one alone
+        docs += [(None, near[1]), (None, near[1]), (100 + i, near[0]), (200 + i // 4, near[2]), (7, prose(rng, 30))]
+    brute = brute_components(docs, 3, 90)
+    assert sum(d is not None and c is not None and d != c for d, _, c in brute) >= 12
+    assert collect(ngram_join.joined(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)) == brute
+
+
 def test_ngram_odd(spark, odd, empty):
     docs = [(r[0], r[1]) for r in odd_rows()]
     assert collect(ngram_join.joined(odd, 3, 90)) == brute_components(docs, 3, 90)
