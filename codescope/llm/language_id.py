@@ -7,7 +7,7 @@ codeword, weighted by how well each bit's classifier does, and takes the least;
 The classifiers are fitted on at most SAMPLE rows in all, the first of each language by a hash of doc_id. Texts are read whole.
 
 Defined results: a null text or one without letters is `und` with score 0; without labelled rows every text is; equal
-texts are predicted alike; ties go to the language first by code point; an empty table gives no rows; further columns
+texts are predicted alike; more than MOST_LANGS distinct labels are an error; ties go to the language first by code point; an empty table gives no rows; further columns
 aren't looked at.
 """
 
@@ -22,6 +22,8 @@ from .common import table
 from .text_features import DIMS, counted_sample, held_out, training_rows, trigrams
 
 SAMPLE = 6000
+#: More distinct labels than this are no languages: fitting fails. At least one row of each is in the sample.
+MOST_LANGS = 1000
 RIDGE = 3.0
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
@@ -98,7 +100,9 @@ class Codes:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
     """docs (doc_id, text, lang), already without rows that mustn't be learnt from."""
     named = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    langs = sorted(r["lang"] for r in named.select("lang").distinct().limit(1000).collect())
+    langs = sorted(r["lang"] for r in named.select("lang").distinct().limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} distinct values of lang: clean the labels first")
     if not langs:
         return Codes([], [], np.zeros((0, DIMS)))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")

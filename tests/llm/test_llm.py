@@ -181,6 +181,15 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in language_id.identified(docs, one).collect()} == {"aa"}
 
 
+def test_too_many_languages(spark, monkeypatch):
+    """Labels beyond the bound are an error, not cut off."""
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    docs = lambda n: spark.createDataFrame([(i, f"text of {i % n}", f"l{i % n}") for i in range(20)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs(3)).langs == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError, match="lang"):
+        language_id.fit(docs(4))
+
+
 def test_quality_classifier(spark, odd, empty):
     rng = random.Random(6)
     rows = [(i, prose(rng, 80) if i % 4 else " ".join([rng.choice(WORDS) + "***"] * 60), int(i % 4 > 0)) for i in range(240)]
