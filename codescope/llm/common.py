@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,20 +18,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset and all runs in this one
+    process, a temporary folder of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if spark.sparkContext.getCheckpointDir() is None:
-            import tempfile
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
 
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codescope-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codescope-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
 
 
+#: Paths made by scratch(), in order, that weren't dropped.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; nothing is created."""
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> list[str]:
+    """The paths that scratch() gave out and that weren't dropped."""
+    return list(_made)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes paths given out by scratch() that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _made:
+            _made.remove(path)
 
 
 def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
@@ -42,11 +64,19 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more."""
+    for df in tables:
+        drop_paths(df.sparkSession, [df.scratch_path])
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to
+    collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def boxed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -69,6 +99,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def pieces(batch, column: int, most: int):
+    """An Arrow batch in runs of rows with about so many bytes of a text column, at least one row each."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = batch.column(column)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    raw = texts.buffers()[1]
+    ends = np.frombuffer(raw, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if raw and len(texts) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def filesystem(uri: str):
     """The file system and path of a URI or plain path, for use on executors."""
     import pyarrow.fs as fs

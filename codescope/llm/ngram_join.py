@@ -1,20 +1,23 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 The global order of shingles is by rising (estimated) document frequency, then by hash. Documents with equal shingle sets
-are one set. Each set emits the head of its shingles in that order: two sets as similar as asked share one of these.
-Candidate pairs are then counted vertically: the shingle space is cut into fragments, the partial overlap of a pair is
-counted fragment by fragment, and the sum decides, exactly.
+are one set. Each set emits the head of its shingles in that order: two sets as similar as asked share one of these, so heads
+say which pairs are worth counting. These are counted vertically: the global order is cut into FRAGMENTS ranges that hold
+about as many shingles each, the parts of two sets in a fragment meet there and give a partial overlap, a row a pair and
+fragment, and the sum over the fragments of a pair decides, exactly.
 
-No group emits all its pairs. In each group of sets that share an emitted shingle, the set that meets most others is tested
-against the rest; what it links is one component. Members of other components of the group are then tested against what
-their size and position still allow. So every link between two components of a group is tested, and components are exact.
+In each group of sets that share an emitted shingle, the set that meets most others is tested against the rest; what it links
+is one component. Members of other components of the group are then tested against what their size and position still allow:
+one at a time while that is more than AT_ONCE comparisons and at most PEELS times, then against each other. So every link
+between two components of a group is tested, components are exact, and pairs inside a component are never made.
 
 The frequency estimate is a table of fixed width of counts over all documents; it only orders shingles, so that its errors
 cost time and never a pair.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are components of their own; equal
-rows are linked; a component without doc_id has a null component_id; an empty table gives no rows; only doc_id and text are
-looked at. Shingles and sets are compared by 64-bit hashes.
+rows are linked; a component without doc_id has a null component_id; very long texts are read whole, their sets being cut
+into fragments; an empty table gives no rows; only doc_id and text are looked at. Shingles, sets and texts are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, table, written
+from .common import boxed, drop_written, forget_shuffles, pieces, table, written
 from .components import components
 from .shingles import shingles, texts_of
 
 WIDTH = 1 << 22  # slots of the frequency table
 BLOCKS = 64
-FRAGMENT_BITS = 3  # 8 fragments
+PIECE = 8 << 20  # bytes of text that are shingled at once, more only where one text has more
+FRAGMENTS = 8
 #: Ids of at most so many documents are broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Likewise shingles of more than one head.
@@ -42,15 +46,16 @@ AT_ONCE = 50_000_000
 PEELS = 6
 
 
-def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """A byte for each slot of the frequency table: 8 times the logarithm of the documents counted there."""
+def global_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each slot of the frequency table: 8 times the logarithm of the documents counted there; and the places in
+    the order of such bytes and hashes at which it is cut into fragments with about as many shingles each."""
     import zstandard
 
     def count(batches):
         total = np.zeros(WIDTH, np.uint32)
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                found = [shingles(t, k) for t in texts_of(b.slice(lo, 2000), 0)]
+            for part in pieces(b, 0, PIECE):
+                found = [shingles(t, k) for t in texts_of(part, 0)]
                 slots = np.concatenate(found or [np.zeros(0, np.uint64)]) & np.uint64(WIDTH - 1)
                 if len(slots) > WIDTH // 16:
                     total += np.bincount(slots.astype(np.int64), minlength=WIDTH).astype(np.uint32)
@@ -76,7 +81,21 @@ def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
     total, z = np.zeros((BLOCKS, WIDTH // BLOCKS), np.uint32), zstandard.ZstdDecompressor()
     for r in rows:
         total[r["block"]] = np.frombuffer(z.decompress(r["counts"]), "<u4")
-    return np.minimum(255, 8 * np.log2(1 + total.reshape(-1).astype(np.float64))).astype(np.uint8)
+    ranks = np.minimum(255, 8 * np.log2(1 + total.reshape(-1).astype(np.float64))).astype(np.uint8)
+    weight = np.bincount(ranks, total.reshape(-1), 256)
+    before = np.concatenate([[0.0], np.cumsum(weight)])
+    cuts = []
+    for j in range(1, FRAGMENTS):
+        at = before[-1] * j / FRAGMENTS
+        r = min(int(np.searchsorted(before, at, side="right")) - 1, 255)
+        part = (at - before[r]) / weight[r] if weight[r] else 0.0
+        cuts.append((r << 56) + int(min(part, 1.0) * ((1 << 56) - 1)))
+    return ranks, np.array(cuts, np.uint64)
+
+
+def places(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The places of shingles in the global order."""
+    return ranks[(h & np.uint64(WIDTH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
 
 
 def set_id(h: np.ndarray) -> int:
@@ -84,59 +103,57 @@ def set_id(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def heads(docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
-    """doc_id, n (shingles), set_id, head: the first shingles in the global order, empty where a document before it in its
-    batch has the same set. ranks: the broadcast table of frequency_ranks()."""
+def heads(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
+    """doc_id, t (hash of the text), n (shingles), set_id, head: the first shingles in the global order, empty where a document
+    before it in its batch has the same set. order: the broadcast global_order()."""
 
     def emit(batches):
+        ranks = order.value[0]
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part, seen, out = b.slice(lo, 2000), set(), ([], [], [])
+            for part in pieces(b, 1, PIECE):
+                seen, out = set(), ([], [], [])
                 for t in texts_of(part):
                     h = shingles(t, k)
                     s = set_id(h)
                     p = len(h) + (percent * -len(h)) // 100 + 1 if len(h) and s not in seen else 0
                     seen.add(s)
-                    if p:
-                        order = np.argsort(ranks.value[(h & np.uint64(WIDTH - 1)).astype(np.int64)], kind="stable")
-                        h2 = h[order[:p]].view(np.int64)
-                    else:
-                        h2 = np.zeros(0, np.int64)
+                    h2 = h[np.argsort(places(h, ranks), kind="stable")[:p]].view(np.int64) if p else np.zeros(0, np.int64)
                     for c, v in zip(out, (len(h), s, h2), strict=True):
                         c.append(v)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[2])]), pa.int32()), pa.array(np.concatenate(out[2]) if out[2] else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), lists], names=["doc_id", "n", "set_id", "head"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), lists], names=["doc_id", "t", "n", "set_id", "head"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "doc_id long, n long, set_id long, head array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t")).mapInArrow(emit, "doc_id long, t long, n long, set_id long, head array<long>")
 
 
-def fragments(docs: DataFrame, wanted: DataFrame, rows: int, nameless: bool, k: int) -> DataFrame:
-    """set_id, frags: the shingles of the wanted (doc_id, set_id), cut into fragments. Texts that share a doc_id are told apart
-    by their sets; nameless: some documents have no doc_id, and a wanted set without one is looked for among them."""
+def fragments(docs: DataFrame, wanted: DataFrame, rows: int, nameless: bool, k: int, order) -> DataFrame:
+    """set_id, frag, part: the shingles of the wanted (doc_id, set_id) in each fragment of the global order in which there are
+    some. Texts that share a doc_id are told apart by their sets; nameless: some documents have no doc_id, and a wanted set
+    without one is looked for among them."""
 
     def cut(batches):
-        seen = set()
+        seen, (ranks, cuts) = set(), order.value
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                flat, ends, sizes, ids = [], [0], [0], []
-                for t, of in zip(texts_of(part, 0), part.column(1).to_pylist(), strict=True):
+            for piece in pieces(b, 0, PIECE):
+                ids, frags, flat, sizes = [], [], [], [0]
+                for t, of in zip(texts_of(piece, 0), piece.column(1).to_pylist(), strict=True):
                     h = shingles(t, k)
                     s = set_id(h)
                     if s in seen or of not in (None, s):
                         continue
                     seen.add(s)
-                    ids.append(s)
-                    flat.append(h.view(np.int64))
-                    at = np.searchsorted(h, np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS))
-                    base = ends[-1]
-                    ends += [base + int(x) for x in at] + [base + len(h)]
-                    sizes.append(sizes[-1] + (1 << FRAGMENT_BITS))
-                inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), inner)], names=["set_id", "frags"])
+                    f = np.searchsorted(cuts, places(h, ranks), side="right")
+                    flat.append(h[np.argsort(f, kind="stable")].view(np.int64))
+                    for j, n in enumerate(np.bincount(f, minlength=FRAGMENTS).tolist()):
+                        if n:
+                            ids.append(s)
+                            frags.append(j)
+                            sizes.append(sizes[-1] + n)
+                parts = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), parts], names=["set_id", "frag", "part"])
 
     put = F.broadcast if rows <= BROADCAST_ROWS else lambda df: df
-    kind = "set_id long, frags array<array<long>>"
+    kind = "set_id long, frag int, part array<long>"
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = docs.join(put(wanted.where("doc_id IS NOT NULL")), "doc_id").select("text", "set_id").mapInArrow(cut, kind)
     if nameless:
@@ -168,21 +185,24 @@ def _screened(pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     return both.where(f"{100 + percent} * ({most}) >= {percent} * (na + nb)").select("a", "na", "b", "nb")
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, na, b, nb) -> links (a, b), a table: the partial overlaps of the fragments of a pair are counted separately and summed."""
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, keys: DataFrame, k: int, percent: int, order) -> DataFrame:
+    """pairs (a, na, b, nb) -> links (a, b), a table. The parts of a pair meet fragment by fragment; the partial overlaps, a row
+    each, are summed by pair."""
     pairs = written(_screened(pairs, keys, percent), "ngram-pairs")
     ids = written(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "ngram-sets")
     rows = ids.count()
     one = sets.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     nameless = not sets.where("doc_id IS NULL").isEmpty()
-    frags = written(fragments(docs, one, rows, nameless, k), "ngram-fragments")
-    frags = frags.dropDuplicates(["set_id"]) if frags.count() != rows else frags  # rows that share a doc_id, or have none
-    both = pairs.join(frags.select(F.col("set_id").alias("a"), F.col("frags").alias("fa")), "a").join(frags.select(F.col("set_id").alias("b"), F.col("frags").alias("fb")), "b")
-    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
-    shared = both.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, x: s + x).alias("o"))
+    parts = written(fragments(docs, one, rows, nameless, k, order), "ngram-fragments", "uncompressed")
+    twice = parts.select("set_id").distinct().count() < rows or not parts.groupBy("set_id", "frag").count().where("count > 1").isEmpty()
+    whole = parts.dropDuplicates(["set_id", "frag"]) if twice else parts  # rows that share a doc_id, or have none
+    of_a = whole.select(F.col("set_id").alias("a"), "frag", F.col("part").alias("pa"))
+    of_b = whole.select(F.col("set_id").alias("b"), "frag", F.col("part").alias("pb"))
+    partial = pairs.join(of_b, "b").join(of_a, ["a", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
+    shared = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     links = written(shared.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"), "ngram-links")
-    for done in (pairs, ids):
-        drop_written(done)
+    drop_written(pairs, ids, parts)
+    forget_shuffles(pairs.sparkSession)
     return links
 
 
@@ -192,7 +212,7 @@ def _pairs(x: str, y: str) -> list:
     return [F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name) for p, q, c, name in ((x, y, "set_id", "a"), (x, y, "n", "na"), (y, x, "set_id", "b"), (y, x, "n", "nb"))]
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame | None:
+def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int, order) -> DataFrame | None:
     """(id, component) of the sets that link with another set; None where there are none."""
     members = sets.select("set_id", "n", F.posexplode("head").alias("pos", "key"))
     shared = written(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "ngram-keys")
@@ -200,24 +220,27 @@ def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
     hot = written(members.join(few, "key").dropDuplicates(["key", "set_id"]), "ngram-groups")
     drop_written(shared)
     several = hot.groupBy("key").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count("*").alias("c")).where("x < y").select("key", "c")
-    groups = written(hot.join(several, "key"), "ngram-members")
+    members = written(hot.join(several, "key"), "ngram-members")
     drop_written(hot)
-    if groups.isEmpty():
+    forget_shuffles(docs.sparkSession)
+    if members.isEmpty():
+        drop_written(members)
         return None
-    of_set = written(groups.groupBy("set_id").agg(F.sum("c").alias("score"), F.collect_list("key").alias("keys")), "ngram-set-keys")
+    of_set = written(members.groupBy("set_id").agg(F.sum("c").alias("score"), F.collect_list("key").alias("keys")), "ngram-set-keys")
     keys = of_set.select("set_id", "keys")
-    groups = groups.join(of_set.select("set_id", "score"), "set_id").select("key", "set_id", "n", "pos", "score")
+    groups = written(members.join(of_set.select("set_id", "score"), "set_id").select("key", "set_id", "n", "pos", "score"), "ngram-scored")
+    drop_written(members)
 
     def lead(of: DataFrame, all_: DataFrame) -> DataFrame:
         """Pairs of each group's first of `of` with the members of all_."""
         top = of.groupBy("key").agg(F.max(F.struct("score", "set_id", "n", "pos")).alias("t")).select("key", "t.*")
         return all_.alias("x").join(top.alias("y"), "key").where("x.set_id <> y.set_id").where(_fit("x", "y", percent)).select(*_pairs("x", "y")).distinct()
 
-    links = _verified(docs, sets, lead(groups, groups), keys, k, percent)
+    links = _verified(docs, sets, lead(groups, groups), keys, k, percent, order)
     comps = written(components(links), "ngram-components")
     done = None
     for peel in range(PEELS + 1):
-        now = groups.join(comps.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id")).drop("component")
+        now = groups.join(small(comps.withColumnRenamed("id", "set_id")), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id")).drop("component")
         by = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min("n").alias("least"))
         main = by.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("all"), F.count("*").alias("comps"), F.min("least").alias("least")).where("comps > 1").select("key", F.col("t.comp").alias("main"), F.col("all"), "least")
         mixed = now.join(main, "key")
@@ -234,38 +257,66 @@ def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
             pairs = rest.alias("x").join(mixed.alias("y"), "key").where("x.comp <> y.comp AND (y.comp = y.main OR x.set_id < y.set_id)").where(_fit("x", "y", percent)).select(*_pairs("x", "y")).distinct()
         else:
             top = rest.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("set_id"))
-            done = written(top if done is None else done.unionByName(top), "ngram-tested")
+            tested = written(top if done is None else done.unionByName(top), "ngram-tested")
+            if done is not None:
+                drop_written(done)
+            done = tested
             pairs = lead(rest, mixed)
-        more = _verified(docs, sets, pairs, keys, k, percent)
+        more = _verified(docs, sets, pairs, keys, k, percent, order)
         drop_written(rest)
-        links = links.union(more)
+        all_links = written(links.union(more), "ngram-links")
+        drop_written(links, more, comps)
+        links = all_links
         comps = written(components(links), "ngram-components")
         if last:
             break
+    drop_written(links, groups, of_set, *([done] if done is not None else []))
     return comps
 
 
-def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t, n, comp for each row of docs (doc_id, text): comp names the component; t is the hash of the text."""
     docs = docs.select("doc_id", "text")
-    ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(docs, k))
-    sets = written(heads(docs, k, percent, ranks), "ngram-heads", "uncompressed")
-    comps = linked_sets(docs, sets, k, percent)
-    narrow = sets.select("doc_id", "n", "set_id")
+    order = docs.sparkSession.sparkContext.broadcast(global_order(docs, k))
+    sets = written(heads(docs, k, percent, order), "ngram-heads", "uncompressed")
+    comps = linked_sets(docs, sets, k, percent, order)
+    rows = sets.select("doc_id", "t", "n", "set_id")
     if comps is not None:
-        narrow = narrow.join(comps.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("set_id", F.coalesce("component", "set_id"))
-    least = narrow.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("component_id"))
-    return narrow.join(least, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        rows = rows.join(small(comps.withColumnRenamed("id", "set_id")), "set_id", "left").withColumn("set_id", F.coalesce("component", "set_id"))
+    out = written(rows.select("doc_id", "t", "n", F.col("set_id").alias("comp")), "ngram-rows")
+    drop_written(sets, *([comps] if comps is not None else []))
+    return out
+
+
+def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    rows = grouped(docs, k, percent)
+    several = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("comp", "least")
+    several = written(several, "ngram-least")
+    named = rows.join(small(several.withColumn("many", F.lit(True))), "comp", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("many"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one of the smallest doc_id; rows without doc_id stay. Rows that repeat
-    a doc_id and its text are one document."""
-    drop = written(joined(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct(), "ngram-drop")
-    n = drop.count()
-    out = docs.join(F.broadcast(drop) if n <= BROADCAST_ROWS else drop, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if twice else out
+    """docs with one row of each component: that of the smallest doc_id (those without doc_id last), then of the smallest hash
+    of its text. Rows without words are in no component and stay. Of rows alike in doc_id and text any one is kept."""
+    rows = grouped(docs, k, percent).where("n > 0")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    several = written(rows.groupBy("comp").agg(F.min(who).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("comp", "first"), "ngram-first")
+    marked = rows.join(small(several), "comp").select(F.col("doc_id").alias("drop_id"), F.col("t").alias("drop_t"), (F.col("first") == who).alias("is_first"))
+    gone = written(marked.groupBy("drop_id", "drop_t", "is_first").agg(F.count("*").alias("rows")).where("NOT is_first OR rows > 1"), "ngram-drop")
+    held = boxed(docs, "doc_id", "text").withColumn("t", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("t") == F.col("drop_t"))
+    out = held.join(small(gone), same, "left_anti").select("row_")
+    again = gone.where("is_first")
+    if not again.isEmpty():  # rows alike in doc_id and text, of which one stays
+        out = out.union(held.join(small(written(again, "ngram-again")), same, "left_semi").dropDuplicates(["doc_id", "text"]).select("row_"))
+    return out.select("row_.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
