@@ -79,7 +79,7 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+def boxed(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """All columns of docs as the struct row_, beside those asked for, so that no name that an operator adds can clash."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), *columns)
 

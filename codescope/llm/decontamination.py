@@ -1,16 +1,20 @@
-"""Benchmark decontamination by containment search with MinHash, in DataFrame functions alone.
+"""Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions alone.
 
 Test items are short and documents long, so their Jaccard similarity says nothing; sought is containment, the share of an
-item's shingles that a document has. Items are partitioned by size: an item of q shingles keeps its m smallest hash
-values, m = q - ceil(threshold * q) + 1. A document that lacks at most q - ceil(threshold * q) shingles of the item has at
-least one of those m, so the sketch finds every such document. What it finds is verified by exact containment.
+item's shingles that a document has. Items are partitioned by size, in powers of two. All items of a partition have MinHash
+signatures of one length: their smallest hash values, as many as the largest item of the partition may lack, and EXTRA more.
+The hits of a signature in a document estimate containment: a document that has threshold of an item of q shingles lacks
+q - ceil(threshold * q) of them at most, so it has at least the rest of the signature. Pairs with so many hits are
+candidates, among which no such document is missing, and exact containment decides them.
 
 Words are those between white space, lower-cased in A-Z; an item of fewer words than a shingle is one shingle of all its
 words, and documents are then cut into runs of that many words too.
 
 Defined results: null, empty and blank texts and items have no shingles and match nothing; repeated document rows give
-each pair once; equal items match alike; an empty table on either side
-gives no match; only doc_id and text, item_id and text are looked at; rows without doc_id match nothing.
+each pair once; documents without doc_id are told apart by text; equal items match alike; a containment of exactly the
+threshold counts; very long texts are read whole; an empty table on either side gives no match; only doc_id and text,
+item_id and text are looked at, and without_contaminated() keeps further columns, whatever their names. Shingles, and texts
+that share a doc_id, are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, table, word_array, written
+from .common import ascii_lower, boxed, let, table, word_array, written
 
 WORDS = 5
 THRESHOLD_PERCENT = 80
-#: Sketches and candidates of at most so many rows are broadcast (16 bytes a row); beyond, they are joined by shuffle.
+EXTRA = 3
+#: Signatures and candidates of at most so many rows are broadcast (some 40 bytes a row), and items of at most five times as
+#: many shingles (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -46,27 +52,53 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, item_id, n_item_shingles, n_shared: the pairs in which the document has at least percent of the item's shingles."""
+def signatures(items: DataFrame, percent: int) -> DataFrame:
+    """items (item_id, shingles) -> item_id, partition (of sizes from 2 ** partition on), need (hits), signature."""
+    lacked = lambda q: F.floor(q * (100 - percent) / 100).cast("int")
+    q = F.size("shingles")
+    sized = items.where(q > 0).select("item_id", "shingles", F.floor(F.log2(q)).cast("int").alias("partition"))
+    most = F.pow(F.lit(2), F.col("partition") + 1) - 1
+    cut = sized.select("item_id", "partition", lacked(q).alias("lacked"), F.slice(F.array_sort("shingles"), F.lit(1), lacked(most) + 1 + EXTRA).alias("signature"))
+    return cut.select("item_id", "partition", (F.size("signature") - F.col("lacked")).alias("need"), "signature")
+
+
+def candidates(hashed: DataFrame, sketch: DataFrame) -> DataFrame:
+    """hashed (doc_id, t, h: a distinct shingle), sketch (item_id, need, h) -> the (doc_id, t, item_id) with enough hits."""
+    hits = hashed.join(sketch, "h").groupBy("doc_id", "t", "item_id").agg(F.count("*").alias("hits"), F.max("need").alias("need"))
+    return hits.where("hits >= need").select("doc_id", "t", "item_id")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """doc_id, t (hash of the text), item_id, n_item_shingles, n_shared: the pairs of at least percent containment."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).where("text IS NOT NULL")
     items = written(item_shingles(benchmark, words), "decontamination-items")
-    sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()] or [words]
+    sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()] or [words]  # at most words of them
     q = F.size("shingles")
-    missing = F.floor(q * (100 - percent) / 100).cast("int")
-    sketch = items.select("item_id", F.explode(F.slice(F.array_sort("shingles"), F.lit(1), missing + 1)).alias("h"))
-    n_items, n_sketch = items.count(), sketch.count()
-    hashed = docs.select("doc_id", F.explode(document_runs(F.col("text"), sizes)).alias("h"))
-    pairs = written(hashed.join(small(sketch, n_sketch), "h").select("doc_id", "item_id").distinct(), "decontamination-candidates")
-    found = pairs.select("doc_id").distinct()
-    again = docs.join(small(found, pairs.count()), "doc_id", "left_semi")
-    sets = again.select("doc_id", document_runs(F.col("text"), sizes).alias("has")).join(small(pairs, pairs.count()), "doc_id")
-    whole = sets.join(small(items, n_items * 64), "item_id").select("doc_id", "item_id", q.cast("long").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "has")).cast("long").alias("n_shared"))
-    return whole.where(100 * F.col("n_shared") >= percent * F.col("n_item_shingles")).groupBy("doc_id", "item_id").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.max("n_shared").alias("n_shared"))
+    sketch = written(signatures(items, percent).select("item_id", "need", F.explode("signature").alias("h")), "decontamination-signatures")
+    held = items.agg(F.coalesce(F.sum(q), F.lit(0))).first()[0]
+    hashed = docs.select("doc_id", "t", F.explode(document_runs(F.col("text"), sizes)).alias("h"))
+    pairs = written(candidates(hashed, small(sketch, sketch.count())), "decontamination-candidates")
+    n = pairs.count()
+    same = lambda d: F.col("doc_id").eqNullSafe(d["i"]) & (F.col("t") == d["u"])
+    found = small(pairs.select(F.col("doc_id").alias("i"), F.col("t").alias("u")).distinct(), n)
+    again = docs.join(found, same(found), "left_semi").dropDuplicates(["doc_id", "t"])
+    named = small(pairs.select(F.col("doc_id").alias("i"), F.col("t").alias("u"), "item_id"), n)
+    sets = again.select("doc_id", "t", document_runs(F.col("text"), sizes).alias("has")).join(named, same(named)).select("doc_id", "t", "has", "item_id")
+    whole = sets.join(small(items, held // 5), "item_id").select("doc_id", "t", "item_id", q.cast("long").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "has")).cast("long").alias("n_shared"))
+    return whole.where(100 * F.col("n_shared") >= percent * F.col("n_item_shingles"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """doc_id, item_id, n_item_shingles, n_shared: the pairs in which the document has at least percent of the item's shingles."""
+    lone = F.when(F.col("doc_id").isNull(), F.col("t")).alias("lone")
+    return matches(docs, benchmark, **how).groupBy("doc_id", lone, "item_id").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.max("n_shared").alias("n_shared")).drop("lone")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents of docs that contain no item, with the columns of docs."""
-    hits = written(contaminated(docs.select("doc_id", "text"), benchmark, **how).select("doc_id").distinct(), "decontamination-hits")
-    return docs.join(small(hits, hits.count()), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    hits = written(matches(docs, benchmark, **how).select(F.col("doc_id").alias("hit_id"), F.col("t").alias("hit_t")).distinct(), "decontamination-hits")
+    held = boxed(docs, "doc_id", F.xxhash64("text").alias("t"))
+    return held.join(small(hits, hits.count()), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("t") == F.col("hit_t")), "left_anti").select("row_.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
