@@ -6,8 +6,8 @@ Base spans are those of four fixed patterns. The field then reads a window of wo
 Its spans that touch no base span are added. It is trained once, on sentences made from templates by a fixed seed.
 
 Defined results: a null text counts as empty; equal rows get equal results; very long texts are read whole, windows being
-as long as they need and segments one word of any length, or at most LONGEST words and MOST_CHARS characters; an empty table gives no rows; further
-columns aren't looked at.
+as long as they need and segments at most LONGEST words of any length; of segmentations that score alike the one with words
+left alone, then with earlier kinds, is taken; an empty table gives no rows; further columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -16,18 +16,21 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = (*KINDS, "secret")
 LONGEST = 6
-MOST_CHARS = 80
+PIECE = 4 << 20  # bytes of text that are read at once, more only where one text has more
+#: Beyond so many characters, spelt-out addresses are matched in time linear in the length.
+BACKTRACK = 80
 #: What a decoded segment's score must exceed, in nats over leaving its words alone.
 MARGIN = 1.0
 
@@ -89,38 +92,55 @@ SHAPES = {
     "phone": re.compile(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
     "hex": re.compile(r"[0-9a-f]{30,}"),
     "access_key": re.compile(r"A[KS]IA[0-9A-Z]{16}"),
-    "assigned": re.compile(r"(?=\w++[=:])(?i:\w*(?:password|passwd|secret|token|api_?key)\w*)[=:][^\s=]{6,}"),
+    "assigned": re.compile(r"(?=\w++[=:][^\s=]{6,}\Z)(?i:\w*(?:password|passwd|secret|token|api_?key)\w*)[=:][^\s=]{6,}"),
     "words": re.compile(r"[^0-9@=]*"),
 }
 
 
-SPELT_AT = re.compile(r"[\w.%+-]+")
-SPELT_DOT = re.compile(r"[\[(](?:dot|DOT)[\])]?|(?:dot|DOT)[\])]")
+#: SHAPES["spelt_email"] as an automaton: from each state, (characters, next state), and the state reached without a character.
+LOCAL_OF, WORD_OF = re.compile(r"[\w.%+-]").match, re.compile(r"[\w-]").match
+LETTER_OF = re.compile(r"[A-Za-z]").match
 
 
-def spelt_word(s: str) -> bool:
-    """Whether a word has the shape spelt_email, in time that is linear in its length: the pattern tries every way to cut it
-    at its "at"s and "dot"s. A bracket must belong to one of these; of the others the first "at" that may be one will do."""
-    if not (m := SPELT_AT.match(s)):
+def _chars(s: str):
+    return frozenset(s).__contains__
+
+
+STEPS = {
+    0: [(LOCAL_OF, 1)], 1: [(LOCAL_OF, 1)], 2: [(_chars(" "), 3)], 3: [(_chars("[("), 4)], 4: [(_chars("a"), 5), (_chars("A"), 6)], 5: [(_chars("t"), 7)], 6: [(_chars("T"), 7)],
+    7: [(_chars("])"), 8)], 8: [(_chars(" "), 9)], 9: [(WORD_OF, 10)], 10: [(WORD_OF, 10)], 11: [(_chars(" "), 12)], 12: [(_chars("[("), 13)], 13: [(_chars("d"), 14), (_chars("D"), 16)],
+    14: [(_chars("o"), 15)], 16: [(_chars("O"), 17)], 15: [(_chars("t"), 18)], 17: [(_chars("T"), 18)], 18: [(_chars("])"), 19)], 19: [(_chars(" "), 20)], 20: [(LETTER_OF, 21)], 21: [(WORD_OF, 21)],
+}
+SKIPS = {1: 2, 2: 3, 3: 4, 7: 8, 8: 9, 10: 11, 11: 12, 12: 13, 18: 19, 19: 20, 21: 11}
+SPELT = re.compile("(?:at|AT).*(?:dot|DOT)", re.DOTALL)
+
+
+def spelt_email(s: str) -> bool:
+    """Whether s has the shape spelt_email, in time that is linear in its length: the pattern tries every way to cut it at its
+    "at"s and "dot"s, all states are followed at once here."""
+    if not SPELT.search(s):
         return False
-    q = m.end()
-    starts = [q - 2] if q > 2 and s[q : q + 1] in ("]", ")") and s[q - 2 : q] in ("at", "AT") else []
-    if s[q : q + 1] in ("[", "(") and s[q + 1 : q + 3] in ("at", "AT"):
-        starts.append(q + 1)
-    first = re.compile("at|AT").search(s, max(1, 1 + max(s.rfind(c, 0, q) for c in ".%+")), q)
-    if first and first.start() not in starts:
-        starts.append(first.start())
-    for at in starts:
-        host, *rest = SPELT_DOT.split(s[at + 2 + (s[at + 2 : at + 3] in ("]", ")")) :])
-        if re.fullmatch(r"[\w-]+", host) and all(re.fullmatch(r"[A-Za-z][\w-]*", x) for x in rest) and (rest or re.compile("(?:dot|DOT)[A-Za-z]").search(host, 1)):
-            return True
-    return False
+    now = {0}
+    for c in s:
+        new = set()
+        for state in now:
+            for holds, to in STEPS[state]:
+                if holds(c):
+                    while to not in new:
+                        new.add(to)
+                        if to not in SKIPS:
+                            break
+                        to = SKIPS[to]
+        if not new:
+            return False
+        now = new
+    return 21 in now
 
 
 def shapes(s: str) -> list[str]:
-    if len(s) <= MOST_CHARS:
+    if len(s) <= BACKTRACK:
         return [k for k, p in SHAPES.items() if p.fullmatch(s)]
-    return [k for k, p in SHAPES.items() if (spelt_word(s) if k == "spelt_email" else p.fullmatch(s))]
+    return [k for k, p in SHAPES.items() if (spelt_email(s) if k == "spelt_email" else p.fullmatch(s))]
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -154,8 +174,6 @@ def segments(text: str, words: list[tuple[int, int]]) -> list[list[tuple[int, in
     for j in range(1, len(words) + 1):
         here = []
         for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
-            if i < j - 1 and words[j - 1][1] - words[i][0] > MOST_CHARS:
-                break
             start, end = trimmed(text, words[i][0], words[j - 1][1])
             # a segment begins in its first word and ends in its last
             if start < min(end, words[i][1]) and end > words[j - 1][0]:
@@ -203,8 +221,8 @@ class Field:
                 out.append(seg)
         return out[::-1]
 
-    def learn(self, segs, truth: set[tuple[int, int, int]], rate: float) -> None:
-        """A step along the gradient of the log-likelihood of the true segmentation: true counts less expected ones."""
+    def gradient(self, segs, truth: set[tuple[int, int, int]]):
+        """The log-likelihood of the true segmentation and its gradient by w and t: true counts less expected ones."""
         n, kinds, t = len(segs) - 1, range(len(FOUND) + 1), self.t
         scored = self.scores(segs)
         fwd = [[-math.inf] * len(kinds) for _ in range(n + 1)]
@@ -218,23 +236,52 @@ class Field:
         bwd[n] = [0.0] * len(kinds)
         begins: dict = {}
         for j in range(1, n + 1):
-            for i, a, b, f, sc in scored[j]:
+            for i, _, _, _, sc in scored[j]:
                 begins.setdefault(i, []).append((j, sc))
         for i in range(n - 1, -1, -1):
             for p in kinds:
                 bwd[i][p] = add([t[p][0] + bwd[i + 1][0]] + [t[p][y] + sc[y - 1] + bwd[j][y] for j, sc in begins.get(i, []) for y in kinds[1:]])
         z = bwd[0][0]
-        true_ends = {}
+        dw: list[dict[str, float]] = [{} for _ in FOUND]
+        dt = [[0.0] * len(kinds) for _ in kinds]
+        ends = {}
         for j in range(1, n + 1):
+            for p in kinds:
+                if fwd[j - 1][p] > -math.inf:
+                    dt[p][0] -= math.exp(min(0.0, fwd[j - 1][p] + t[p][0] + bwd[j][0] - z))
             for i, a, b, f, sc in scored[j]:
                 for y in kinds[1:]:
-                    gain = -sum(math.exp(min(0.0, fwd[i][p] + t[p][y] + sc[y - 1] + bwd[j][y] - z)) for p in kinds if fwd[i][p] > -math.inf)
+                    gain = 0.0
+                    for p in kinds:
+                        if fwd[i][p] > -math.inf:
+                            m = math.exp(min(0.0, fwd[i][p] + t[p][y] + sc[y - 1] + bwd[j][y] - z))
+                            dt[p][y] -= m
+                            gain -= m
                     if (a, y - 1, b) in truth:
                         gain += 1
-                        true_ends[j] = (i, y)
+                        ends[j] = (i, y, sc[y - 1])
                     if abs(gain) > 1e-4:
                         for x in f:
-                            self.w[y - 1][x] = self.w[y - 1].get(x, 0.0) * (1 - 1e-4) + rate * gain
+                            dw[y - 1][x] = dw[y - 1].get(x, 0.0) + gain
+        path, j = [], n
+        while j:
+            i, y, s = ends.get(j, (j - 1, 0, 0.0))
+            path.append((y, s))
+            j = i
+        p, value = 0, 0.0
+        for y, s in reversed(path):
+            dt[p][y] += 1
+            value += t[p][y] + s
+            p = y
+        return value - z, dw, dt
+
+    def learn(self, segs, truth: set[tuple[int, int, int]], rate: float) -> None:
+        """A step along the gradient."""
+        _, dw, dt = self.gradient(segs, truth)
+        for w, d in zip(self.w, dw, strict=True):
+            for x, g in d.items():
+                w[x] = w.get(x, 0.0) * (1 - 1e-4) + rate * g
+        self.t = [[v * (1 - 1e-4) + rate * g for v, g in zip(row, d, strict=True)] for row, d in zip(self.t, dt, strict=True)]
 
 
 def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
@@ -331,12 +378,20 @@ def windows(text: str):
 
 
 def spans(text: str, field: Field) -> tuple[list, list]:
-    """Base spans, and all."""
+    """Base spans, and all: those of the field that touch none of them are added."""
     base = base_spans(text)
     found = list(base)
+    starts, stops = [], []  # of what base spans cover
+    for a, _, b in base:
+        if stops and a <= stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            starts.append(a)
+            stops.append(b)
     for words in windows(text):
         for a, kind, b in field.best(segments(text, words)):
-            if not any(a < e and s < b for s, _, e in base):
+            k = bisect_left(starts, b)
+            if not (k and stops[k - 1] > a):
                 found.append((a, kind, b))
     return base, sorted(found)
 
@@ -356,22 +411,21 @@ def redact(text: str, found: list) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, the counts of base spans, base_sha256, spans, redacted."""
+    """docs (doc_id, text) -> doc_id, the counts of base spans, base_sha256, spans, n_spans (of all), redacted."""
     held = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                cols: list = [[] for _ in range(7)]
+            for part in pieces(b, 1, PIECE):
+                cols: list = [[] for _ in range(8)]
                 for text in part.column(1).to_pylist():
                     base, all_ = spans(text or "", held.value)
-                    row = [*(sum(k == kind for _, k, _ in base) for kind in range(len(KINDS))), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), redact(text or "", all_)]
+                    row = [*(sum(k == kind for _, k, _ in base) for kind in range(len(KINDS))), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), len(all_), redact(text or "", all_)]
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "redacted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, redacted string")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
