@@ -6,8 +6,9 @@ sources by highest quotients, and within a source to its shards likewise: intege
 in order of doc_id, form blocks; every block is taken as often as the quota covers the shard whole, and a seeded order of
 the blocks says which are taken once more.
 
-Defined results: null and blank texts have size 0 and nothing taken; rows without source are one source, the last; rows that
-repeat a doc_id are counted by row and returned once each; equal ranks go by shard or block number; a source without words
+Defined results: null and blank texts have size 0 and nothing taken; rows without source are one source, the last; rows
+without doc_id are dealt to shards by size; rows that repeat a doc_id are counted by row and returned once each; very long texts
+are split among blocks like others; equal ranks go by shard or block number; a source without words
 has target 0; an empty table gives no rows; further columns are kept by mixed().
 """
 
@@ -26,10 +27,15 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_TIMES = 2
 SEED = "mix"
-#: Counts of at most so many documents are broadcast (12 bytes each); beyond, they are joined by shuffle.
+#: Tables of at most so many rows, of documents (12 bytes each), shards or sources, are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.size(word_array(F.col("text"))).cast("long"))
 
@@ -62,31 +68,51 @@ def apportioned(ps: Column, seats: Column) -> Column:
     return F.when(total > 0, let(fitted, lambda s: of_divisor(s["hi"]))).otherwise(F.transform(ps, lambda p: F.lit(0).cast("long")))
 
 
+def running(df: DataFrame, tag: str, order: list[str], **sums: str) -> DataFrame:
+    """df with place (from 0) in a total order, and for each of sums the total of that column over the rows before. Rows are
+    sorted by range into a table in the shared folder, and what lies before each range is added up first."""
+    at = F.monotonically_increasing_id()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at_", at), tag).withColumn("range_", F.shiftright("at_", 33))
+    inner, outer = Window.partitionBy("range_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("range_").agg(F.count("*").alias("place"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    before = ranges.select("range_", *(F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"{c}_") for c in ("place", *sums)))  # a row a range
+    own = {"place": F.shiftright(F.shiftleft("at_", 31), 31), **{k: F.coalesce(F.sum(c).over(inner), F.lit(0)) for k, c in sums.items()}}
+    return rows.join(F.broadcast(before), "range_").select(*df.columns, *((F.col(f"{k}_") + v).alias(k) for k, v in own.items()))
+
+
 def targets(totals: DataFrame) -> DataFrame:
-    """totals (source, source_size) -> with target (double) and quota (blocks). One row a source; sources are taken to fit one row."""
-    one = totals.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("none"), F.encode("source", "utf-8").alias("code"), F.col("source"), F.col("source_size").alias("size")))).alias("ss"))
-    weight = lambda i: F.get(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (i % len(WEIGHTS)).cast("int"))
-    cap = lambda s: s["size"] * float(MOST_TIMES)
-    ss = one.withColumn("ss", F.transform("ss", lambda s, i: F.struct(s["source"].alias("source"), s["size"].alias("size"), weight(i).alias("v"))))
-
-    def reshare(done: Column, _) -> Column:
-        """done: the sources that have reached their cap; adds those that the rest's share takes over theirs."""
-        ss = F.col("ss")
-        whole = F.aggregate(ss, F.lit(0.0), lambda a, s: a + s["size"]) * (SHARE_PERCENT / 100)
-        full = F.aggregate(F.zip_with(ss, done, lambda s, d: F.when(d, cap(s)).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-        free = F.aggregate(F.zip_with(ss, done, lambda s, d: F.when(d, F.lit(0.0)).otherwise(s["v"])), F.lit(0.0), lambda a, x: a + x)
-        return let(F.when(free > 0, (whole - full) / free).otherwise(F.lit(0.0)), lambda rate: F.zip_with(ss, done, lambda s, d: d | (rate * s["v"] >= cap(s))))
-
-    done = F.aggregate(F.col("ss"), F.transform("ss", lambda s: F.lit(False)), reshare)
-    with_done = ss.withColumn("done", done)
-    whole = F.aggregate("ss", F.lit(0.0), lambda a, s: a + s["size"]) * (SHARE_PERCENT / 100)
-    full = F.aggregate(F.zip_with("ss", "done", lambda s, d: F.when(d, cap(s)).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    free = F.aggregate(F.zip_with("ss", "done", lambda s, d: F.when(d, F.lit(0.0)).otherwise(s["v"])), F.lit(0.0), lambda a, x: a + x)
-    rated = with_done.withColumn("rate", F.when(free > 0, (whole - full) / free).otherwise(F.lit(0.0)))
-    ps = rated.select(F.zip_with("ss", "done", lambda s, d: F.struct(F.when(d, cap(s)).otherwise(F.col("rate") * s["v"]).alias("w"), s["source"].alias("source"), s["size"].alias("size"))).alias("ps"))
-    seats = ps.withColumn("seats", F.round(F.aggregate("ps", F.lit(0.0), lambda a, p: a + p["w"]) / BLOCK).cast("long"))
-    given = seats.withColumn("q", apportioned(F.col("ps"), F.col("seats")))
-    return given.select(F.explode(F.arrays_zip("ps", "q")).alias("x")).select(F.col("x.ps.source").alias("source"), F.col("x.ps.size").alias("source_size"), F.col("x.ps.w").alias("target"), F.col("x.q").alias("quota"))
+    """totals (source, source_size) -> with target (double) and quota (blocks). One row a source; no task holds all sources."""
+    named = totals.select("source", F.col("source_size").alias("size"), F.col("source").isNull().alias("none"), F.encode("source", "utf-8").alias("code"))
+    v = F.get(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (F.col("place") % len(WEIGHTS)).cast("int"))
+    cap = F.col("size") * float(MOST_TIMES)
+    weighed = running(named, "mix-order", ["none", "code"]).select("source", "size", F.col("place").alias("i"), v.alias("v"), cap.alias("cap"), (cap / v).alias("full_at"))
+    # from the source that is full first: what is left for it and those after it, by weight
+    filled = written(running(weighed, "mix-caps", ["full_at", "i"], cap_before="cap", v_before="v"), "mix-filled")
+    whole = filled.agg((F.sum("size") * (SHARE_PERCENT / 100)).alias("whole"), F.sum("v").alias("all_v"))
+    rate = (F.col("whole") - F.col("cap_before")) / (F.col("all_v") - F.col("v_before"))
+    stop = filled.crossJoin(F.broadcast(whole)).agg(F.coalesce(F.min(F.when(rate * F.col("v") < F.col("cap"), F.col("place"))), F.count("*")).alias("stop"))  # one row
+    capped = filled.crossJoin(F.broadcast(stop)).withColumn("capped", F.col("place") < F.col("stop"))
+    rest = capped.agg(F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0.0)).alias("full"), F.sum(F.when(~F.col("capped"), F.col("v"))).alias("free")).crossJoin(whole)
+    target = F.when(F.col("capped"), F.col("cap")).otherwise((F.col("whole") - F.col("full")) / F.col("free") * F.col("v"))
+    aimed = written(capped.crossJoin(F.broadcast(rest)).select("source", "size", "i", target.alias("w")), "mix-targets")
+    return blocks_of(aimed).select("source", F.col("size").alias("source_size"), F.col("w").alias("target"), "quota")
+
+
+def blocks_of(parties: DataFrame) -> DataFrame:
+    """parties (source, size, i, w) -> with quota: so many blocks as all w hold, by Sainte-Laguë, ties in order of i. Half a seat a
+    party is the most that rounding w / divisor adds or takes, so two divisors bound the quotients that are left to compare."""
+    one = parties.agg(F.sum("w").alias("total"), F.round(F.sum("w") / BLOCK).cast("long").alias("seats"), F.count("*").alias("n"))
+    near = lambda shift: F.col("total") / (F.col("seats") + shift)
+    rounded = lambda d: F.floor(F.col("w") / d + 0.5).cast("long")
+    slack = F.col("n") / 2 + 1
+    sure = F.when(F.col("seats") > slack, rounded(near(-slack))).otherwise(F.lit(0).cast("long"))
+    most = F.when(F.col("total") > 0, rounded(near(slack))).otherwise(F.lit(0).cast("long"))
+    based = written(parties.crossJoin(F.broadcast(one)).select("source", "size", "i", "w", "seats", sure.alias("base"), most.alias("most")), "mix-bases")
+    left = based.agg((F.max("seats") - F.sum("base")).alias("left"))
+    open_ = based.where("most > base").select("i", "w", F.explode(F.sequence("base", F.col("most") - 1)).alias("j")).select("i", (-F.col("w") / (2 * F.col("j") + 1)).alias("q"))
+    won = running(open_, "mix-quotients", ["q", "i"]).crossJoin(F.broadcast(left)).where("place < left").groupBy("i").agg(F.count("*").alias("more"))
+    return based.join(won, "i", "left").select("source", "size", "w", (F.col("base") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
 def shards_of(size: Column) -> Column:
@@ -96,13 +122,15 @@ def shards_of(size: Column) -> Column:
 def taken(docs: DataFrame) -> DataFrame:
     """docs (doc_id, source, size) -> doc_id, source, size, source_size, target, taken, row by row."""
     plan = written(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-sources")
-    plan = plan.withColumnRenamed("source", "s")
-    shard = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"), shards_of(F.col("source_size"))).cast("int")
+    plan = small(plan.withColumnRenamed("source", "s"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("size").cast("string")))
+    shard = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|"), name)), 1, 8), 16, 10).cast("long"), shards_of(F.col("source_size"))).cast("int")
     dealt = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "quota", shard.alias("shard"))
     of_shard = dealt.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words"))
     by_source = of_shard.groupBy("source", "quota").agg(F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("all"))  # MOST_SHARDS at most
     listed = by_source.withColumn("ps", F.transform("all", lambda x: F.struct(x["words"].cast("double").alias("w"), x["shard"].alias("shard"))))
     quotas = listed.select("source", F.explode(F.arrays_zip("ps", apportioned(F.col("ps"), F.col("quota")).alias("q"))).alias("x")).select(F.col("source").alias("s"), F.col("x.ps.shard").alias("h"), F.col("x.q").alias("shard_quota"))
+    quotas = small(written(quotas, "mix-quotas"))
     ready = dealt.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))).drop("s", "h", "quota")
     group = Window.partitionBy("source", "shard")
     placed = ready.withColumn("stop", F.sum("size").over(group.orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))).withColumn("words", F.sum("size").over(group)).withColumn("row", F.row_number().over(group.orderBy("doc_id", "size")))
@@ -123,9 +151,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     chosen = taken(written(sizes(docs).select("doc_id", "source", "size"), "mix-sizes")).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}-draw|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     times = chosen.select(F.col("doc_id").alias("mix_id"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("times")).where("times > 0")
-    plan = written(times, "mix-times")
-    small = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    joined = boxed(docs, "doc_id").join(small, F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    joined = boxed(docs, "doc_id").join(small(written(times, "mix-times")), F.col("doc_id").eqNullSafe(F.col("mix_id")))
     return joined.select("row_", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row_.*")
 
 
@@ -144,7 +170,7 @@ t AS (SELECT *, CASE WHEN capped THEN cap ELSE (whole - coalesce(sum(cap) FILTER
 n AS (SELECT *, round(sum(target) OVER () / {BLOCK})::BIGINT AS seats, sum(target) OVER () AS total, count(*) OVER () AS parties FROM t),
 q AS (SELECT i, count(*) AS quota FROM (SELECT i, seats, row_number() OVER (ORDER BY w / (2 * j + 1) DESC, i) AS place FROM (SELECT i, seats, target AS w, unnest(range(0, floor(seats * target / total)::BIGINT + parties + 2)) AS j FROM n WHERE total > 0)) WHERE place <= seats GROUP BY i),
 a AS (SELECT n.*, coalesce(quota, 0) AS quota FROM n LEFT JOIN q USING (i)),
-h AS (SELECT d.*, a.i, a.size AS source_size, target, quota, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(1, least({MOST_SHARDS}, ceil(a.size / {SHARD})))::BIGINT AS shard FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+h AS (SELECT d.*, a.i, a.size AS source_size, target, quota, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '-' || d.size::VARCHAR)), 1, 8))::BIGINT % greatest(1, least({MOST_SHARDS}, ceil(a.size / {SHARD})))::BIGINT AS shard FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
 w AS (SELECT i, shard, quota, sum(size)::DOUBLE AS words, sum(sum(size)) OVER (PARTITION BY i) AS total, count(*) OVER (PARTITION BY i) AS parties FROM h GROUP BY i, shard, quota),
 y AS (SELECT i, shard, count(*) AS shard_quota FROM (SELECT i, shard, quota, row_number() OVER (PARTITION BY i ORDER BY words / (2 * j + 1) DESC, shard) AS place FROM (SELECT *, unnest(range(0, floor(quota * words / total)::BIGINT + parties + 2)) AS j FROM w WHERE total > 0)) WHERE place <= quota GROUP BY i, shard),
 p AS (SELECT h.*, coalesce(shard_quota, 0) AS shard_quota, sum(size) OVER (PARTITION BY h.i, h.shard ORDER BY doc_id NULLS FIRST, size, r) AS stop, sum(size) OVER (PARTITION BY h.i, h.shard) AS words FROM h LEFT JOIN y ON y.i = h.i AND y.shard = h.shard),
