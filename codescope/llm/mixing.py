@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, let, table, word_array, written
+from .common import boxed, let, running, table, word_array, written
 
 BLOCK = 128
 #: Words that a shard has about; no source has more than MOST_SHARDS shards, so beyond their product shards grow.
@@ -68,19 +68,6 @@ def apportioned(ps: Column, seats: Column) -> Column:
     return F.when(total > 0, let(fitted, lambda s: of_divisor(s["hi"]))).otherwise(F.transform(ps, lambda p: F.lit(0).cast("long")))
 
 
-def running(df: DataFrame, tag: str, order: list[str], **sums: str) -> DataFrame:
-    """df with place (from 0) in a total order, and for each of sums the total of that column over the rows before. Rows are
-    sorted by range into a table in the shared folder, and what lies before each range is added up first."""
-    at = F.monotonically_increasing_id()
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at_", at), tag).withColumn("range_", F.shiftright("at_", 33))
-    inner, outer = Window.partitionBy("range_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("range_").agg(F.count("*").alias("place"), *(F.sum(c).alias(k) for k, c in sums.items()))
-    before = ranges.select("range_", *(F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"{c}_") for c in ("place", *sums)))  # a row a range
-    own = {"place": F.shiftright(F.shiftleft("at_", 31), 31), **{k: F.coalesce(F.sum(c).over(inner), F.lit(0)) for k, c in sums.items()}}
-    return rows.join(F.broadcast(before), "range_").select(*df.columns, *((F.col(f"{k}_") + v).alias(k) for k, v in own.items()))
-
-
 def targets(totals: DataFrame) -> DataFrame:
     """totals (source, source_size) -> with target (double) and quota (blocks). One row a source; no task holds all sources."""
     named = totals.select("source", F.col("source_size").alias("size"), F.col("source").isNull().alias("none"), F.encode("source", "utf-8").alias("code"))
