@@ -7,7 +7,7 @@ revisit it.
 
 Defined results: a null html is an empty payload; rows without page_id are responses; rows that repeat page_id and payload
 are all written alike (all responses where theirs is the smallest page_id); a null url is left out of the record; an empty
-table gives no bundle and no row; further columns aren't looked at.
+table gives no bundle and no row; a very long html is a frame of its own; further columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -115,7 +115,9 @@ class Bundle:
         return self.z.decompress(self.f.read_at(int(self.sizes[k, 0]), int(self.starts[k])), max_output_size=int(self.sizes[k, 1]))
 
     def get(self, page_id: int) -> list[bytes]:
-        return [self.frame(k)[at : at + n] for i, known, k, at, n in self.index.tolist() if i == page_id and known]
+        """The records of a page_id, from their frames alone."""
+        found = self.index[(self.index[:, 0] == page_id) & (self.index[:, 1] == 1)]
+        return [self.frame(k)[at : at + n] for _, _, k, at, n in found.tolist()]
 
     def records(self):
         """(page_id, record) in file order; one frame at a time is held."""
@@ -131,8 +133,8 @@ def write_bundles(pages: DataFrame, out_dir: str) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     long_ = rows.where((F.octet_length("payload") >= LEAST) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = long_.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to")
-    revisits = written(long_.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
+    first = written(long_.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to"), "warc-first")
+    revisits = written(long_.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
     small = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
     decided = rows.join(small, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
@@ -158,6 +160,18 @@ def write_bundles(pages: DataFrame, out_dir: str) -> DataFrame:
     return written(decided.mapInArrow(write, "path string, n_records long, bytes long"), "warc-manifest")
 
 
+def located(manifest: DataFrame) -> DataFrame:
+    """Where each record is: page_id, path, frame, offset (in the frame), n_bytes; from the ends of the bundles alone."""
+
+    def read(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                x = Bundle(path).index
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0], mask=x[:, 1] == 0), pa.array([path] * len(x), pa.string()), *(pa.array(np.ascontiguousarray(x[:, k])) for k in (2, 3, 4))], names=["page_id", "path", "frame", "offset", "n_bytes"])
+
+    return manifest.select("path").repartition(max(1, min(manifest.count(), 10_000))).mapInArrow(read, "page_id long, path string, frame long, offset long, n_bytes long")
+
+
 def read_bundles(manifest: DataFrame) -> DataFrame:
     """Reads the bundles back: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads of responses are
     hashed again and held against their digest."""
