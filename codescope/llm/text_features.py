@@ -42,10 +42,10 @@ def counted_sample(docs: DataFrame, ids: DataFrame, count, dims: int) -> tuple[l
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                rows = [np.minimum(count(t), 65535).astype("<u2").tobytes() for t in part.column(2).to_pylist()]
+                rows = [count(t).astype("<u4").tobytes() for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     kind = ids.schema["label"].dataType.simpleString()
     found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").mapInArrow(run, f"doc_id long, label {kind}, x binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<u2").reshape(-1, dims)
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<u4").reshape(-1, dims)
     return found.column("label").to_pylist(), x
