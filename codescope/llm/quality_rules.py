@@ -20,13 +20,15 @@ from .common import boxed, let, table, word_array
 
 ROUNDS = 20
 KEEP_AT = 0.5
-#: What is assumed of a rule before counting: its share of bad votes on good documents, with the weight of as many votes as it
-#: casts in all, and on bad documents, with the weight of four votes. Where few rules disagree, votes alone can't tell classes apart.
-GOOD_PRIOR = (0.005, lambda cast: cast + 1.0)
-BAD_PRIOR = (0.25, lambda cast: F.lit(4.0))
+#: A rule's share of bad votes on good documents is estimated under the bound MOST_FALSE: without it a rule that alone fires on a
+#: kind of junk is explained away, as votes of rules that don't fire together can't tell classes apart.
+MOST_FALSE = 0.01
+#: Votes of (share of bad, weight in votes) that are added to those cast on good and on bad documents; they vanish beside many.
+GOOD_PRIOR = (MOST_FALSE, 20.0)
+BAD_PRIOR = (0.25, 4.0)
 #: name: (bad, good) as SQL conditions over the measures of a document; neither: the rule abstains.
 RULES = {
-    "length": ("n_words < 50", "n_words >= 100"),
+    "length": ("FALSE", "n_words >= 100"),
     "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
     "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
     "lines": ("n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines", "n_lines >= 4 AND 10 * n_dup_lines <= n_lines"),
@@ -103,19 +105,19 @@ def posteriors(counts: DataFrame) -> DataFrame:
         return F.aggregate(F.zip_with(ps, q, lambda p, x: F.when(keep(p), p["n"] * x).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
 
     def step(ps: Column):
-        def rates(q: Column, bad_rate: float, weight) -> Column:
-            """For each rule: the share of bad votes among the votes it casts on the documents that q weighs, as if weight(votes
-            cast in all) votes more had been cast, of which bad_rate were bad."""
+        def rates(q: Column, bad_rate: float, more: float, bound: float = 1.0) -> Column:
+            """For each rule: the share of bad votes, bound at most, among the votes it casts on the documents that q weighs and
+            so many more, of which bad_rate are bad."""
 
             def of(j: Column) -> Column:
-                more = weight(mass(ps, F.transform(ps, lambda p: F.lit(1.0)), lambda p: F.get(p["votes"], j) != 0))
-                return (mass(ps, q, lambda p: F.get(p["votes"], j) == -1) + bad_rate * more) / (mass(ps, q, lambda p: F.get(p["votes"], j) != 0) + more)
+                share = (mass(ps, q, lambda p: F.get(p["votes"], j) == -1) + bad_rate * more) / (mass(ps, q, lambda p: F.get(p["votes"], j) != 0) + more)
+                return F.least(share, F.lit(bound))
 
             return F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), of)
 
         def new(q: Column) -> Column:
             rest = F.transform(q, lambda x: 1.0 - x)
-            both = F.struct(rates(q, *GOOD_PRIOR).alias("g"), rates(rest, *BAD_PRIOR).alias("b"), (mass(ps, q, lambda p: F.lit(True)) + 1.0).alias("ng"), (mass(ps, rest, lambda p: F.lit(True)) + 1.0).alias("nb"))
+            both = F.struct(rates(q, *GOOD_PRIOR, MOST_FALSE).alias("g"), rates(rest, *BAD_PRIOR).alias("b"), (mass(ps, q, lambda p: F.lit(True)) + 1.0).alias("ng"), (mass(ps, rest, lambda p: F.lit(True)) + 1.0).alias("nb"))
 
             def posterior(m: Column) -> Column:
                 def of(p: Column) -> Column:
@@ -167,7 +169,7 @@ def _rounds_sql() -> str:
     parts = ["q0 AS (SELECT pid, n, CASE WHEN list_contains(votes, -1) THEN 0.1 ELSE 0.95 END AS q FROM pats)"]
     for k in range(1, ROUNDS + 1):
         parts.append(f"t{k} AS MATERIALIZED (SELECT sum(n * q) AS g, sum(n * (1 - q)) AS b FROM q{k - 1})")
-        parts.append(f"a{k} AS MATERIALIZED (SELECT j, (coalesce(sum(n * q) FILTER (v = -1), 0) + {GOOD_PRIOR[0]} * (sum(n) + 1.0)) / (sum(n * q) + sum(n) + 1.0) AS g, (coalesce(sum(n * (1 - q)) FILTER (v = -1), 0) + {BAD_PRIOR[0]} * 4.0) / (sum(n * (1 - q)) + 4.0) AS b FROM q{k - 1} JOIN cast_votes USING (pid) WHERE v <> 0 GROUP BY j)")
+        parts.append(f"a{k} AS MATERIALIZED (SELECT j, least((coalesce(sum(n * q) FILTER (v = -1), 0) + {GOOD_PRIOR[0] * GOOD_PRIOR[1]}) / (sum(n * q) + {GOOD_PRIOR[1]}), {MOST_FALSE}) AS g, (coalesce(sum(n * (1 - q)) FILTER (v = -1), 0) + {BAD_PRIOR[0] * BAD_PRIOR[1]}) / (sum(n * (1 - q)) + {BAD_PRIOR[1]}) AS b FROM q{k - 1} JOIN cast_votes USING (pid) WHERE v <> 0 GROUP BY j)")
         parts.append(f"r{k} AS MATERIALIZED (SELECT j, v, CASE WHEN v = -1 THEN ln(b) - ln(g) WHEN v = 1 THEN ln(1 - b) - ln(1 - g) ELSE 0 END AS w FROM (SELECT DISTINCT j, v FROM cast_votes) LEFT JOIN a{k} USING (j))")
         parts.append(f"q{k} AS MATERIALIZED (SELECT pid, any_value(n) AS n, 1 / (1 + exp(sum(w) + any_value(ln(b + 1) - ln(g + 1)))) AS q FROM q{k - 1} JOIN cast_votes USING (pid) JOIN r{k} USING (j, v), t{k} GROUP BY pid)")
     return ",\n".join(parts)
