@@ -6,7 +6,8 @@ and for bad documents, how often a rule that votes votes bad; abstentions say no
 place of a filter that all rules must pass.
 
 Defined results: null, empty and blank texts have no words, fail the base rule and aren't kept; repeated rows count as
-often as they occur; an empty table gives no rows; further columns are kept by keep_good() and not looked at.
+often as they occur; very long texts are measured whole; a posterior of exactly KEEP_AT is kept; an empty table gives no
+rows; further columns, whatever their names, are kept by keep_good() and not looked at.
 Windows of three words are compared by a 64-bit hash within a document.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, let, table, word_array
+from .common import let, table, word_array, written
 
 ROUNDS = 20
 KEEP_AT = 0.5
@@ -57,7 +58,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with a struct column `measures_` of what the rules look at."""
+    """docs with a struct column `measures_` of what the rules look at, in place of text."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_words(w: Column) -> Column:
@@ -76,7 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    return docs.withColumn("measures_", let(word_array(F.col("text")), of_words))
+    return docs.withColumn("measures_", let(word_array(F.col("text")), of_words)).drop("text")
 
 
 def votes(measures: str = "measures_") -> Column:
@@ -139,10 +140,12 @@ def posteriors(counts: DataFrame) -> DataFrame:
     return one.select(F.explode(F.arrays_zip(F.col("ps"), fitted.alias("q")).cast("array<struct<p:struct<votes:array<int>,n:bigint>,q:double>>")).alias("x")).select(F.col("x.p.votes").alias("votes_"), F.col("x.q").alias("p_good_"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs with measures_, votes_ and p_good_; the table of patterns that is joined has 3 ** rules rows at most."""
-    seen = measured(docs).withColumn("votes_", votes())
-    counts = measured(docs.select("text")).where(~base_failed()).select(votes().alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))
+def judged(docs: DataFrame, *kept: str) -> DataFrame:
+    """row_ (a struct of the kept columns), measures_, votes_ and p_good_ of docs. Texts are measured once, into a table in the
+    shared folder that holds row_ too; the table of patterns that is joined has 3 ** rules rows at most."""
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row_")
+    seen = written(measured(docs.select(row, "text")), "quality-measures").withColumn("votes_", votes())
+    counts = seen.where(~base_failed()).groupBy(F.col("votes_").alias("votes")).agg(F.count("*").alias("n"))
     return seen.join(F.broadcast(posteriors(counts)), "votes_", "left")
 
 
@@ -156,12 +159,12 @@ def verdict() -> Column:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of docs."""
-    return judged(boxed(docs, "text")).where(verdict()).select("row_.*")
+    return judged(docs, *docs.columns).where(verdict()).select("row_.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("measures_")
-    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(m[k].alias(k) for k in MEASURES[:5]), base_failed().alias("base_failed"), verdict().alias("kept"))
+    return judged(table(spark, sf_dir, "documents"), "doc_id").select("row_.doc_id", *(m[k].alias(k) for k in MEASURES[:5]), base_failed().alias("base_failed"), verdict().alias("kept"))
 
 
 def _rounds_sql() -> str:
