@@ -1,33 +1,38 @@
 """Token-ID output: one wavelet matrix per shard.
 
 Documents are dealt by range of doc_id into shards. A shard is one file: the ids of its documents, an end id after
-each, cut into segments, each segment a wavelet matrix of 16 bit-planes. Every plane is a zstd frame with a rank
-directory, so access, counting and occurrence lookup decompress only the planes of the segments they touch.
+each, as a wavelet matrix of 16 bit-planes (a shard of more than SEGMENT ids has several). Every plane is a zstd frame with
+a rank directory, so access, counting and occurrence lookup decompress only the planes they touch.
 
 Defined results: a null text counts as empty (end id alone); null doc_ids come first; documents that share a doc_id
-follow each other in order of text; an empty table gives no shard and no row; columns other than doc_id and text are
-not looked at.
+follow each other in order of text; repeated rows are written each; very long texts are encoded whole, one at a time; an
+empty table gives no shard and no row; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
-from array import array
+from bisect import bisect_left
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attempt_name, filesystem, scratch, table, write_file, written
+from .common import attempt_name, filesystem, pieces, scratch, table, write_file, written
 
 MAGIC = b"CSWAVE01"
 BITS = 16
-SEGMENT = 1 << 20
+SEGMENT = 1 << 24  # ids of one matrix: all of a shard, unless few or equal doc_ids make it larger than shards are meant to be
+PIECE = 8 << 20  # bytes of text that are encoded at once, more only where one text has more
 BLOCK = 512  # bits between entries of the rank directory
 END_ID = 2
+ID_OF = attrgetter("id")
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -39,79 +44,125 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 class Encoder:
     """Encodes texts with a tokenizer whose pre-tokenizer never crosses white space, which drops white space and
-    lower-cases, by words, with a cache of words: the ids of a text are those of its words in turn."""
-
-    #: Words of one pre-token: only ASCII and Latin-1 small letters.
-    SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-    STOPS = {b".", b",", b";", b":", b"!", b"?"}
+    lower-cases, by words, with a cache of words: the ids of a text are those of its words in turn. Words of ASCII and Latin-1
+    small letters are cut into pre-tokens here; all others are given to the library whole."""
+
+    #: Words whose pre-tokens PIECES finds.
+    is_plain = re.compile(rb"(?:[!-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+    is_letters = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+    #: The pre-tokenizer's pattern over such words. Fixed values.
+    PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
     _made: dict = {}
 
     def __init__(self, path: str, most: int = 1_000_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.t, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.t, self.most, self.cache = Tokenizer.from_file(path), most, {b"": b""}
         vocab = self.t.get_vocab()
         if max(vocab.values()) >= 1 << BITS:
             raise ValueError(f"ids of {path} need more than {BITS} bits")
         chars = ByteLevel(add_prefix_space=False, use_regex=False)  # the characters that the model sees for bytes over 127
+        self.of_word = self.t.model.tokenize
         self.letters = {b: chars.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1] for b in (*range(0x9F, 0xB7), *range(0xB8, 0xC0))}
 
+    def forget(self) -> None:
+        self.cache = {b"": b""}
+
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """One for each worker process, so that the cache outlives a task."""
+        """One for each worker process."""
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _learn(self, new: set[bytes]) -> None:
-        simple, one, rest, stops = self.SIMPLE.fullmatch, self.t.model.tokenize, [], []
+    def _letters(self, words: list[bytes]) -> None:
+        """Learns words of letters alone, each of which is one pre-token."""
+        ids, stops, held = [], [0], gc.isenabled()
+        gc.disable()  # many short-lived objects, none in a cycle
+        words = sorted(words, key=bytes.isascii)
+        ascii_ = bisect_left(words, True, key=bytes.isascii)
+        wide, narrow = b"\n".join(words[:ascii_]).decode("latin-1").translate(self.letters), b"\n".join(words[ascii_:]).decode()
+        for tokens in map(self.of_word, [*(wide.split("\n") if wide else []), *(narrow.split("\n") if narrow else [])]):
+            ids.extend(map(ID_OF, tokens))
+            stops.append(2 * len(ids))
+        if held:
+            gc.enable()
+        raw = np.array(ids, "<u2").tobytes()
+        self.cache.update(zip(words, [raw[i:j] for i, j in zip(stops, stops[1:], strict=False)], strict=True))
+
+    def _learn(self, new: list[bytes]) -> None:
+        letters, plain, rest = [], [], []
         for w in new:
-            if simple(w):
-                self.cache[w] = array("H", [x.id for x in one(w.decode("latin-1").translate(self.letters))]).tobytes()
-            elif w[-1:] in self.STOPS and simple(w[:-1]):
-                stops.append(w)
-            else:
-                rest.append(w)
+            (letters if self.is_letters(w) else plain if self.is_plain(w) else rest).append(w)
+        cut = [self.PIECES.findall(w) for w in plain]
+        more = set().union(*cut).difference(self.cache, letters)
+        letters += [p for p in more if self.is_letters(p)]
+        if letters:
+            self._letters(letters)
+        for p in more:
+            if p not in self.cache:
+                self.cache[p] = np.array([x.id for x in self.of_word(p.decode())], "<u2").tobytes()
+        get = self.cache.__getitem__
+        for w, pieces_ in zip(plain, cut, strict=True):
+            self.cache[w] = b"".join(map(get, pieces_))
         for lo in range(0, len(rest), 5000):
             part = rest[lo : lo + 5000]
-            for w, e in zip(part, self.t.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, dtype="<u2").tobytes()
-        for w in stops:  # a letter run and one mark are two pre-tokens
-            if (ids := self.cache.get(w[:-1])) is None:
-                self._learn({w[:-1]})
-                ids = self.cache[w[:-1]]
-            if (mark := self.cache.get(w[-1:])) is None:
-                self._learn({w[-1:]})
-                mark = self.cache[w[-1:]]
-            self.cache[w] = ids + mark
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each UTF-8 text as little-endian 16-bit integers."""
-        words: list = []
-        for t in texts:
-            if b"<|" in t:  # may spell a special token, which is matched before lower-casing
-                words.append(None)
-            else:
-                words.append(t.lower().split())
-        new = set().union(*(w for w in words if w)).difference(self.cache)
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = set().union(*(w for w in words if w))
-        self._learn(new)
-        get = self.cache.__getitem__
-        return [np.array(self.t.encode(t.decode(), add_special_tokens=False).ids, dtype="<u2").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has. texts: strings without null."""
+        special = pc.match_substring(texts, "<|")  # may spell a special token, which is matched before lower-casing
+        if pc.any(special).as_py():
+            alone = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+            ids, sizes = self.encode(pc.if_else(special, "", texts))
+            parts, at = np.split(ids, np.cumsum(sizes)[:-1]), alone.tolist()
+            for k, text in zip(at, texts.take(pa.array(alone)).to_pylist(), strict=True):
+                parts[k] = np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint16)
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat = words.flatten().dictionary_encode()
+        stops = words.offsets.to_numpy() - words.offsets[0].as_py()
+        del words
+        distinct = flat.dictionary.cast(pa.binary()).to_pylist()
+        codes = flat.indices.to_numpy()
+        get = self.cache.get
+        found = [get(w) for w in distinct]
+        if None in found:
+            new = [w for w, x in zip(distinct, found, strict=True) if x is None]
+            if len(self.cache) + len(new) > self.most:
+                self.forget()
+                new = [w for w in distinct if w]
+            self._learn(new)
+            found = list(map(self.cache.__getitem__, distinct))
+        of_word = np.fromiter(map(len, found), np.int32, len(found)) >> 1
+        all_ids = np.frombuffer(b"".join(found), "<u2")
+        starts = np.cumsum(of_word, dtype=np.int32) - of_word
+        del flat, distinct, found
+        n = of_word[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        at = np.repeat(starts[codes] - ends[:-1].astype(kind), n)
+        at += np.arange(ends[-1], dtype=kind)
+        return all_ids[at], np.diff(ends[stops])
 
 
 def build_segment(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
     """The bit-planes (packed, highest bit first, each stably split by the planes before it) and their counts of zeros."""
-    planes, zeros = [], []
+    planes, zeros, n = [], [], len(ids)
+    spare = [np.empty_like(ids), np.empty_like(ids)]
     for bit in range(BITS - 1, -1, -1):
-        one = (ids >> np.uint16(bit)) & np.uint16(1) != 0
+        one = ((ids >> np.uint16(bit)).astype(np.uint8) & np.uint8(1)).view(bool)
         planes.append(np.packbits(one).tobytes())
-        left = ids[~one]
-        zeros.append(len(left))
-        ids = np.concatenate([left, ids[one]])
+        zeros.append(n - int(np.count_nonzero(one)))
+        to = spare[bit % 2]
+        np.compress(~one, ids, out=to[: zeros[-1]])
+        np.compress(one, ids, out=to[zeros[-1] :])
+        ids = to
     return planes, zeros
 
 
@@ -119,10 +170,10 @@ def restore_segment(planes: list[bytes], zeros: list[int], n: int) -> np.ndarray
     """All ids of a segment in their order: the splits are undone from the last plane to the first."""
     ids = np.zeros(n, dtype=np.uint16)
     for level in range(BITS - 1, -1, -1):
-        one = np.unpackbits(np.frombuffer(planes[level], np.uint8), count=n).astype(bool)
+        one = np.unpackbits(np.frombuffer(planes[level], np.uint8), count=n).view(bool)
         up = np.empty_like(ids)
-        up[~one] = ids[: zeros[level]]
-        up[one] = ids[zeros[level] :] | np.uint16(1 << (BITS - 1 - level))
+        up[np.flatnonzero(~one)] = ids[: zeros[level]]
+        up[np.flatnonzero(one)] = ids[zeros[level] :] | np.uint16(1 << (BITS - 1 - level))
         ids = up
     return ids
 
@@ -135,10 +186,11 @@ class ShardWriter:
         self.doc_ids, self.known, self.lengths, self.z = [], [], [], zstandard.ZstdCompressor(level=1)
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id or 0)
-        self.known.append(doc_id is not None)
-        self.lengths.append(len(ids))
+    def add(self, doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents with the sizes of theirs among ids."""
+        self.doc_ids += [x or 0 for x in doc_ids]
+        self.known += [x is not None for x in doc_ids]
+        self.lengths += sizes.tolist()
         self.pending.append(ids)
         self.held += len(ids)
         if self.held >= SEGMENT:
@@ -302,18 +354,19 @@ def write_shards(docs: DataFrame, out_dir: str, shards: int, tokenizer: str | No
     def write(batches):
         from pyspark import TaskContext
 
-        name, total, end = f"{out_dir}/{attempt_name('shard')}.wave", [0, 0], np.array([end_id], np.uint16)
+        name, total = f"{out_dir}/{attempt_name('shard')}.wave", [0, 0]
 
         def fill(out):
             w, enc = ShardWriter(out), Encoder.of(path)
             for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    part = b.slice(lo, 256)
-                    texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                    for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
-                        w.add(doc_id, np.concatenate([np.frombuffer(ids, "<u2"), end]))
+                for part in pieces(b, 1, PIECE):
+                    ids, sizes = enc.encode(pc.fill_null(part.column(1), ""))
+                    pa.default_memory_pool().release_unused()
+                    w.add(part.column(0).to_pylist(), sizes + 1, np.insert(ids, np.cumsum(sizes), end_id))
             w.close()
             total[:] = len(w.lengths), sum(w.lengths)
+            enc.forget()  # the worker outlives the task
+            pa.default_memory_pool().release_unused()
 
         first = next(batches, None)
         if first is None:
