@@ -1,7 +1,7 @@
 """Deletion of repeated line runs by a suffix array over line ids.
 
 A document is the sequence of its lines that have a word; a line's id is its hash. The suffixes that begin with a line that
-occurs again are ordered by prefix doubling: a rank by the first k lines, and the line and rank k lines further on, give the
+occurs again (in a stretch of such lines of at least WORDS words) are ordered by prefix doubling: a rank by the first k lines, and the line and rank k lines further on, give the
 rank by 2k lines. A rank is the place in the array of the first suffix that begins alike; suffixes that nothing else begins
 like are settled and leave. The longest common prefix of neighbours is found from the ranks of all rounds, the largest first.
 Suffixes between which no longest common prefix is below L are an interval, and share their first L lines.
@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import boxed, drop_written, pieces, running, table, written
@@ -46,8 +46,8 @@ def rounds(words: int) -> list[int]:
 
 
 def lines(docs: DataFrame, words: int) -> DataFrame:
-    """docs (doc_id, copy, text) -> none, doc_id, copy, i (among lines with a word), line_no, h, fwd, back: how many lines from
-    this one on, or up to it, first have so many words (0: all of them have fewer); ahead: the h of the lines so far on as a
+    """docs (doc_id, copy, text) -> none, doc_id, copy, i (among lines with a word), line_no, h, n (words), fwd, back: how many lines
+    from this one on, or up to it, first have so many words (0: all of them have fewer); ahead: the h of the lines so far on as a
     round ranks by, null past the end."""
     steps = rounds(words)
 
@@ -56,7 +56,7 @@ def lines(docs: DataFrame, words: int) -> DataFrame:
 
         for b in batches:
             for part in pieces(b, 2, PIECE):
-                cols: list = [[] for _ in range(7)]
+                cols: list = [[] for _ in range(8)]
                 ahead: list = []
                 for doc_id, copy, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     kept = [(k, x, n) for k, x in enumerate((raw or b"").split(b"\n")) if (n := len(x.split()))]
@@ -68,17 +68,25 @@ def lines(docs: DataFrame, words: int) -> DataFrame:
                     begin = np.searchsorted(total, total[1:] - words, side="right") - 1
                     at = np.arange(m)
                     h = [xxh3_64_intdigest(x) - (1 << 63) for _, x, _ in kept]
-                    for c, v in zip(cols, ([doc_id] * m, [copy] * m, at.tolist(), [k for k, _, _ in kept], h, np.where(end <= m, end - at, 0).tolist(), np.where(begin >= 0, at + 1 - begin, 0).tolist()), strict=True):
+                    for c, v in zip(cols, ([doc_id] * m, [copy] * m, at.tolist(), [k for k, _, _ in kept], h, [n for _, _, n in kept], np.where(end <= m, end - at, 0).tolist(), np.where(begin >= 0, at + 1 - begin, 0).tolist()), strict=True):
                         c.extend(v)
                     past = h + [None] * steps[-1]
                     ahead += [past[k + s] for k in range(m) for s in steps]
                 n = len(cols[0])
                 ids = pa.array(cols[0], pa.int64())
-                flat = [ids.is_null(), ids.fill_null(0), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True))]
+                flat = [ids.is_null(), ids.fill_null(0), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(steps), pa.int32()), pa.array(ahead, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*flat, lists], names=[*AT, "i", "line_no", "h", "fwd", "back", "ahead"])
+                yield pa.RecordBatch.from_arrays([*flat, lists], names=[*AT, "i", "line_no", "h", "n", "fwd", "back", "ahead"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("copy").cast("long"), "text").mapInArrow(cut, KEY + ", line_no int, h long, fwd int, back int, ahead array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("copy").cast("long"), "text").mapInArrow(cut, KEY + ", line_no int, h long, n int, fwd int, back int, ahead array<long>")
+
+
+def stretches(live: DataFrame, words: int) -> DataFrame:
+    """Of lines that occur again, those in a stretch of such lines, one after the other, of so many words or more: no run that
+    counts has others. A document's lines are counted up along it, so only narrow rows are sorted, by document."""
+    along = Window.partitionBy(*AT).orderBy("i")
+    apart = live.withColumn("stretch", F.col("i") - F.row_number().over(along))
+    return apart.withColumn("held", F.sum("n").over(Window.partitionBy(*AT, "stretch"))).where(F.col("held") >= words).drop("stretch", "held")
 
 
 def ranked(live: DataFrame, words: int) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
@@ -92,7 +100,7 @@ def ranked(live: DataFrame, words: int) -> tuple[list[tuple[int, DataFrame]], Da
         if 2 * k > rounds(words)[-1]:
             break
         later = reduce(DataFrame.unionByName, settled, now.select(*AT, "i", "r")).select(*AT, (F.col("i") - k).alias("i"), F.col("r").alias("r2"))
-        pairs = now.join(later, [*AT, "i"], "left").select(*AT, "i", "ahead", "r", F.get("ahead", F.lit(place)).alias("h2"), F.coalesce("r2", F.lit(0)).alias("r2"))
+        pairs = now.join(later, [*AT, "i"], "left").select(*AT, "i", "ahead", "r", F.get("ahead", F.lit(place)).alias("h2"), F.coalesce("r2", F.lit(-1)).alias("r2"))
         pairs = written(pairs, "suffix-pairs")
         groups = running(pairs.groupBy("r", "h2", "r2").agg(F.count("*").alias("c")), "suffix-order", ["r", "h2", "r2"], before="c")
         groups = written(groups, "suffix-groups")
@@ -165,7 +173,7 @@ def repeated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs (doc_id, copy, text) -> doc_id, copy, line_no of the lines to delete."""
     all_ = written(lines(docs, words), "suffix-lines")
     again = written(all_.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-again")
-    live = written(all_.join(small(again), "h"), "suffix-live")
+    live = written(stretches(all_.join(small(again), "h"), words).drop("n"), "suffix-live")
     drop_written(all_, again)
     runs = live.select(*AT, "i", F.explode(F.array(F.struct(F.col("i").alias("s"), F.col("fwd").alias("l")), F.struct((F.col("i") - F.col("back") + 1).alias("s"), F.col("back").alias("l")))).alias("x")).where("x.l > 0")
     depths = runs.select(*AT, F.col("x.s").alias("i"), "x.l").groupBy(*AT, "i").agg(F.collect_set("l").alias("depths"))  # words of them at most
