@@ -13,11 +13,14 @@ Windows of three words are compared by a 64-bit hash within a document.
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, word_array, written
+from .common import drop_written, let, table, word_array, written
 
 ROUNDS = 20
 KEEP_AT = 0.5
@@ -57,9 +60,10 @@ def repeat_words(words: Column) -> Column:
     return let(words, windows)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with a struct column `measures_` of what the rules look at, in place of text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of what the rules look at."""
+    whole = text
+    text = F.coalesce(text, F.lit(""))
 
     def of_words(w: Column) -> Column:
         lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -77,23 +81,27 @@ def measured(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    return docs.withColumn("measures_", let(word_array(F.col("text")), of_words)).drop("text")
+    return let(word_array(whole), of_words)
 
 
-def votes(measures: str = "measures_") -> Column:
-    """The votes of all rules, in their order."""
-    m = {k: F.col(measures)[k] for k in MEASURES}
+def _condition(m: Column, sql: str) -> Column:
+    """A condition as RULES has them (products compared, joined by AND or OR) over the struct m of measures."""
 
-    def holds(sql: str) -> Column:
-        return F.expr("".join(f"{measures}.{t}" if t in m else t for t in _tokens(sql)))
+    def product(t: str) -> Column:
+        return reduce(operator.mul, (F.lit(int(x)) if x.isdigit() else m[x] for x in t.split(" * ")))
 
-    return F.array(*(F.when(holds(bad), F.lit(-1)).when(holds(good), F.lit(1)).otherwise(F.lit(0)) for bad, good in RULES.values()))
+    def compared(t: str) -> Column:
+        if t == "FALSE":
+            return F.lit(False)
+        a, sign, b = re.fullmatch(r"(.+) (<=|>=|<|>) (.+)", t).groups()
+        return {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[sign](product(a), product(b))
 
+    return reduce(operator.or_, (reduce(operator.and_, map(compared, part.split(" AND "))) for part in sql.split(" OR ")))
 
-def _tokens(sql: str) -> list[str]:
-    import re
 
-    return re.findall(r"\w+|\W+", sql)
+def votes(m: Column) -> Column:
+    """The votes of all rules, in their order, from measures."""
+    return F.array(*(F.when(_condition(m, bad), F.lit(-1)).when(_condition(m, good), F.lit(1)).otherwise(F.lit(0)) for bad, good in RULES.values()))
 
 
 def posteriors(counts: DataFrame) -> DataFrame:
@@ -140,31 +148,39 @@ def posteriors(counts: DataFrame) -> DataFrame:
     return one.select(F.explode(F.arrays_zip(F.col("ps"), fitted.alias("q")).cast("array<struct<p:struct<votes:array<int>,n:bigint>,q:double>>")).alias("x")).select(F.col("x.p.votes").alias("votes_"), F.col("x.q").alias("p_good_"))
 
 
-def judged(docs: DataFrame, *kept: str) -> DataFrame:
-    """row_ (a struct of the kept columns), measures_, votes_ and p_good_ of docs. Texts are measured once, into a table in the
-    shared folder that holds row_ too; the table of patterns that is joined has 3 ** rules rows at most."""
-    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row_")
-    seen = written(measured(docs.select(row, "text")), "quality-measures").withColumn("votes_", votes())
-    counts = seen.where(~base_failed()).groupBy(F.col("votes_").alias("votes")).agg(F.count("*").alias("n"))
-    return seen.join(F.broadcast(posteriors(counts)), "votes_", "left")
+def counted(measured_: DataFrame) -> DataFrame:
+    """A table with measures_ -> (votes, n) of the documents that pass the base rule; 3 ** rules rows at most."""
+    return measured_.where(~base_failed(F.col("measures_"))).groupBy(votes(F.col("measures_")).alias("votes")).agg(F.count("*").alias("n"))
 
 
-def base_failed() -> Column:
-    return F.expr("".join(f"measures_.{t}" if t in MEASURES else t for t in _tokens(BASE_FAILED)))
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, measures_, votes_ and p_good_ of docs (doc_id, text). Texts are measured once, into a table in the shared folder."""
+    seen = written(docs.select("doc_id", measures(F.col("text")).alias("measures_")), "quality-measures")
+    return seen.withColumn("votes_", votes(F.col("measures_"))).join(F.broadcast(posteriors(counted(seen))), "votes_", "left")
+
+
+def base_failed(m: Column) -> Column:
+    return _condition(m, BASE_FAILED)
 
 
 def verdict() -> Column:
-    return ~base_failed() & F.coalesce(F.col("p_good_") >= KEEP_AT, F.lit(False))
+    return ~base_failed(F.col("measures_")) & F.coalesce(F.col("p_good_") >= KEEP_AT, F.lit(False))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of docs."""
-    return judged(docs, *docs.columns).where(verdict()).select("row_.*")
+    """The documents that the rules keep, with the columns of docs. Texts are measured twice, for the counts and for the verdicts:
+    that takes no copy of the corpus. The patterns of votes that are kept, 3 ** rules at most, go to the driver."""
+    seen = written(docs.select(measures(F.col("text")).alias("measures_")), "quality-measures")
+    good = [r["votes_"] for r in posteriors(counted(seen)).where(F.col("p_good_") >= KEEP_AT).select("votes_").collect()]
+    drop_written(seen)
+    kept = F.array(*(F.concat_ws(",", F.array(*(F.lit(str(v)) for v in p))) for p in good)) if good else F.array().cast("array<string>")
+    one = lambda m: ~base_failed(m) & F.array_contains(kept, F.concat_ws(",", votes(m).cast("array<string>")))
+    return docs.where(let(measures(F.col("text")), one))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("measures_")
-    return judged(table(spark, sf_dir, "documents"), "doc_id").select("row_.doc_id", *(m[k].alias(k) for k in MEASURES[:5]), base_failed().alias("base_failed"), verdict().alias("kept"))
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(m[k].alias(k) for k in MEASURES[:5]), base_failed(m).alias("base_failed"), verdict().alias("kept"))
 
 
 def _rounds_sql() -> str:
