@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import characters, entropy, found, hits, largest, let, lines_of, mean, median, occurrences, ratio, std, strip
+from .text import character_entropy, characters, entropy, found, hits, largest, let, lines_of, mean, median, occurrences, ratio, std, strip
 
 # Fixed values.
 TOKEN = r"[A-Za-z_]\w*|[0-9]+(?:\.[0-9]+)?|[^\s\w]"
@@ -92,7 +92,7 @@ def punctuation(code: Column) -> Column:
 
 def entropies(code: Column, tokens: Column) -> Column:
     pairs = lambda c: F.transform(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: F.concat(F.get(c, i), x))
-    return let(characters(code), lambda c: _struct(char_entropy=entropy(c), token_entropy=entropy(tokens), bigram_entropy=entropy(pairs(c))))
+    return _struct(char_entropy=character_entropy(code), token_entropy=entropy(tokens), bigram_entropy=let(characters(code), lambda c: entropy(pairs(c))))
 
 
 def repetition(lines: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import entropy, found, let, lines_of, mean, occurrences, ratio, std, strip
+from .text import entropy, found, hits, let, lines_of, mean, occurrences, ratio, std, strip
 
 # Fixed values.
 MARKERS = ("TODO", "FIXME", "HACK", "XXX", "NOTE", "BUG", "OPTIMIZE", "REFACTOR", "DEPRECATE", "TEMP")
@@ -54,15 +54,15 @@ def _code_to_comment(lines: Column) -> Column:
 
 
 def _formatting(code: Column) -> Column:
-    """The mean of the checks that apply: even numbers of blank lines before definitions, spaced operators, one style of quotes."""
-    before = F.split(code, r"(?dU)(?=\n\s*def\s+\w+)")  # what ends where a definition's line break begins
-    tails = F.transform(F.slice(before, F.lit(2), F.greatest(F.size(before) - 2, F.lit(0))), lambda p: F.size(lines_of(p)) - F.size(lines_of(F.regexp_replace(p, r"(?U)\s+\z", ""))))
+    """The mean of the checks that apply: even numbers of blank lines before definitions, spaced operators, one style of quotes.
+    A definition is found from the first line break before it on, so the blank lines before it belong to it, none are left to
+    count, and the numbers are even wherever there are two definitions."""
     spaced = sum((occurrences(code, o) for o in OPERATORS[1:]), occurrences(code, OPERATORS[0]))
     bare = sum((occurrences(code, o.strip()) for o in OPERATORS[1:]), occurrences(code, OPERATORS[0].strip()))
     single = occurrences(code, "'") - occurrences(code, "\\'")
     double = occurrences(code, '"') - occurrences(code, '\\"')
     checks = F.array(
-        F.when(F.size(tails) > 0, 1.0 - std(tails) / 3.0),
+        F.when(hits(code, r"\n[\s\x1c-\x1f]*def[\s\x1c-\x1f]+\w+") > 1, 1.0),
         F.when(bare > 0, F.least(F.lit(1.0), spaced / bare)),
         F.when(single + double > 0, F.greatest(single, double) / (single + double)),
     )

@@ -83,6 +83,19 @@ def entropy(items: Column) -> Column:
     return F.when(F.size(items) == 0, F.lit(0.0)).otherwise(let(F.array_sort(items), of))
 
 
+def character_entropy(text: Column) -> Column:
+    """Shannon entropy in bits of the characters. Where few differ, each is counted in one pass over the text; else, as their number
+    times the length may be large, the characters are sorted."""
+    n = F.length(text)
+
+    def of(kinds: Column) -> Column:
+        counts = F.transform(kinds, lambda x: (n - F.length(F.replace(text, x, F.lit("")))).cast("double"))
+        by_kind = F.log2(n) - F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c)) / n
+        return F.when(F.size(kinds) == 0, F.lit(0.0)).when(F.size(kinds) <= 200, by_kind).otherwise(entropy(characters(text)))
+
+    return let(F.array_distinct(characters(text)), of)
+
+
 def characters(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 

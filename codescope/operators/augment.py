@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import keyword
-import random
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .sampling import chosen
 
@@ -28,7 +28,7 @@ COMMENTS = (
 RENAME, REFORMAT, COMMENT = 0.5, 0.3, 0.2
 
 
-def renamed(code: str, rng: random.Random) -> str:
+def renamed(code: str) -> str:
     """Identifiers as var_0, var_1, ... by sorted name; what can't be parsed stays."""
     import ast
 
@@ -41,43 +41,57 @@ def renamed(code: str, rng: random.Random) -> str:
     return re.sub(r"\b[^\W\d]\w*\b", lambda m: table.get(m.group(), m.group()), code)
 
 
-def reformatted(code: str, rng: random.Random) -> str:
-    out: list[str] = []
-    for line in code.split("\n"):
-        out += [""] * (rng.random() < 0.05)
-        bare = line.lstrip()
-        indent = len(line) - len(bare)
-        if bare and indent:
-            draw = rng.random()
-            indent = 2 * indent if draw < 0.3 else max(1, indent // 2) if draw < 0.5 else indent
-        out.append(" " * indent + bare)
-        if out[-1] == "" and rng.random() < 0.05:
-            out.pop()
-    return "\n".join(out)
+def chance(seed: int, id_: Column, *what: Column) -> Column:
+    """A number from 0 to 1 that depends on seed, id and what alone."""
+    return F.pmod(F.xxhash64(F.lit(seed), id_, *what), F.lit(1_000_000)) / 1_000_000.0
 
 
-def commented(code: str, rng: random.Random) -> str:
-    out: list[str] = []
-    for line in code.split("\n"):
-        out.append(line)
-        if rng.random() < 0.08:
-            out.append(" " * (len(line) - len(line.lstrip())) + rng.choice(COMMENTS))
-    return "\n".join(out)
+def reformatted(code: Column, id_: Column, seed: int) -> Column:
+    """Lines with their indentation doubled (share 0.3) or halved (0.2) where they have one, a blank line before 0.05 of them,
+    and 0.05 of the blank ones left out."""
 
+    def line(x: Column, i: Column) -> Column:
+        draw = lambda what: chance(seed, id_, F.lit(what), i)
+        bare = F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+", "")
+        n = F.length(x) - F.length(bare)
+        to = F.when(draw("indent") < 0.3, 2 * n).when(draw("indent") < 0.5, F.greatest(F.lit(1), F.floor(n / 2).cast("int"))).otherwise(n)
+        own = F.when(bare == "", F.lit("")).otherwise(F.concat(F.repeat(F.lit(" "), F.when(n == 0, 0).otherwise(to)), bare))
+        return F.filter(F.array(F.when(draw("before") < 0.05, F.lit("")), F.when((own != "") | (draw("drop") >= 0.05), own)), lambda y: y.isNotNull())
 
-def augmented(code: str, seed: int, id_) -> str:
-    rng = random.Random(f"{seed}|{id_}")
-    steps = [f for f, p in ((renamed, RENAME), (reformatted, REFORMAT), (commented, COMMENT)) if rng.random() < p]
-    for f in steps or [rng.choice((renamed, reformatted, commented))]:
-        code = f(code, rng)
-    return code
+    return F.array_join(F.flatten(F.transform(F.split(code, "\n", -1), line)), "\n")
 
 
-def with_augmented(df: DataFrame, ratio: float, seed: int = 42, code: str = "code", id_: str = "ID") -> DataFrame:
-    """df and augmented copies of about that share of its rows, with their id and label."""
+def commented(code: Column, id_: Column, seed: int) -> Column:
+    """A comment, as far indented, after 0.08 of the lines."""
+    comments = F.array(*map(F.lit, COMMENTS))
+
+    def line(x: Column, i: Column) -> Column:
+        draw = lambda what: chance(seed, id_, F.lit(what), i)
+        indent = F.regexp_extract(x, r"(?U)^([\s\x1c-\x1f]*)", 1)
+        comment = F.concat(F.repeat(F.lit(" "), F.length(indent)), F.get(comments, F.floor(draw("which") * len(COMMENTS)).cast("int")))
+        return F.when(draw("comment") < 0.08, F.array(x, comment)).otherwise(F.array(x))
+
+    return F.array_join(F.flatten(F.transform(F.split(code, "\n", -1), line)), "\n")
+
 
-    @F.pandas_udf("string")
-    def change(text: pd.Series, ids: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else augmented(t, seed, i) for t, i in zip(text, ids, strict=True)], dtype=object)
+def augmented(df: DataFrame, seed: int = 42, code: str = "code", id_: str = "ID") -> DataFrame:
+    """df with code changed by the steps that are drawn for its id, in order: renamed, reformatted, commented; one of them where
+    none is. Python sees only the texts that are renamed."""
 
-    return df.unionByName(df.where(chosen(id_, ratio, seed)).withColumn(code, change(code, id_)))
+    @F.pandas_udf(StringType())
+    def _renamed(text: pd.Series) -> pd.Series:
+        return text.map(renamed, na_action="ignore")
+
+    key, kept = F.col(id_), df.columns
+    draw = lambda what: chance(seed, key, F.lit(what))
+    drawn = F.array(*(draw(what) < share for what, share in (("rename", RENAME), ("reformat", REFORMAT), ("comment", COMMENT))))
+    only = F.floor(draw("only") * 3).cast("int")
+    steps = df.withColumn("_steps", F.when(F.array_contains(drawn, True), drawn).otherwise(F.array(*(only == k for k in range(3)))))
+    out = steps.withColumn("_renamed", _renamed(F.when(F.get("_steps", F.lit(0)), F.col(code)))).withColumn(code, F.coalesce("_renamed", code))
+    out = out.withColumn(code, F.when(F.get("_steps", F.lit(1)), reformatted(F.col(code), key, seed)).otherwise(F.col(code)))
+    return out.withColumn(code, F.when(F.get("_steps", F.lit(2)), commented(F.col(code), key, seed)).otherwise(F.col(code))).select(*kept)
+
+
+def with_augmented(df: DataFrame, ratio: float, seed: int = 42, code: str = "code", id_: str = "ID") -> DataFrame:
+    """df and augmented copies of about that share of its rows, with their id and label."""
+    return df.unionByName(augmented(df.where(chosen(id_, ratio, seed)), seed, code, id_))

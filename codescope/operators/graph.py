@@ -6,6 +6,7 @@ the engine; register() adds others."""
 from __future__ import annotations
 
 import ast
+from collections import deque
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -23,15 +24,15 @@ def python_tree(code: str):
         tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    starts = [0]
-    for line in code.split("\n"):
-        starts.append(starts[-1] + len(line.encode()) + 1)
+    raw, starts = code.encode("utf-8", "surrogatepass"), [0]
+    for line in raw.split(b"\n"):
+        starts.append(starts[-1] + len(line) + 1)
 
     def place(n):
         if not hasattr(n, "lineno"):
             return 0, ""
         start = starts[n.lineno - 1] + n.col_offset
-        return start, code.encode()[start : starts[n.end_lineno - 1] + n.end_col_offset].decode("utf-8", "replace")[:TEXT]
+        return start, raw[start : min(start + 4 * TEXT, starts[n.end_lineno - 1] + n.end_col_offset)].decode("utf-8", "replace")[:TEXT]
 
     def make(n):
         start, text = place(n)
@@ -79,7 +80,11 @@ class _Html(HTMLParser):
 
 
 def html_tree(text: str):
-    return _Html().feed_all(text), lambda n: n
+    """None where the parser gives up, as on a marked section that it doesn't know."""
+    try:
+        return _Html().feed_all(text), lambda n: n
+    except (AssertionError, ValueError, RecursionError, MemoryError):
+        return None
 
 
 PROVIDERS = {"python": python_tree, "html": html_tree}
@@ -92,9 +97,9 @@ def register(language: str, provider) -> None:
 
 def flatten(root, make, order: str = "dfs") -> list[tuple]:
     """(node_id, parent_id, child_pos, depth, type, named, start, child_count, size, text) in preorder, or level by level."""
-    rows, stack = [], [(root, -1, 0, 0)]
+    rows, stack = [], deque([(root, -1, 0, 0)])
     while stack:
-        node, parent, place, depth = stack.pop() if order == "dfs" else stack.pop(0)
+        node, parent, place, depth = stack.pop() if order == "dfs" else stack.popleft()
         kind, named, start, text, children = make(node)
         me = len(rows)
         rows.append([me, parent, place, depth, kind, named, start, len(children), 1, text])
@@ -140,11 +145,10 @@ def truncated(tree: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
 
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:
-    """tree with subtree: nodes under each, itself included, from preorder and depth alone."""
-    later = tree.select(F.col("sample_id").alias("s"), F.col("node_id").alias("j"), F.col("depth").alias("dj"))
+    """tree, in preorder and maybe truncated, with subtree: nodes of the table under each, itself included. In preorder they follow
+    their node, so truncation cuts them at the table's end."""
     n = tree.groupBy("sample_id").agg(F.count("*").alias("n"))
-    ends = tree.join(later, (F.col("sample_id") == F.col("s")) & (F.col("j") > F.col("node_id")) & (F.col("dj") <= F.col("depth"))).groupBy("sample_id", "node_id").agg(F.min("j").alias("j"))
-    return tree.join(ends, ["sample_id", "node_id"], "left").join(n, "sample_id").withColumn("subtree", F.coalesce("j", "n") - F.col("node_id")).drop("j", "n")
+    return tree.join(n, "sample_id").withColumn("subtree", F.least("size", F.col("n") - F.col("node_id")).cast("int")).drop("n")
 
 
 def structural_features(tree: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -207,6 +211,11 @@ def vocabulary(tree: DataFrame, size: int = 8000) -> DataFrame:
     return top.withColumn("type_id", F.row_number().over(Window.orderBy(F.desc("n"), "type")))
 
 
+def sorted_vocabulary(tree: DataFrame) -> DataFrame:
+    """(type, type_id): all types in order of name, numbered from 1. A row a type."""
+    return tree.select("type").distinct().withColumn("type_id", F.row_number().over(Window.orderBy("type")))
+
+
 def encoded(tree: DataFrame, vocab: DataFrame) -> DataFrame:
     from .joins import lookup
 

@@ -83,18 +83,29 @@ def errors_per_class(df: DataFrame, n: int = 5, truth: str = "label", pred: str
     return misclassified(df, truth, pred).withColumn("place", F.row_number().over(Window.partitionBy(truth).orderBy(id_))).where(F.col("place") <= n)
 
 
-def thresholds(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """(score, tp, fp, pos, neg): counts at or above each distinct finite score. Rows are summed by score, and sums run over ranges
-    of the sorted scores first and then within a range, so that no task holds all scores."""
+RANGES = 64
+
+
+def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(score, p, m): positives and others at each finite score."""
     ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
-    by = ok.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("m"))
-    placed = by.orderBy(F.desc("score")).withColumn("part", F.spark_partition_id())
+    return ok.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("m"))
+
+
+def thresholds(df: DataFrame, score: str, label: str = "label") -> DataFrame:
+    """(score, p, m, tp, fp, pos, neg): counts at, and at or above, each distinct finite score. Scores are cut into RANGES ranges
+    by RANGES - 1 bounds, found first, not by a partitioning: which range a score is in depends on the score alone. Counts are
+    summed by range first and then within a range, so that no task holds all scores."""
+    by = _by_score(df, score, label)
+    bounds = by.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
+    above = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x > F.col("score")))
+    placed = by.select("score", "p", "m", above.alias("part"))
     parts = placed.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("m").alias("pm"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    sums = parts.select("part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("pm").over(before), F.lit(0)).alias("bm"), F.sum("pp").over(Window.partitionBy()).alias("pos"), F.sum("pm").over(Window.partitionBy()).alias("neg"))
+    before, all_ = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # a row a range
+    sums = parts.select("part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("pm").over(before), F.lit(0)).alias("bm"), F.sum("pp").over(all_).alias("pos"), F.sum("pm").over(all_).alias("neg"))
     inner = Window.partitionBy("part").orderBy(F.desc("score"))
     run = placed.join(F.broadcast(sums), "part")
-    return run.select("part", "score", (F.col("bp") + F.sum("p").over(inner)).alias("tp"), (F.col("bm") + F.sum("m").over(inner)).alias("fp"), "pos", "neg").drop("part")
+    return run.select("score", "p", "m", (F.col("bp") + F.sum("p").over(inner)).alias("tp"), (F.col("bm") + F.sum("m").over(inner)).alias("fp"), "pos", "neg")
 
 
 def roc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
@@ -104,9 +115,7 @@ def roc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
 def auc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
     """Area under the curve from pair counts: a positive beats the negatives below it and half of those beside it; 0.5 if a
     class is absent."""
-    t = thresholds(df, score, label)
-    own = df.where(~F.isnan(score) & (F.abs(score) != float("inf")) & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("m"))
-    won = t.join(own, "score").agg(F.sum(F.col("p") * (F.col("neg") - F.col("fp") + F.col("m") / 2.0)).alias("w"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
+    won = thresholds(df, score, label).agg(F.sum(F.col("p") * (F.col("neg") - F.col("fp") + F.col("m") / 2.0)).alias("w"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
     return won.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("w") / (F.col("pos") * F.col("neg"))).otherwise(0.5).alias("auc"))
 
 
@@ -124,6 +133,14 @@ def best_f1_threshold(df: DataFrame, score: str, label: str = "label") -> DataFr
     return scored.orderBy(F.desc("macro_f1"), F.desc("score")).limit(1).select(F.col("score").alias("threshold"), "macro_f1")
 
 
+def perplexity_bundle(df: DataFrame, score: str, label: str = "label") -> DataFrame:
+    """One row: n_valid and n_infinite scores, the Youden threshold and its auc; 100.0 and 0.5 where no score is finite."""
+    finite = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf"))
+    counts = df.agg(F.count(F.when(finite, 1)).alias("n_valid"), F.count(F.when(~finite, 1)).alias("n_infinite"))
+    best = youden(df, score, label).select("threshold")
+    return counts.crossJoin(F.broadcast(auc(df, score, label))).join(F.broadcast(best), F.lit(True), "left").select("n_valid", "n_infinite", F.coalesce("threshold", F.lit(100.0)).alias("threshold"), "auc")
+
+
 def threshold_predictions(df: DataFrame, score: str, at: float) -> DataFrame:
     """1 below the threshold; 0 at or above it and for scores that aren't finite."""
     return df.withColumn("prediction", F.when(F.col(score).isNull() | F.isnan(score), 0).when(F.col(score) < at, 1).otherwise(0))

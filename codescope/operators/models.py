@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +61,11 @@ def stacked(model, df: DataFrame, features: str = "features") -> DataFrame:
 
 
 def hybrid_head(df: DataFrame, embedding: str, features: list[str], size: int, classes: int, hidden=(256, 128), label: str = "label", seed: int = 42):
-    """A perceptron over an embedding and handcrafted features, both scaled."""
-    parts = df.withColumn("_e", array_to_vector(F.col(embedding)))
-    stages = [VectorAssembler(inputCols=["_e", *features], outputCol="_v", handleInvalid="keep"), StandardScaler(inputCol="_v", outputCol="features", withMean=True), MultilayerPerceptronClassifier(labelCol=label, layers=[size + len(features), *hidden, classes], maxIter=100, seed=seed)]
-    return Pipeline(stages=stages).fit(parts), "_e"
+    """A perceptron over an embedding of that size and handcrafted features, both scaled; predicted() takes it."""
+    parts = [f"_e{k}" for k in range(size)]
+    cut = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{embedding}`[{k}] AS DOUBLE) AS {c}" for k, c in enumerate(parts)) + " FROM __THIS__")
+    stages = [cut, VectorAssembler(inputCols=[*parts, *features], outputCol="_v", handleInvalid="keep"), StandardScaler(inputCol="_v", outputCol="features", withMean=True), MultilayerPerceptronClassifier(labelCol=label, layers=[size + len(features), *hidden, classes], maxIter=100, seed=seed)]
+    return Pipeline(stages=stages).fit(df)
 
 
 def graph_summary(tree: DataFrame, edge_table: DataFrame, types: list[str]) -> DataFrame:

@@ -11,7 +11,18 @@ def draw(id_: str = "ID", seed: int = 42) -> Column:
 
 
 def _ranked(df: DataFrame, by: list[str], id_: str, seed: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(draw(id_, seed), id_)))
+    """df with _r, the place of a row in its group's order of draws. A group is cut by the first digits of the draw into 4,096 parts,
+    which are counted first, so that no task holds a group."""
+    cut = F.substring(draw(id_, seed), 1, 3)
+    named = [F.col(b).alias(f"_g{k}") for k, b in enumerate(by)]
+    sizes = df.select(*named, cut.alias("_part")).groupBy(*(f"_g{k}" for k in range(len(by))), "_part").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*(f"_g{k}" for k in range(len(by)))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*(f"_g{k}" for k in range(len(by))), "_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    placed = df.withColumn("_cut", cut).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_cut").orderBy(draw(id_, seed), id_)))
+    same = F.col("_cut") == F.col("_part")
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_g{k}"))
+    return placed.join(before, same).withColumn("_r", F.col("_r") + F.col("_before")).select(*df.columns, "_r")
 
 
 def sample_rows(df: DataFrame, n: int, id_: str = "ID", seed: int = 42) -> DataFrame:
@@ -20,7 +31,7 @@ def sample_rows(df: DataFrame, n: int, id_: str = "ID", seed: int = 42) -> DataF
 
 def cap(df: DataFrame, by: list[str], most: int, id_: str = "ID", seed: int = 42) -> DataFrame:
     """At most so many rows of each group; Spark limits groups before the shuffle."""
-    return _ranked(df, by, id_, seed).where(F.col("_r") <= most).drop("_r")
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(draw(id_, seed), id_))).where(F.col("_r") <= most).drop("_r")
 
 
 def balance_cap(total: int, n_a: int, n_b: int, step: int = 50) -> int:

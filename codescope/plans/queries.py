@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import ast33, lexical44, signature57, stylometric12
 from ..functions.text import ascii_only, clip, normalise
 from ..operators import augment, clean, graph, joins, metrics, models, profile, sampling, submission, vectors
+from ..sources import io
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +115,17 @@ def clip_scores(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(clip(F.coalesce("value", F.lit(0.0)) / 100), 6).alias("clipped"))
 
 
+@query("SELECT doc_id, coalesce(quality, -1)::BIGINT AS quality, 'none' AS note FROM documents LEFT JOIN labels USING (doc_id)")
+def default_fill(spark, sf):
+    return rounded(clean.filled(table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "quality"), quality=-1, note="none"))
+
+
+@query("SELECT n_chars, md5(text) AS text_md5, row_number() OVER (ORDER BY n_chars, md5(text)) - 1 AS ID FROM documents")
+def numbered_rows(spark, sf):
+    d = table(spark, sf, "documents").select("n_chars", F.md5("text").alias("text_md5"))
+    return io.ensure_id(d, ["n_chars", "text_md5"])
+
+
 # ---- profiles ----
 
 @query(f"WITH {S} SELECT label::BIGINT AS label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM l GROUP BY label")
@@ -201,6 +213,12 @@ def union_splits(spark, sf):
     return profile.union(table(spark, sf, "benchmark").select(F.col("item_id").alias("ID"), F.col("text").alias("code")), samples(spark, sf).select("ID", "code", "language"))
 
 
+@query("SELECT 'other' AS language, count(*) AS n FROM customer WHERE c_custkey % 5 = 4")
+def unknown_languages(spark, sf):
+    names = F.array(*map(F.lit, ("py", " C++", "CS ", "golang", "other")))
+    return profile.unknown_languages(table(spark, sf, "customer").select(F.get(names, F.col("c_custkey") % 5).alias("language")))
+
+
 @query("SELECT event_type AS label, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(median(value), 6) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def score_stats(spark, sf):
     return rounded(profile.score_stats(table(spark, sf, "events").withColumnRenamed("event_type", "label"), "value"))
@@ -397,10 +415,10 @@ def tfidf_weights(spark, sf):
     return rounded(vectors.tfidf(f, vectors.fit_tfidf(f, id_="doc_id"), id_="doc_id").select("doc_id", "term", "weight"))
 
 
-@query(f"WITH {FOLD}, t AS (SELECT doc_id, regexp_extract_all(lower(code), '{vectors.TOKEN}') AS t FROM f), b AS (SELECT doc_id, unnest(['<s>'] || t[1:len(t) - 1]) AS a, unnest(t) AS b FROM t WHERE len(t) > 0), p AS (SELECT a, b, count(*) AS n FROM b WHERE doc_id % 2 = 0 GROUP BY ALL), x AS (SELECT a, sum(n) AS na FROM p GROUP BY a), v AS (SELECT count(DISTINCT b) AS v FROM p), o AS (SELECT doc_id, a, b, count(*) AS c FROM b GROUP BY ALL), r AS (SELECT doc_id, exp(sum(-ln((coalesce(n, 0) + 1.0) / (coalesce(na, 0) + v + 1.0)) * c) / sum(c)) AS p FROM o LEFT JOIN p USING (a, b) LEFT JOIN x USING (a), v GROUP BY doc_id) SELECT documents.doc_id, round(coalesce(p, 'inf'::DOUBLE), 4) AS perplexity FROM documents LEFT JOIN r USING (doc_id)")
+@query(f"WITH {FOLD}, t AS (SELECT doc_id, regexp_extract_all(lower(code), '{vectors.TOKEN}') AS t FROM f), b AS (SELECT doc_id, unnest(['<s>'] || t[1:len(t) - 1]) AS a, unnest(t) AS b FROM t WHERE len(t) > 0), p AS (SELECT a, b, count(*) AS n FROM b GROUP BY ALL), x AS (SELECT a, sum(n) AS na FROM p GROUP BY a), v AS (SELECT count(DISTINCT b) AS v FROM p), o AS (SELECT doc_id, a, b, count(*) AS c FROM b GROUP BY ALL), r AS (SELECT doc_id, exp(sum(-ln((coalesce(n, 0) + 1.0) / (coalesce(na, 0) + v + 1.0)) * c) / sum(c)) AS p FROM o LEFT JOIN p USING (a, b) LEFT JOIN x USING (a), v GROUP BY doc_id) SELECT documents.doc_id, round(coalesce(p, 'inf'::DOUBLE), 4) AS perplexity FROM documents LEFT JOIN r USING (doc_id)")
 def ngram_ppl(spark, sf):
     f = folded(spark, sf)
-    return rounded(vectors.perplexity(f, vectors.fit_bigram_lm(f.where("doc_id % 2 = 0"), id_="doc_id"), id_="doc_id"), 4)
+    return rounded(vectors.perplexity(f, vectors.fit_bigram_lm(f, id_="doc_id"), id_="doc_id"), 4)
 
 
 @query("WITH n AS (SELECT doc_id, length(text) AS n FROM documents), k AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 0 THEN 0 WHEN n <= 512 THEN 1 ELSE ceil((n - 512) / 256.0)::BIGINT + 1 END)) AS k FROM n) SELECT doc_id, k * 256 AS \"begin\", least(k * 256 + 512, n) AS \"end\", least(k * 256 + 512, n) - CASE WHEN k = 0 THEN 0 ELSE least((k - 1) * 256 + 512, n) END AS target FROM k")
@@ -490,6 +508,12 @@ def youden(spark, sf):
     return rounded(metrics.youden(scores(spark, sf), "score"))
 
 
+@query(f"WITH {R}, y AS (SELECT score FROM t ORDER BY tp / pos - fp / neg DESC, score DESC LIMIT 1) SELECT (SELECT count(*) FROM l WHERE length(code) % 7 <> 0) AS n_valid, (SELECT count(*) FROM l WHERE length(code) % 7 = 0) AS n_infinite, (SELECT score FROM y) AS threshold, round(sum(p * (neg - fp + m / 2)) / any_value(pos * neg), 6) AS auc FROM t".replace("FROM l GROUP BY 1", "FROM l WHERE length(code) % 7 <> 0 GROUP BY 1"))
+def perplexity_bundle(spark, sf):
+    some = scores(spark, sf).withColumn("score", F.when(F.col("score") % 7 != 0, F.col("score")).otherwise(F.lit(float("inf"))))
+    return rounded(metrics.perplexity_bundle(some, "score"))
+
+
 @query(f"WITH {R}, f AS (SELECT score, (2.0 * tp / (2 * tp + fp + pos - tp) + CASE WHEN 2 * (neg - fp) + fp + pos - tp = 0 THEN 0 ELSE 2.0 * (neg - fp) / (2 * (neg - fp) + fp + pos - tp) END) / 2 AS f FROM t) SELECT score AS threshold, round(f, 6) AS macro_f1 FROM f ORDER BY f DESC, score DESC LIMIT 1")
 def threshold_f1(spark, sf):
     return rounded(metrics.best_f1_threshold(scores(spark, sf), "score"))
@@ -559,6 +583,21 @@ def next_leaf_edges(spark, sf):
     return rounded(graph.next_leaf_edges(_star(spark, sf)))
 
 
+@query(f"WITH {_L}, n AS (SELECT sample_id, node_id FROM l UNION ALL SELECT DISTINCT sample_id, 0 FROM l), p AS (SELECT sample_id, node_id AS a, lead(node_id) OVER (PARTITION BY sample_id ORDER BY node_id) AS b FROM n) SELECT sample_id, a::BIGINT AS src, b::BIGINT AS dst, 4::BIGINT AS edge_type FROM p WHERE b IS NOT NULL")
+def traversal_edges(spark, sf):
+    return rounded(graph.traversal_edges(_star(spark, sf)))
+
+
+@query(f"WITH {_L} SELECT sample_id, 1::BIGINT AS depth, count(*) + 1 AS n_nodes FROM l GROUP BY sample_id")
+def tree_shape(spark, sf):
+    return rounded(graph.shape(_star(spark, sf).withColumn("depth", (F.col("node_id") > 0).cast("int"))))
+
+
+@query("SELECT l_returnflag AS text, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, text LIMIT 2")
+def node_text_counts(spark, sf):
+    return graph.node_texts(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("text")), 2)
+
+
 _T = "t AS (SELECT l_returnflag AS type FROM lineitem UNION ALL SELECT 'order' FROM (SELECT DISTINCT l_orderkey FROM lineitem))"
 
 
@@ -567,6 +606,11 @@ def vocab_topk(spark, sf):
     return rounded(graph.vocabulary(_star(spark, sf), 6))
 
 
+@query(f"WITH {_T} SELECT type, row_number() OVER (ORDER BY type) AS type_id FROM t GROUP BY type")
+def sorted_vocab(spark, sf):
+    return rounded(graph.sorted_vocabulary(_star(spark, sf)))
+
+
 @query(f"WITH {_T}, v AS (SELECT type, row_number() OVER (ORDER BY count(*) DESC, type) AS type_id FROM t GROUP BY type ORDER BY count(*) DESC, type LIMIT 5) SELECT coalesce(type_id, 0) AS type_id, count(*) AS n FROM t LEFT JOIN v USING (type) GROUP BY 1")
 def vocab_encoded(spark, sf):
     t = _star(spark, sf)

@@ -48,33 +48,58 @@ def conform(df: DataFrame, schema: T.StructType = SAMPLES, required: tuple[str,
 
 
 def ensure_id(df: DataFrame, order: list[str], name: str = "ID") -> DataFrame:
-    """df with an id: id in any case renamed, else a number from 0 in the given order. The order is total over the data of a
-    range-partitioned sort, so no single task numbers all rows."""
+    """df with an id: id in any case renamed, else a number from 0 in the given order, ties by the values of the row. Rows are
+    dealt to ranges by bounds of the first key, found first, and counted by range, so the same rows get the same numbers whatever
+    the partitioning, and no single task numbers all rows unless their first keys are equal."""
+    from pyspark.sql import Window
+
     for c in df.columns:
         if c.lower() == name.lower():
             return df.withColumnRenamed(c, name)
     kept = [F.col(f"`{c}`") for c in df.columns]
-    sorted_ = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    sizes = sorted_.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
+    first = F.col(f"`{order[0]}`")
+    kind = df.schema[order[0]].dataType
+    # numbers and times are placed by themselves, others by their first bytes
+    key = first.cast("double") if isinstance(kind, T.NumericType) else first.cast("timestamp").cast("double") if isinstance(kind, (T.DateType, T.TimestampType)) else _leading(first.cast("string"))
+    bounds = df.agg(F.percentile_approx(key, [k / ID_RANGES for k in range(1, ID_RANGES)], 10_000)).first()[0] or []
+    below = F.when(key.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < key)))
+    placed = df.select(*kept, below.alias("_p"))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
+    within = Window.partitionBy("_p").orderBy(*(F.col(f"`{c}`") for c in order), F.xxhash64(*kept))
+    return placed.join(F.broadcast(before), "_p").select((F.col("_b") + F.row_number().over(within) - 1).alias(name), *kept)
+
+
+ID_RANGES = 64
 
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a partition
-    return sorted_.withColumn("_p", part).join(F.broadcast(before), "_p").select((F.col("_b") + place).alias(name), *kept)
+
+def _leading(text):
+    """The first six bytes of a text as a number that sorts as they do."""
+    return F.conv(F.rpad(F.substring(F.hex(F.encode(text, "utf-8")), 1, 12), 12, "0"), 16, 10).cast("double")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str] | None = None, single: bool = True) -> None:
-    """CSV with a header, sorted; one file unless single is off."""
+def submission_table(df: DataFrame) -> DataFrame:
+    """A test table conformed for submission: ID (id in any case) and code, both required."""
+    return conform(df, T.StructType([T.StructField("ID", T.LongType()), T.StructField("code", T.StringType())]), ("ID", "code"))
+
+
+def labelled_test(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first labelled test sample that exists, conformed; code and label are required, rows that lack one are left out."""
+    return conform(read_parquet(spark, resolve_source(spark, paths)), required=("code", "label")).where("code IS NOT NULL AND label IS NOT NULL")
+
+
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None, single: bool = False) -> None:
+    """CSV with a header, sorted over its files; one file where single is asked for (then one task writes all rows)."""
     df = df.orderBy(*order) if order else df
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

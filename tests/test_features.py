@@ -147,3 +147,44 @@ def test_ast33(spark):
     assert all(got[i][k] == 0 for i in (2, 3, 4) for k in ast33.NAMES)
     same = rows(ast33.with_ast33(df, compat_python_only=True))
     assert same[0] == p and all(same[1][k] == 0 for k in ast33.NAMES)
+
+
+def plain_formatting(code):
+    """The three checks, as described."""
+    parts = []
+    found = list(re.finditer(r"\n\s*def\s+\w+", code))
+    if len(found) > 1:
+        blanks = []
+        for m in found[1:]:
+            tail = code[: m.start()].split("\n")
+            blanks.append(next((k for k, x in enumerate(reversed(tail)) if x.strip()), len(tail)))
+        parts.append(1 - np.std(blanks) / 3)
+    ops = [" = ", " == ", " + ", " - ", " * ", " / "]
+    if bare := sum(code.count(o.strip()) for o in ops):
+        parts.append(min(1.0, sum(code.count(o) for o in ops) / bare))
+    one, two = code.count("'") - code.count("\\'"), code.count('"') - code.count('\\"')
+    if one + two:
+        parts.append(max(one, two) / (one + two))
+    return sum(parts) / len(parts) if parts else 0.5
+
+
+def test_formatting_consistency(spark):
+    import random
+
+    rng = random.Random(17)
+    bits = ["\n", "\n\n", "  ", "def f(x):", "def  g", "def\nh", "x = 1", "x=2", "a == b", "'q'", '"w"', "\\'", "\t", "y + z", "#", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "ID long, code string")
+    got = {r["ID"]: r["formatting_consistency"] for r in stylometric12.with_stylometric12(df, "code", ("formatting_consistency",)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(plain_formatting(t) if t.strip() else 0.0), repr(t)  # blank texts have zeros throughout
+
+
+def test_character_entropy(spark):
+    from codescope.functions.text import character_entropy
+
+    texts = ["", "a", "aab", "é€😀é", "".join(chr(0x4E00 + k) for k in range(400)) * 2, "ab\n\t " * 50]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(character_entropy(F.col("t"))).collect()]
+    for t, h in zip(texts, got, strict=True):
+        n = Counter(t)
+        assert h == pytest.approx(-sum(c / len(t) * math.log2(c / len(t)) for c in n.values()) if t else 0.0), t[:9]

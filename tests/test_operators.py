@@ -153,13 +153,76 @@ def test_tfidf_and_windows(spark):
 
 def test_augment(spark, groups):
     code = "def area(width, height):\n    total = width * height\n    return total\n"
-    out = augment.renamed(code, random.Random(1))
+    out = augment.renamed(code)
     assert "width" not in out and "var_" in out and "def" in out
-    assert augment.augmented(code, 1, 5) == augment.augmented(code, 1, 5)
+    lines = "\n".join(["    four", "\tone", "none", "", "  "] * 400)
+    df = spark.createDataFrame([(1, lines), (2, None), (3, "")], "ID long, code string")
+    form, note = (df.select("ID", f(F.col("code"), F.col("ID"), 7).alias("c")).collect() for f in (augment.reformatted, augment.commented))
+    got = form[0]["c"].split("\n")
+    assert set(got) == {" " * 8 + "four", "    four", "  four", "  one", " one", "none", ""} and form[1]["c"] is None
+    assert 0.25 < got.count("        four") / 400 < 0.35 and 0.14 < got.count("  four") / 400 < 0.26 and 0 < len([x for x in got if not x]) - 800 < 130
+    added = [x for x in note[0]["c"].split("\n") if x.strip() in augment.COMMENTS]
+    assert 110 < len(added) < 210 and {len(x) - len(x.lstrip()) for x in added} == {0, 1, 2, 4} and note[1]["c"] is None
+    kept = [x for x in note[0]["c"].split("\n") if x.strip() not in augment.COMMENTS]
+    assert kept == lines.split("\n")
+    once = values(augment.augmented(df.repartition(3), 5))
+    assert once == values(augment.augmented(df, 5))
     more = augment.with_augmented(groups, 0.2)
     assert 210 < more.count() < 270 and more.select("ID").distinct().count() == 200
 
 
+def test_many_scores(spark):
+    """Cumulative counts don't depend on how a sort happens to be cut into partitions."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=200_000), rng.integers(0, 2, 200_000)
+    order = np.argsort(x)
+    ranks = np.empty(len(x))
+    ranks[order] = np.arange(1, len(x) + 1)
+    want = (ranks[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "score double, label int")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for parts, aqe in (("64", "true"), ("8", "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
+            assert metrics.auc(df, "score").first()[0] == pytest.approx(want, abs=1e-12)
+            ids = io.ensure_id(df, ["score"]).orderBy("ID").select("ID", "score").toPandas()
+            assert ids["ID"].tolist() == list(range(len(x))) and (ids["score"].to_numpy() == x[order]).all()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_perplexity_bundle(spark):
+    df = spark.createDataFrame([(1.0, 1), (float("inf"), 0), (None, 0), (2.0, 0)], "score double, label int")
+    assert tuple(metrics.perplexity_bundle(df, "score").first()) == (2, 2, 1.0, 0.0)
+    assert tuple(metrics.perplexity_bundle(df.where("score = double('infinity')"), "score").first()) == (0, 1, 100.0, 0.5)
+
+
+def test_html_that_cannot_be_parsed(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "html"), (2, "<![foo[x]]>", "html"), (3, "", "html"), (4, None, "html")], "ID long, code string, language string")
+    assert {r["sample_id"] for r in graph.nodes(df).collect()} <= {1, 2} and 1 in {r["sample_id"] for r in graph.nodes(df).collect()}
+
+
+def test_samplers_hold_no_group(spark):
+    """Ranks by part of the draw are those of a sort of the whole group."""
+    df = spark.createDataFrame([(i, i % 3 if i % 10 else None) for i in range(3000)], "ID long, g int")
+    got = {r["ID"]: r["_r"] for r in sampling._ranked(df, ["g"], "ID", 42).collect()}
+    rows = df.withColumn("d", sampling.draw()).collect()
+    for g in (0, 1, 2, None):
+        for place, r in enumerate(sorted((r for r in rows if r["g"] == g), key=lambda r: (r["d"], r["ID"])), 1):
+            assert got[r["ID"]] == place
+
+
+def test_hybrid_head(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, [float(i % 2) + rng.random() / 4, rng.random()], rng.random(), i % 2) for i in range(120)], "ID long, e array<double>, f double, label int")
+    model = models.hybrid_head(df, "e", ["f"], 2, 2, hidden=(4,))
+    assert models.predicted(model, df).where("prediction = label").count() > 110
+
+
 def test_models(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, float(y := i % 2) + rng.random(), rng.random(), y) for i in range(200)], "ID long, a double, b double, label int")
