@@ -3,8 +3,8 @@
 The global order of shingles is by rising (estimated) document frequency, then by hash. Documents with equal shingle sets
 are one set. Each set emits the head of its shingles in that order: two sets as similar as asked share one of these, so heads
 say which pairs are worth counting. These are counted vertically: the global order is cut into FRAGMENTS ranges that hold
-about as many shingles each, the parts of two sets in a fragment meet there and give a partial overlap, a row a pair and
-fragment, and the sum over the fragments of a pair decides, exactly.
+about as many shingles each, the parts of two sets in each fragment give a partial overlap, and the sum over the fragments of
+a pair decides, exactly. All fragments of a set lie in one row: a row each made eight times as many rows of the pairs.
 
 In each group of sets that share an emitted shingle, the set that meets most others is tested against the rest; what it links
 is one component. Members of other components of the group are then tested against what their size and position still allow:
@@ -127,15 +127,14 @@ def heads(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, rows: int, nameless: bool, k: int, order) -> DataFrame:
-    """set_id, frag, part: the shingles of the wanted (doc_id, set_id) in each fragment of the global order in which there are
-    some. Texts that share a doc_id are told apart by their sets; nameless: some documents have no doc_id, and a wanted set
+    """set_id, frags: the shingles of the wanted (doc_id, set_id) in each fragment of the global order. Texts that share a doc_id are told apart by their sets; nameless: some documents have no doc_id, and a wanted set
     without one is looked for among them."""
 
     def cut(batches):
         seen, (ranks, cuts) = set(), order.value
         for b in batches:
             for piece in pieces(b, 0, PIECE):
-                ids, frags, flat, sizes = [], [], [], [0]
+                ids, flat, ends = [], [], [0]
                 for t, of in zip(texts_of(piece, 0), piece.column(1).to_pylist(), strict=True):
                     h = shingles(t, k)
                     s = set_id(h)
@@ -143,17 +142,15 @@ def fragments(docs: DataFrame, wanted: DataFrame, rows: int, nameless: bool, k:
                         continue
                     seen.add(s)
                     f = np.searchsorted(cuts, places(h, ranks), side="right")
+                    ids.append(s)
                     flat.append(h[np.argsort(f, kind="stable")].view(np.int64))
-                    for j, n in enumerate(np.bincount(f, minlength=FRAGMENTS).tolist()):
-                        if n:
-                            ids.append(s)
-                            frags.append(j)
-                            sizes.append(sizes[-1] + n)
-                parts = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), parts], names=["set_id", "frag", "part"])
+                    ends += (ends[-1] + np.cumsum(np.bincount(f, minlength=FRAGMENTS))).tolist()
+                inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * FRAGMENTS, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), outer], names=["set_id", "frags"])
 
     put = F.broadcast if rows <= BROADCAST_ROWS else lambda df: df
-    kind = "set_id long, frag int, part array<long>"
+    kind = "set_id long, frags array<array<long>>"
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = docs.join(put(wanted.where("doc_id IS NOT NULL")), "doc_id").select("text", "set_id").mapInArrow(cut, kind)
     if nameless:
@@ -186,20 +183,17 @@ def _screened(pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, keys: DataFrame, k: int, percent: int, order) -> DataFrame:
-    """pairs (a, na, b, nb) -> links (a, b), a table. The parts of a pair meet fragment by fragment; the partial overlaps, a row
-    each, are summed by pair."""
+    """pairs (a, na, b, nb) -> links (a, b), a table: the partial overlap of a pair is counted in each fragment, and all are summed."""
     pairs = written(_screened(pairs, keys, percent), "ngram-pairs")
     ids = written(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "ngram-sets")
     rows = ids.count()
     one = sets.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     nameless = not sets.where("doc_id IS NULL").isEmpty()
     parts = written(fragments(docs, one, rows, nameless, k, order), "ngram-fragments", "uncompressed")
-    twice = parts.select("set_id").distinct().count() < rows or not parts.groupBy("set_id", "frag").count().where("count > 1").isEmpty()
-    whole = parts.dropDuplicates(["set_id", "frag"]) if twice else parts  # rows that share a doc_id, or have none
-    of_a = whole.select(F.col("set_id").alias("a"), "frag", F.col("part").alias("pa"))
-    of_b = whole.select(F.col("set_id").alias("b"), "frag", F.col("part").alias("pb"))
-    partial = pairs.join(of_b, "b").join(of_a, ["a", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
-    shared = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    whole = parts.dropDuplicates(["set_id"]) if parts.count() != rows else parts  # rows that share a doc_id, or have none
+    both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("frags").alias("fa")), "a").join(whole.select(F.col("set_id").alias("b"), F.col("frags").alias("fb")), "b")
+    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
+    shared = both.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda n, x: n + x).alias("o"))
     links = written(shared.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"), "ngram-links")
     drop_written(pairs, ids, parts)
     forget_shuffles(pairs.sparkSession)
@@ -216,6 +210,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int, order) -
     """(id, component) of the sets that link with another set; None where there are none."""
     members = sets.select("set_id", "n", F.posexplode("head").alias("pos", "key"))
     shared = written(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "ngram-keys")
+    forget_shuffles(docs.sparkSession)
     few = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
     hot = written(members.join(few, "key").dropDuplicates(["key", "set_id"]), "ngram-groups")
     drop_written(shared)
