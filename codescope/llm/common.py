@@ -150,3 +150,27 @@ def attempt_name(prefix: str) -> str:
 
     c = TaskContext.get()
     return f"{prefix}-{c.partitionId():06d}-{c.taskAttemptId()}" if c else f"{prefix}-{uuid.uuid4().hex}"
+
+
+#: Keys that hold more than one in so many of all rows are hot; there are fewer of them than that.
+HOT_SHARE = 10_000
+
+
+def joined_by_key(rows: DataFrame, mapping: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows inner-joined to mapping, which has one row a key and in count how many of rows have that key; keys aren't null. The
+    hot keys, fewer than HOT_SHARE, are broadcast, so that the rows of none of them meet in one task; the others go by shuffle.
+    Both tables are read twice."""
+    total = mapping.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) * HOT_SHARE > F.lit(total)
+    few = mapping.where(hot)
+    return rows.join(F.broadcast(few), keys).unionByName(rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(mapping.where(~hot), keys))
+
+
+#: SQL: a table crc_t with the one row tab, the 256 entries of the reflected CRC-32 of polynomial 0xEDB88320.
+CRC_SQL = "crc_t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) t(i)))"
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of the UTF-8 bytes of a not empty text, beside crc_t."""
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"

@@ -16,6 +16,9 @@ MODULES = {
     "op8_personal_data": "personal_data",
     "op9_decontamination": "decontamination",
     "op10_quality_rules": "quality_rules",
+    "op11_importance_resampling": "importance_resampling",
+    "op12_simhash": "simhash",
+    "op13_prefix_trie": "prefix_trie",
 }
 
 
