@@ -99,28 +99,34 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+#: Ids whose numbers agree but for so many last bits are joined before a node's ids meet: 1,024 at most.
+NEAR_IDS = 10
+
+
 def joined_digests(ends: DataFrame) -> DataFrame:
-    """ends (conv_id, depth, member) -> conv_id, depth, ends_sha256: of the members, ascending, comma-joined. The members of a node
-    stream through one task, and none is held."""
+    """ends (conv_id, depth, member) -> conv_id, depth, ends_sha256: of the members, ascending, comma-joined. Members are joined in
+    runs of near ids first; the runs of a node stream through one task, as its digest can only be made in order, and none is held."""
     schema = "conv_id long, depth long, ends_sha256 string"
+    ids = F.transform(F.array_sort(F.collect_list("member")), lambda c: c.cast("string"))
+    runs = ends.groupBy("conv_id", "depth", F.shiftright("member", NEAR_IDS).alias("run")).agg(F.array_join(ids, ",").alias("ids"))
 
     def run(batches):
         node, h = None, None
         for b in batches:
             out: list = [[], [], []]
-            for conv, depth, member in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for conv, depth, _, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (conv, depth) == node:
-                    h.update(b",%d" % member)
+                    h.update(b"," + text.encode())
                 else:
                     if node:
                         for column, x in zip(out, (*node, h.hexdigest()), strict=True):
                             column.append(x)
-                    node, h = (conv, depth), hashlib.sha256(b"%d" % member)
+                    node, h = (conv, depth), hashlib.sha256(text.encode())
             yield _batch(schema, out)
         if node:
             yield _batch(schema, [[node[0]], [node[1]], [h.hexdigest()]])
 
-    return ends.repartition("conv_id", "depth").sortWithinPartitions("conv_id", "depth", "member").mapInArrow(run, schema)
+    return runs.repartition("conv_id", "depth").sortWithinPartitions("conv_id", "depth", "run").mapInArrow(run, schema)
 
 
 def trie(every: DataFrame) -> DataFrame:
