@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import nesting
 from .sampling import chosen
 
 # Fixed values.
@@ -74,9 +75,10 @@ def commented(code: Column, id_: Column, seed: int) -> Column:
     return F.array_join(F.flatten(F.transform(F.split(code, "\n", -1), line)), "\n")
 
 
-def augmented(df: DataFrame, seed: int = 42, code: str = "code", id_: str = "ID") -> DataFrame:
+def augmented(df: DataFrame, seed: int = 42, code: str = "code", id_: str = "ID", language: str | None = None) -> DataFrame:
     """df with code changed by the steps that are drawn for its id, in order: renamed, reformatted, commented; one of them where
-    none is. Python sees only the texts that are renamed."""
+    none is. language names a column: texts of the languages that nest are renamed by their tokens, in expressions, and the others
+    as Python. Python sees only those of them that are renamed."""
 
     @F.pandas_udf(StringType())
     def _renamed(text: pd.Series) -> pd.Series:
@@ -87,11 +89,14 @@ def augmented(df: DataFrame, seed: int = 42, code: str = "code", id_: str = "ID"
     drawn = F.array(*(draw(what) < share for what, share in (("rename", RENAME), ("reformat", REFORMAT), ("comment", COMMENT))))
     only = F.floor(draw("only") * 3).cast("int")
     steps = df.withColumn("_steps", F.when(F.array_contains(drawn, True), drawn).otherwise(F.array(*(only == k for k in range(3)))))
-    out = steps.withColumn("_renamed", _renamed(F.when(F.get("_steps", F.lit(0)), F.col(code)))).withColumn(code, F.coalesce("_renamed", code))
+    nests = F.coalesce(F.col(language).isin(*nesting.LANGUAGES), F.lit(False)) if language else F.lit(False)
+    out = steps.withColumn("_renamed", _renamed(F.when(F.get("_steps", F.lit(0)) & ~nests, F.col(code)))).withColumn(code, F.coalesce("_renamed", code))
+    if language:
+        out = out.withColumn(code, F.when(F.get("_steps", F.lit(0)) & nests, nesting.renamed(F.col(code), F.col(language), sorted(KEPT_NAMES))).otherwise(F.col(code)))
     out = out.withColumn(code, F.when(F.get("_steps", F.lit(1)), reformatted(F.col(code), key, seed)).otherwise(F.col(code)))
     return out.withColumn(code, F.when(F.get("_steps", F.lit(2)), commented(F.col(code), key, seed)).otherwise(F.col(code))).select(*kept)
 
 
-def with_augmented(df: DataFrame, ratio: float, seed: int = 42, code: str = "code", id_: str = "ID") -> DataFrame:
+def with_augmented(df: DataFrame, ratio: float, seed: int = 42, code: str = "code", id_: str = "ID", language: str | None = None) -> DataFrame:
     """df and augmented copies of about that share of its rows, with their id and label."""
-    return df.unionByName(augmented(df.where(chosen(id_, ratio, seed)), seed, code, id_))
+    return df.unionByName(augmented(df.where(chosen(id_, ratio, seed)), seed, code, id_, language))

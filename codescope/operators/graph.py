@@ -1,7 +1,8 @@
 """Syntax trees as two relations, nodes and edges.
 
 A provider parses one text into rows; everything after it is relational. Python (stdlib ast) and HTML (html.parser) come with
-the engine; register() adds others."""
+the engine, and trees of seven more languages from the nesting of their brackets, without a provider; register() adds others, or
+replaces them."""
 
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import nesting, preorder
+
 NODES = "sample_id long, node_id int, parent_id int, child_pos int, depth int, type string, is_named boolean, start int, child_count int, size int, text string"
 MAX_NODES = 512
 TEXT = 200
@@ -112,7 +115,19 @@ def flatten(root, make, order: str = "dfs") -> list[tuple]:
 
 
 def nodes(df: DataFrame, code: str = "code", id_: str = "ID", language: str | Column = "language", fallback: str | None = None, max_nodes: int | None = None, order: str = "dfs") -> DataFrame:
-    """The nodes of all texts that their language's provider can parse; fallback parses the rest, else they have no rows."""
+    """The nodes of all texts that their language's provider can parse, or that nest; fallback, the name of a provider, parses the
+    rest, else they have no rows. order is dfs or bfs; max_nodes keeps the first nodes in that order."""
+    lang = F.col(language) if isinstance(language, str) else language
+    own = [x for x in nesting.LANGUAGES if x not in PROVIDERS]
+    nested = nesting.nodes(df.where(lang.isin(own)), code, id_, lang)
+    if order != "dfs":
+        nested = preorder.breadth_first(nested)
+    if max_nodes:
+        nested = nested.where(F.col("node_id") < max_nodes)
+    return _provided(df.where(~F.coalesce(lang.isin(own), F.lit(False))), code, id_, lang, fallback, max_nodes, order).unionByName(nested)
+
+
+def _provided(df: DataFrame, code: str, id_: str, lang: Column, fallback: str | None, max_nodes: int | None, order: str) -> DataFrame:
     providers = dict(PROVIDERS)
 
     def run(batches):
@@ -127,7 +142,6 @@ def nodes(df: DataFrame, code: str = "code", id_: str = "ID", language: str | Co
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([sample] * len(rows), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in NODES.split(", ")])
 
-    lang = F.col(language) if isinstance(language, str) else language
     return df.select(F.col(id_).cast("long").alias("_id"), F.col(code).alias("_code"), lang.alias("_lang")).mapInArrow(run, NODES)
 
 
