@@ -141,6 +141,21 @@ def perplexity_bundle(df: DataFrame, score: str, label: str = "label") -> DataFr
     return counts.crossJoin(F.broadcast(auc(df, score, label))).join(F.broadcast(best), F.lit(True), "left").select("n_valid", "n_infinite", F.coalesce("threshold", F.lit(100.0)).alias("threshold"), "auc")
 
 
+def perplexity_report(df: DataFrame, score: str, label: str = "label") -> DataFrame:
+    """One row: what a threshold on perplexity is worth. The counts, threshold and auc of perplexity_bundle(), then, over finite
+    scores, accuracy and macro F1 of predicting 1 below the threshold, and mean, deviation and median of the scores of class 0 and 1
+    (0.0 where a class has none)."""
+    from .profile import score_stats
+
+    bundle = perplexity_bundle(df, score, label)
+    finite = df.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
+    guessed = finite.crossJoin(F.broadcast(bundle.select("threshold"))).select(label, F.when(F.col(score) < F.col("threshold"), 1).otherwise(0).alias("prediction"))
+    worth = summary(confusion(guessed, label)).select(F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), F.coalesce("macro_f1", F.lit(0.0)).alias("macro_f1"))
+    of = score_stats(finite, score, label, classes=2)
+    stats = of.agg(*(F.max(F.when(F.col(label) == k, F.col(c))).alias(f"{c}_{k}") for k in (0, 1) for c in ("mean", "std", "median")))
+    return bundle.crossJoin(F.broadcast(worth)).crossJoin(F.broadcast(stats))
+
+
 def threshold_predictions(df: DataFrame, score: str, at: float) -> DataFrame:
     """1 below the threshold; 0 at or above it and for scores that aren't finite."""
     return df.withColumn("prediction", F.when(F.col(score).isNull() | F.isnan(score), 0).when(F.col(score) < at, 1).otherwise(0))

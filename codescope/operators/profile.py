@@ -45,7 +45,7 @@ def length_profile(df: DataFrame, code: str = "code") -> DataFrame:
     """Minimum, median, mean, maximum and 95th percentile of characters and of words, exact."""
     words = F.size(F.filter(F.split(code, r"(?U)\s+"), lambda w: w != ""))
     df = df.select(F.length(code).alias("chars"), words.alias("tokens"))
-    stats = lambda c: (F.min(c).alias(f"{c}_min"), F.median(c).alias(f"{c}_median"), F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_max"), F.percentile(c, F.lit(0.95)).alias(f"{c}_p95"))
+    stats = lambda c: (F.min(c).alias(f"{c}_min"), F.median(c).alias(f"{c}_median"), F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_max"), F.percentile(c, F.lit(0.95)).alias(f"{c}_p95"))  # noqa: E731  lengths are few
     return df.agg(*stats("chars"), *stats("tokens"))
 
 
@@ -98,10 +98,19 @@ def unknown_languages(df: DataFrame, language: str = "language") -> DataFrame:
     return df.where(F.col(language).isNotNull() & language_alias(F.col(language)).isNull()).groupBy(language).agg(F.count("*").alias("n"))
 
 
-def score_stats(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """Mean, population deviation and median of finite scores by label."""
-    ok = df.where(~F.isnan(score) & (F.abs(score) != float("inf")))
-    return ok.groupBy(label).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.median(score).alias("median"))
+def score_stats(df: DataFrame, score: str, label: str = "label", classes: int | None = None) -> DataFrame:
+    """Mean, population deviation and exact median of finite scores by label; with classes, a row for each of 0 to classes - 1, zeros
+    where a class has no score."""
+    from .quantiles import quantiles
+
+    ok = df.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
+    stats = ok.groupBy(label).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    half = quantiles(ok, score, [0.5], label).select(F.col(label).alias("_l"), F.col("value").alias("median"))
+    out = stats.join(half, F.col(label).eqNullSafe(F.col("_l")), "left").drop("_l")
+    if classes is None:
+        return out
+    dim = df.sparkSession.range(classes).select(F.col("id").cast("int").alias(label))
+    return dim.join(out.withColumn(label, F.col(label).cast("int")), label, "left").na.fill(0, ["n"]).na.fill(0.0, ["mean", "std", "median"])
 
 
 def confidence_stats(df: DataFrame, probs: str) -> DataFrame:

@@ -1,0 +1,89 @@
+"""Queries over perplexity by windows, ensembles by stages, importances and graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import boosting, graph, message_passing, metrics, quantiles, vectors
+from ..sources.io import materialised
+from .code_queries import programs
+from .queries import FOLD, folded, query, rounded, table
+
+_NLL = f"""{FOLD}, t AS (SELECT doc_id, regexp_extract_all(lower(code), '{vectors.TOKEN}') AS t FROM f),
+b AS (SELECT doc_id, unnest(['<s>'] || t[1:len(t) - 1]) AS a, unnest(t) AS b FROM t WHERE len(t) > 0), p AS (SELECT a, b, count(*) AS n FROM b GROUP BY ALL), x AS (SELECT a, sum(n) AS na FROM p GROUP BY a), v AS (SELECT count(DISTINCT b) AS v FROM p),
+h AS (SELECT doc_id, t[1:2048] AS t, least(len(t), 2048) AS n FROM t),
+k AS (SELECT doc_id, t, n, unnest(range(0, CASE WHEN n <= 0 THEN 0 WHEN n <= 512 THEN 1 ELSE ceil((n - 512) / 256.0)::BIGINT + 1 END)) AS k FROM h),
+w AS (SELECT *, k * 256 AS lo, least(k * 256 + 512, n) AS hi, CASE WHEN k = 0 THEN 0 ELSE least((k - 1) * 256 + 512, n) END AS seen FROM k),
+i AS (SELECT doc_id, k, hi, hi - seen AS target, t, unnest(range(greatest(seen, lo + 1), hi)) AS i FROM w),
+q AS (SELECT doc_id, k, hi, target, t[i] AS a, t[i + 1] AS b FROM i),
+l AS (SELECT doc_id, k, any_value(hi) AS hi, any_value(target) AS target, avg(-ln((coalesce(n, 0) + 1.0) / (coalesce(na, 0) + v + 1.0))) AS loss FROM q LEFT JOIN p USING (a, b) LEFT JOIN x USING (a), v GROUP BY doc_id, k),
+y AS (SELECT doc_id, exp(sum(loss * target) / max(hi)) AS ppl FROM l GROUP BY doc_id),
+z AS (SELECT doc_id, round(coalesce(ppl, 'inf'::DOUBLE), 4) AS perplexity FROM documents LEFT JOIN y USING (doc_id))"""
+
+
+def window_scores(spark, sf):
+    f = folded(spark, sf)
+    scored = vectors.windowed_perplexity(f, vectors.bigram_losses(vectors.fit_bigram_lm(f, id_="doc_id"), "doc_id"), id_="doc_id")
+    return scored.withColumn("perplexity", F.round("perplexity", 4))
+
+
+@query(f"WITH {_NLL} SELECT doc_id, perplexity FROM z")
+def windowed_ppl(spark, sf):
+    """Perplexity by overlapping windows, by a bigram model of all documents."""
+    return window_scores(spark, sf)
+
+
+@query(
+    f"""WITH {_NLL}, d AS (SELECT perplexity AS s, quality AS label FROM z JOIN labels USING (doc_id)), ok AS (SELECT * FROM d WHERE isfinite(s)),
+g AS (SELECT s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS m FROM ok GROUP BY s), c AS (SELECT s, p, m, sum(p) OVER (ORDER BY s DESC) AS tp, sum(m) OVER (ORDER BY s DESC) AS fp, sum(p) OVER () AS pos, sum(m) OVER () AS neg FROM g),
+th AS (SELECT s AS threshold FROM c ORDER BY tp / pos - fp / neg DESC, s DESC LIMIT 1), r AS (SELECT label, CASE WHEN s < threshold THEN 1 ELSE 0 END AS pred FROM ok, th),
+f1 AS (SELECT l, 2.0 * count(*) FILTER (label = l AND pred = l) / nullif(count(*) FILTER (label = l) + count(*) FILTER (pred = l), 0) AS f FROM r, (VALUES (0), (1)) u(l) GROUP BY l)
+SELECT (SELECT count(*) FROM ok) AS n_valid, (SELECT count(*) FROM d) - (SELECT count(*) FROM ok) AS n_infinite, (SELECT threshold FROM th) AS threshold, (SELECT round(sum(p * (neg - fp + m / 2)) / any_value(pos * neg), 6) FROM c) AS auc,
+(SELECT round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0 END), 6) FROM r) AS accuracy, (SELECT round(avg(coalesce(f, 0)), 6) FROM f1) AS macro_f1,
+{", ".join(f"(SELECT round({fn}(s), 6) FROM ok WHERE label = {k}) AS {name}_{k}" for k in (0, 1) for name, fn in (("mean", "avg"), ("std", "stddev_pop"), ("median", "median")))}"""
+)
+def perplexity_report(spark, sf):
+    """What a threshold on windowed perplexity is worth against the labels."""
+    scores = materialised(window_scores(spark, sf), "perplexities")
+    d = scores.join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return rounded(metrics.perplexity_report(d, "perplexity"))
+
+
+@query(" UNION ALL ".join(f"SELECT l_returnflag AS flag, {q}::DOUBLE AS share, round(quantile_cont(l_extendedprice::DOUBLE, {q}), 6) AS value FROM lineitem GROUP BY l_returnflag" for q in (0.0, 0.25, 0.5, 0.95, 1.0)))
+def price_quantiles(spark, sf):
+    """Exact quantiles of prices by return flag."""
+    l = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return rounded(quantiles.quantiles(l, "l_extendedprice", [0.0, 0.25, 0.5, 0.95, 1.0], "flag"))
+
+
+def _flags(spark, sf):
+    """Lines by return flag, three classes, with four numbers of which status and date tell the most."""
+    l = table(spark, sf, "lineitem")
+    label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return l.select(F.xxhash64(*l.columns).alias("ID"), label.alias("label"), F.datediff("l_shipdate", F.lit("1992-01-01")).alias("shipped"), (F.col("l_linestatus") == "O").cast("int").alias("open"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"))
+
+
+_NUMBERS = ["shipped", "open", "quantity", "discount"]
+
+
+@query()
+def boosting_stages(spark, sf):
+    """Accuracy and macro F1 by stages of trees boosted on return flags."""
+    f = materialised(_flags(spark, sf), "flags")
+    return rounded(boosting.staged(f, boosting.boosted(f, _NUMBERS, 3, rounds=4, depth=4)))
+
+
+@query()
+def flag_importances(spark, sf):
+    """What swapping each feature costs trees boosted on return flags."""
+    f = materialised(_flags(spark, sf), "flags")
+    model = boosting.boosted(f, _NUMBERS, 3, rounds=2, depth=4)
+    return rounded(boosting.permutation_importances(lambda d: boosting.predicted(d, model), f, _NUMBERS))
+
+
+@query()
+def program_vectors(spark, sf):
+    """Vectors of the programs' graphs by three rounds of message passing."""
+    tree = materialised(graph.truncated(graph.nodes(programs(spark, sf))), "program-trees")
+    graphs = graph.assembled(graph.encoded(tree, graph.vocabulary(tree)), graph.edges(tree))
+    return rounded(message_passing.graph_vectors(graphs).select("sample_id", F.posexplode("vector").alias("place", "x")))

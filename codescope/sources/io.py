@@ -117,3 +117,23 @@ def write_arrays(df: DataFrame, path: str, partition: str | None = None) -> None
     """Vectors, graphs and probability rows: Parquet with array columns."""
     w = df.write.mode("overwrite")
     (w.partitionBy(partition) if partition else w).parquet(path)
+
+
+def materialised(df: DataFrame, tag: str = "table") -> DataFrame:
+    """df as a table in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only on a local master where
+    that is unset): read many times, computed once, and safe from the loss of executors. The folder's owner clears it."""
+    import re
+    import uuid
+
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codescope-"))
+        where = spark.sparkContext.getCheckpointDir()
+    path = f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -149,35 +149,24 @@ def test_ast33(spark):
     assert same[0] == p and all(same[1][k] == 0 for k in ast33.NAMES)
 
 
-def plain_formatting(code):
-    """The three checks, as described."""
-    parts = []
-    found = list(re.finditer(r"\n\s*def\s+\w+", code))
-    if len(found) > 1:
-        blanks = []
-        for m in found[1:]:
-            tail = code[: m.start()].split("\n")
-            blanks.append(next((k for k, x in enumerate(reversed(tail)) if x.strip()), len(tail)))
-        parts.append(1 - np.std(blanks) / 3)
-    ops = [" = ", " == ", " + ", " - ", " * ", " / "]
-    if bare := sum(code.count(o.strip()) for o in ops):
-        parts.append(min(1.0, sum(code.count(o) for o in ops) / bare))
-    one, two = code.count("'") - code.count("\\'"), code.count('"') - code.count('\\"')
-    if one + two:
-        parts.append(max(one, two) / (one + two))
-    return sum(parts) / len(parts) if parts else 0.5
-
-
-def test_formatting_consistency(spark):
-    import random
-
-    rng = random.Random(17)
-    bits = ["\n", "\n\n", "  ", "def f(x):", "def  g", "def\nh", "x = 1", "x=2", "a == b", "'q'", '"w"', "\\'", "\t", "y + z", "#", "é"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(500)]
-    df = spark.createDataFrame(list(enumerate(texts)), "ID long, code string")
-    got = {r["ID"]: r["formatting_consistency"] for r in stylometric12.with_stylometric12(df, "code", ("formatting_consistency",)).collect()}
-    for k, t in enumerate(texts):
-        assert got[k] == pytest.approx(plain_formatting(t) if t.strip() else 0.0), repr(t)  # blank texts have zeros throughout
+@pytest.mark.parametrize(("code", "value"), [
+    ("x = 1", 1.0),  # one operator, spaced
+    ("x=1", 0.0),
+    ("a == b", 1 / 3),  # one spaced; two = and one == without regard to space
+    ("a - b * c/d", 2 / 3),
+    ("'q' \"w\"", 0.5),  # two of each kind of quotes
+    ("'q'", 1.0),
+    ("it\\'s", 0.5),  # an escaped quote is none, so no check applies
+    ("print", 0.5),
+    ("\ndef f(x):\n\n\n\ndef g(x):", 1.0),  # two definitions
+    ("\ndef f(x):\n\ndef g(x):\n x=1", 0.5),  # and an operator without space
+    ("def f(x):\n\ndef g(x):", 0.5),  # the first isn't after a line break
+    ("'a' + \"b\" + 'c'", 5 / 6),  # (1 + 4/6) / 2
+    (" \n", 0.0),  # blank texts have zeros throughout
+])
+def test_formatting_consistency(spark, code, value):
+    df = spark.createDataFrame([(1, code)], "ID long, code string")
+    assert stylometric12.with_stylometric12(df, "code", ("formatting_consistency",)).first()["formatting_consistency"] == pytest.approx(value)
 
 
 def test_character_entropy(spark):
