@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import materialised
 from . import nesting, preorder
+from .selection import first_rows
 
 NODES = "sample_id long, node_id int, parent_id int, child_pos int, depth int, type string, is_named boolean, start int, child_count int, size int, text string"
 MAX_NODES = 512
@@ -247,8 +249,15 @@ def shape(tree: DataFrame) -> DataFrame:
 
 
 def node_texts(tree: DataFrame, most: int = 500_000) -> DataFrame:
-    """(text, n): the most frequent distinct texts."""
-    return tree.groupBy("text").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "text").limit(most).orderBy("text")
+    """(text, n): the most frequent distinct texts, those of a frequency in order of text. The least frequency that is in is found
+    from a count of texts a frequency, and the last text of that frequency from counts by its beginning; texts only get compared."""
+    counts = materialised(tree.groupBy("text").agg(F.count("*").alias("n")), "node-texts")
+    by = counts.groupBy("n").agg(F.count("*").alias("c"))
+    last = by.withColumn("up", F.sum("c").over(Window.orderBy(F.desc("n")))).where(F.col("up") >= most).orderBy(F.desc("n")).first()  # a row a frequency
+    if not last:
+        return counts.orderBy("text")
+    edge = first_rows(counts.where(F.col("n") == last["n"]), F.col("text"), most - (last["up"] - last["c"]), 1)
+    return counts.where(F.col("n") > last["n"]).unionByName(edge).orderBy("text")
 
 
 def assembled(tree: DataFrame, edge_table: DataFrame) -> DataFrame:

@@ -83,9 +83,6 @@ def errors_per_class(df: DataFrame, n: int = 5, truth: str = "label", pred: str
     return misclassified(df, truth, pred).withColumn("place", F.row_number().over(Window.partitionBy(truth).orderBy(id_))).where(F.col("place") <= n)
 
 
-RANGES = 64
-
-
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """(score, p, m): positives and others at each finite score."""
     ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
@@ -93,19 +90,13 @@ def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def thresholds(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """(score, p, m, tp, fp, pos, neg): counts at, and at or above, each distinct finite score. Scores are cut into RANGES ranges
-    by RANGES - 1 bounds, found first, not by a partitioning: which range a score is in depends on the score alone. Counts are
-    summed by range first and then within a range, so that no task holds all scores."""
-    by = _by_score(df, score, label)
-    bounds = by.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x > F.col("score")))
-    placed = by.select("score", "p", "m", above.alias("part"))
-    parts = placed.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("m").alias("pm"))
-    before, all_ = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # a row a range
-    sums = parts.select("part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("pm").over(before), F.lit(0)).alias("bm"), F.sum("pp").over(all_).alias("pos"), F.sum("pm").over(all_).alias("neg"))
-    inner = Window.partitionBy("part").orderBy(F.desc("score"))
-    run = placed.join(F.broadcast(sums), "part")
-    return run.select("score", "p", "m", (F.col("bp") + F.sum("p").over(inner)).alias("tp"), (F.col("bm") + F.sum("m").over(inner)).alias("fp"), "pos", "neg")
+    """(score, p, m, tp, fp, pos, neg): counts at, and at or above, each distinct finite score. Scores are sorted by ranges, whose
+    counts are summed first, so that no task holds all scores."""
+    from .selection import running
+
+    run = running(_by_score(df, score, label), [F.desc("score")], _tp="p", _fp="m")
+    total = run.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pos"), F.coalesce(F.sum("m"), F.lit(0)).alias("neg"))
+    return run.crossJoin(F.broadcast(total)).select("score", "p", "m", (F.col("_tp") + F.col("p")).alias("tp"), (F.col("_fp") + F.col("m")).alias("fp"), "pos", "neg")
 
 
 def roc(df: DataFrame, score: str, label: str = "label") -> DataFrame:

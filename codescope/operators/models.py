@@ -43,7 +43,8 @@ def predicted(model, df: DataFrame) -> DataFrame:
 
 
 def importances(model, features: list[str], k: int = 10) -> list[tuple[str, float]]:
-    """The k features that count most; ties by name."""
+    """The k features that count most; ties by name. Only of models that have importances; boosting.permutation_importances() is for
+    all, those of one class against the rest too."""
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))[:k]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import first_rows
+
 
 def draw(id_: str = "ID", seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_).cast("string")))
@@ -26,7 +28,8 @@ def _ranked(df: DataFrame, by: list[str], id_: str, seed: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, id_: str = "ID", seed: int = 42) -> DataFrame:
-    return df.orderBy(draw(id_, seed), id_).limit(n)
+    """The n rows drawn first. No task sorts them: which they are follows from the n-th draw (first_rows)."""
+    return first_rows(df, draw(id_, seed), n)
 
 
 def cap(df: DataFrame, by: list[str], most: int, id_: str = "ID", seed: int = 42) -> DataFrame:

@@ -70,14 +70,14 @@ _NUMBERS = ["shipped", "open", "quantity", "discount"]
 def boosting_stages(spark, sf):
     """Accuracy and macro F1 by stages of trees boosted on return flags."""
     f = materialised(_flags(spark, sf), "flags")
-    return rounded(boosting.staged(f, boosting.boosted(f, _NUMBERS, 3, rounds=4, depth=4)))
+    return rounded(boosting.staged(f, boosting.boosted(f, _NUMBERS, 3, rounds=3, depth=3)))
 
 
 @query()
 def flag_importances(spark, sf):
     """What swapping each feature costs trees boosted on return flags."""
     f = materialised(_flags(spark, sf), "flags")
-    model = boosting.boosted(f, _NUMBERS, 3, rounds=2, depth=4)
+    model = boosting.boosted(f, _NUMBERS, 3, rounds=1, depth=3)
     return rounded(boosting.permutation_importances(lambda d: boosting.predicted(d, model), f, _NUMBERS))
 
 

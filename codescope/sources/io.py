@@ -48,34 +48,16 @@ def conform(df: DataFrame, schema: T.StructType = SAMPLES, required: tuple[str,
 
 
 def ensure_id(df: DataFrame, order: list[str], name: str = "ID") -> DataFrame:
-    """df with an id: id in any case renamed, else a number from 0 in the given order, ties by the values of the row. Rows are
-    dealt to ranges by bounds of the first key, found first, and counted by range, so the same rows get the same numbers whatever
-    the partitioning, and no single task numbers all rows unless their first keys are equal."""
-    from pyspark.sql import Window
-
+    """df with an id: id in any case renamed, else a number from 0 in the given order, ties by a hash of the row, so the same rows get
+    the same numbers whatever the partitioning. Rows are sorted once, by ranges over all these keys (selection.running), so that
+    no task has more than its share, also where first keys are equal."""
     for c in df.columns:
         if c.lower() == name.lower():
             return df.withColumnRenamed(c, name)
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    first = F.col(f"`{order[0]}`")
-    kind = df.schema[order[0]].dataType
-    # numbers and times are placed by themselves, others by their first bytes
-    key = first.cast("double") if isinstance(kind, T.NumericType) else first.cast("timestamp").cast("double") if isinstance(kind, (T.DateType, T.TimestampType)) else _leading(first.cast("string"))
-    bounds = df.agg(F.percentile_approx(key, [k / ID_RANGES for k in range(1, ID_RANGES)], 10_000)).first()[0] or []
-    below = F.when(key.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < key)))
-    placed = df.select(*kept, below.alias("_p"))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
-    within = Window.partitionBy("_p").orderBy(*(F.col(f"`{c}`") for c in order), F.xxhash64(*kept))
-    return placed.join(F.broadcast(before), "_p").select((F.col("_b") + F.row_number().over(within) - 1).alias(name), *kept)
-
+    from ..operators.selection import running
 
-ID_RANGES = 64
-
-
-def _leading(text):
-    """The first six bytes of a text as a number that sorts as they do."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(text, "utf-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return running(df, [*(F.col(f"`{c}`") for c in order), F.xxhash64(*kept)]).select(F.col("_place").alias(name), *kept)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
