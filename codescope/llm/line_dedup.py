@@ -206,11 +206,13 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    narrow = docs.select("doc_id", size.cast("long").alias("n_lines"))
-    gone = repeated(with_copies(docs)).groupBy("doc_id").agg(F.count("*").alias("n_deleted"), F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("deleted"))
-    return narrow.join(gone.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "n_lines", F.coalesce("n_deleted", F.lit(0)).alias("n_deleted"), F.coalesce("deleted", F.lit("")).alias("deleted"))
+    narrow = docs.select("doc_id", "copy", size.cast("long").alias("n_lines"))
+    gone = repeated(docs).groupBy("doc_id", "copy").agg(F.count("*").alias("n_deleted"), F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("deleted"))
+    gone = gone.withColumnsRenamed({"doc_id": "d", "copy": "c"})
+    met = narrow.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left")
+    return met.select("doc_id", "n_lines", F.coalesce("n_deleted", F.lit(0)).alias("n_deleted"), F.coalesce("deleted", F.lit("")).alias("deleted"))
 
 
 ORACLE_SQL = rf"""

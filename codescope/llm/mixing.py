@@ -133,13 +133,38 @@ def taken(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix in whole documents, with the columns of docs. A document is in it taken / size times, rounded down or up by a
-    seeded draw of its own, so that a source's words come near its target: not at all, once or twice."""
-    chosen = taken(written(sizes(docs).select("doc_id", "source", "size"), "mix-sizes")).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}-draw|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    times = chosen.select(F.col("doc_id").alias("mix_id"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("times")).where("times > 0")
-    joined = boxed(docs, "doc_id").join(small(written(times, "mix-times")), F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return joined.select("row_", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row_.*")
+    """The mix in whole documents, with the columns of docs. A row is in it taken / size times, rounded down or up by a seeded draw of
+    its own, so that a source's words come near its target: not at all, once or twice. Rows are told apart by doc_id, source and size;
+    of rows that agree in these, in order of a hash of text, each gets one of the taken of such rows, the largest first, and a draw
+    of its own."""
+    key = ["doc_id", "source", "size"]
+    held = written(taken(written(sizes(docs).select(*key), "mix-sizes")).select(*key, "taken"), "mix-taken")
+    keyed = written(held.groupBy(*key).agg(F.count("*").alias("n"), F.max("taken").alias("taken")), "mix-keys")
+    some = held.join(small(_renamed(keyed.where("n > 1").select(*key))), _same(key), "left_semi")
+    order = Window.partitionBy(*key)
+    ranked = some.withColumn("k", F.row_number().over(order.orderBy(F.desc("taken"))) - 1)
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("k") > 0, F.col("k")))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}-draw|"), name)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("times")
+    pick = lambda df, *more: small(_renamed(written(df.where("size > 0 AND taken > 0").select(*key, *more, times).where("times > 0"), "mix-times")))
+    rows = boxed(docs, "doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("t"))
+    once = rows.join(pick(keyed.where("n = 1").withColumn("k", F.lit(0))), _same(key))
+    again = rows.join(small(_renamed(keyed.where("n > 1").select(*key))), _same(key), "left_semi").withColumn("k", F.row_number().over(order.orderBy("t")) - 1)
+    copies = again.join(pick(ranked, "k"), _same([*key, "k"]))
+    both = once.select("row_", "times").unionByName(copies.select("row_", "times"))
+    return both.select("row_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col("row_")[c].alias(c) for c in docs.columns))
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}_" for c in df.columns if c != "times"})
+
+
+def _same(columns: list[str]) -> Column:
+    """Null-safe equality with the columns of _renamed()."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return out
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,25 @@ def test_mixing(spark, odd, empty):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixed_tells_rows_apart(spark, monkeypatch):
+    """Rows that share an id, or have none, are in the mix as often as their own words ask for."""
+    rng = random.Random(2)
+    rows = [(None, prose(rng, 300), "a"), (None, prose(rng, 200), "a"), (None, None, "a"), (7, prose(rng, 200), "b"), (7, prose(rng, 90), "b"), (7, prose(rng, 90), "b"), (8, "", "b")]
+    rows += [(100 + i, prose(rng, rng.randint(100, 200)), "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("mine")).withColumn("k", F.lit(1))
+    all_taken = [(r["doc_id"], r["size"], r["taken"]) for r in mixing.taken(mixing.sizes(docs).select("doc_id", "source", "size")).collect()]
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+        out = mixing.mixed(docs)
+        assert out.columns == docs.columns
+        times = Counter((r["doc_id"], r["text"], r["size"]) for r in out.collect())
+        for i, text, _ in rows:
+            n, size = times[i, text, "mine"], len((text or "").split())
+            fits = [t for j, s, t in all_taken if (j, s) == (i, size)]
+            assert any(n in (t // size, -(-t // size)) for t in fits) if size else n == 0
+        assert sum(times.values()) == out.count()
+
+
 # ---- WARC ----
 
 
@@ -312,6 +331,16 @@ def test_line_dedup(spark, odd, empty):
     assert [t for _, t in by].count("") == 2 and line_dedup.without_repeats(empty).count() == 0
 
 
+def test_line_dedup_query_by_row(spark, tmp_path):
+    """The query counts what is deleted of each row, also of rows that share an id or have none."""
+    block = "\n".join(f"line {i} " + "w " * 9 for i in range(6))
+    rows = [(1, block), (2, block + "\nown"), (2, "other text"), (None, block), (None, "nothing"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = collect(line_dedup.op5_line_dedup(spark, str(tmp_path)))
+    every = "0,1,2,3,4,5"
+    assert got == sorted([(1, 6, 0, ""), (2, 7, 6, every), (2, 1, 0, ""), (None, 6, 6, every), (None, 1, 0, ""), (3, 0, 0, "")], key=str)
+
+
 def test_suffix_array(spark):
     """Order, longest common prefixes and intervals against sorting all suffixes."""
     rng = random.Random(18)
