@@ -377,11 +377,6 @@ for _family in signature57.FAMILIES:
     _put(f"signature_{_family}", lambda spark, sf, f=_family, ns=tuple(_names): rounded(signature57.with_signature57(folded(spark, sf), "code", (f,)).select("doc_id", *ns)), f"WITH {FOLD} SELECT doc_id, " + ", ".join(map(_signature_sql, _names)) + " FROM f")
 
 
-@query()
-def signature_scores(spark, sf):
-    return rounded(signature57.family_scores(signature57.with_signature57(folded(spark, sf))).select("doc_id", "ai_uniform_complexity", *(f"score_{'ai_generic' if f == 'ai' else f}" for f in signature57.FAMILIES)))
-
-
 @query()
 def stylometric(spark, sf):
     return rounded(stylometric12.with_stylometric12(table(spark, sf, "documents").select("doc_id", F.col("text").alias("code"))).drop("code"))
