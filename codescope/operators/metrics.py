@@ -44,10 +44,13 @@ def normalised_confusion(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("share", F.when(row == 0, 0.0).otherwise(F.col("n") / row))
 
 
-def report(matrix: DataFrame) -> DataFrame:
-    """(label, precision, recall, f1, support); 0 where a division by zero would be."""
+def report(matrix: DataFrame, only_true: bool = False) -> DataFrame:
+    """(label, precision, recall, f1, support); 0 where a division by zero would be. only_true leaves out labels that are only
+    predicted."""
     both = matrix.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("hit")))).alias("x")).select("x.*")
     by = both.groupBy("label").agg(F.sum("t").alias("support"), F.sum("p").alias("predicted"), F.sum("hit").alias("hit"))
+    if only_true:
+        by = by.where("support > 0")
     part = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     by = by.withColumn("precision", part(F.col("hit"), F.col("predicted"))).withColumn("recall", part(F.col("hit"), F.col("support")))
     return by.withColumn("f1", part(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select("label", "precision", "recall", "f1", "support", "hit")

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = Window.partitionBy("sample_id")
+def _sample():
+    return Window.partitionBy("sample_id")
 
 
 def _relative(c: str) -> Column:
     """c by its largest in the sample; by 1 where all are 0."""
-    return F.col(c) / F.greatest(F.max(c).over(SAMPLE), F.lit(1))
+    return F.col(c) / F.greatest(F.max(c).over(_sample()), F.lit(1))
 
 
 def _flag(c: Column) -> Column:
@@ -45,10 +46,10 @@ def relative_features(tree: DataFrame) -> DataFrame:
     siblings by the last place (0 for an only child). tree has size, of the whole tree also where nodes were cut off."""
     t = _with_parent(tree, _siblings="child_count")
     last = F.greatest(F.coalesce(F.col("_siblings"), F.lit(1)) - 1, F.lit(1))
-    whole = F.max(F.when(F.col("parent_id") < 0, F.col("size"))).over(SAMPLE)
+    whole = F.max(F.when(F.col("parent_id") < 0, F.col("size"))).over(_sample())
     return t.select(
         "sample_id", "node_id", _relative("depth").alias("f_depth"), _relative("child_count").alias("f_children"), _flag(F.col("child_count") == 0).alias("f_leaf"), _flag(F.col("is_named")).alias("f_named"),
-        (F.col("size") / F.coalesce(whole, F.count("*").over(SAMPLE))).alias("f_size"), (F.col("child_pos") / last).alias("f_place"),
+        (F.col("size") / F.coalesce(whole, F.count("*").over(_sample()))).alias("f_size"), (F.col("child_pos") / last).alias("f_place"),
     )
 
 
@@ -69,7 +70,7 @@ def stack_limited(tree: DataFrame, most: int) -> DataFrame:
     every node's fate follows from its parent's sum, and there is no walk."""
     if most < 1:
         return tree.limit(0)
-    order = SAMPLE.orderBy("node_id")
+    order = _sample().orderBy("node_id")
     before = F.coalesce(F.sum("child_count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     t = _with_parent(tree.withColumn("_taken", before), _room="_taken", _all="child_count")
     first = F.col("_all") - (most - F.col("_room"))  # the first child that there's room for

@@ -132,7 +132,8 @@ def scaled(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
 
 def class_weights(df: DataFrame, classes: int, kind: str = "inverse", label: str = "label") -> DataFrame:
     """(label, n, weight) for labels 0 to classes - 1. inverse: 1/n, mean 1; total: total/(K n), renormalised to sum K; both take
-    an absent class as one row. balanced: total/(K n), absent classes left out."""
+    an absent class as one row; total_one: as total, but an absent class has weight 1 before the sum is made K. balanced: total/(K n),
+    absent classes left out."""
     dim = df.sparkSession.range(classes).select(F.col("id").cast("int").alias(label))
     counts = dim.join(df.groupBy(F.col(label).cast("int").alias(label)).agg(F.count("*").alias("n")), label, "left").na.fill(0, ["n"])
     w = Window.partitionBy()  # a row a class
@@ -140,4 +141,6 @@ def class_weights(df: DataFrame, classes: int, kind: str = "inverse", label: str
         counts = counts.where("n > 0")
         return counts.withColumn("weight", F.sum("n").over(w) / (F.count("*").over(w) * F.col("n")))
     counts = counts.withColumn("raw", (1.0 if kind == "inverse" else F.sum("n").over(w) / classes) / F.greatest("n", F.lit(1)))
+    if kind == "total_one":
+        counts = counts.withColumn("raw", F.when(F.col("n") == 0, 1.0).otherwise(F.col("raw")))
     return counts.withColumn("weight", F.col("raw") / F.avg("raw").over(w)).drop("raw")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, graph, message_passing, metrics, quantiles, vectors
+from ..operators import boosting, graph, message_passing, metrics, quantiles, two_branch, vectors
 from ..sources.io import materialised
 from .code_queries import programs
 from .queries import FOLD, folded, query, rounded, table
@@ -87,3 +87,14 @@ def program_vectors(spark, sf):
     tree = materialised(graph.truncated(graph.nodes(programs(spark, sf))), "program-trees")
     graphs = graph.assembled(graph.encoded(tree, graph.vocabulary(tree)), graph.edges(tree))
     return rounded(message_passing.graph_vectors(graphs).select("sample_id", F.posexplode("vector").alias("place", "x")))
+
+
+@query()
+def two_branch_head(spark, sf):
+    """Labels of the embeddings by a head of two branches: the vectors, and four numbers of each."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, x: a + f(x))
+    e = e.withColumns({"low": F.array_min("v"), "high": F.array_max("v"), "total": total(lambda x: x), "squares": total(lambda x: x * x)})
+    classes = e.agg(F.max("label")).first()[0] + 1
+    head = two_branch.fit(e, "v", ["low", "high", "total", "squares"], 64, classes, branch=(16, 12), fusion=(16,), iterations=20)
+    return rounded(head.transform(e).select("vec_id", "label", "prediction"))

@@ -249,6 +249,11 @@ def class_weights_total(spark, sf):
     return rounded(profile.class_weights(table(spark, sf, "embeddings"), 12, "total"))
 
 
+@query(_weights_sql("CASE WHEN n = 0 THEN 1.0 ELSE sum(n) OVER () / 12.0 / n END", "raw / sum(raw) OVER () * 12"))
+def class_weights_total_one(spark, sf):
+    return rounded(profile.class_weights(table(spark, sf, "embeddings"), 12, "total_one"))
+
+
 @query(_weights_sql("sum(n) OVER () / (count(*) OVER () * n)", "raw", "n > 0"))
 def class_weights_balanced(spark, sf):
     return rounded(profile.class_weights(table(spark, sf, "embeddings"), 12, "balanced"))
@@ -466,6 +471,11 @@ def class_report(spark, sf):
     return rounded(metrics.report(metrics.confusion(predictions(spark, sf))).drop("hit"))
 
 
+@query(f"WITH {M} SELECT l::BIGINT AS label, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1, support FROM f WHERE support > 0")
+def class_report_true(spark, sf):
+    return rounded(metrics.report(metrics.confusion(predictions(spark, sf)), only_true=True).drop("hit"))
+
+
 @query(f"WITH {M} SELECT round(sum(hit) / sum(support), 6) AS accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, round(avg(re) FILTER (support > 0), 6) AS balanced_accuracy FROM f")
 def summary_metrics(spark, sf):
     return rounded(metrics.summary(metrics.confusion(predictions(spark, sf))))

@@ -11,7 +11,7 @@ from .queries import query, rounded, table
 
 MOST = 100
 
-_TREE = """q AS (SELECT l_suppkey AS sample_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS node_id, l_quantity::INTEGER % 12 + 1 AS q, l_returnflag AS type, l_linestatus = 'O' AS is_named FROM lineitem),
+_TREE = """q AS (SELECT l_suppkey AS sample_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag, l_linestatus) - 1 AS node_id, l_quantity::INTEGER % 12 + 1 AS q, l_returnflag AS type, l_linestatus = 'O' AS is_named FROM lineitem),
 d AS (SELECT sample_id, node_id, type, is_named, CASE WHEN node_id = 0 THEN 0 ELSE node_id + min(CASE WHEN node_id = 0 THEN 0 ELSE q - node_id END) OVER (PARTITION BY sample_id ORDER BY node_id) END AS depth FROM q),
 z AS (SELECT sample_id, count(*) AS whole, greatest(max(depth), 1) AS deepest FROM d GROUP BY sample_id),
 j AS (SELECT a.sample_id, a.node_id, min(CASE WHEN b.node_id > a.node_id AND b.depth <= a.depth THEN b.node_id END) AS stop, max(CASE WHEN b.node_id < a.node_id AND b.depth = a.depth - 1 THEN b.node_id END) AS up FROM d a JOIN d b USING (sample_id) GROUP BY ALL),
@@ -24,7 +24,7 @@ a AS (SELECT t.*, widest, u.size AS above, u.child_count AS siblings FROM t JOIN
 
 def trees(spark, sf) -> DataFrame:
     """shipments() with parents, places, sizes, a type and a named flag."""
-    by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")
+    by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
     kinds = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample_id"), (F.row_number().over(by) - 1).alias("node_id"), F.col("l_returnflag").alias("type"), (F.col("l_linestatus") == "O").alias("is_named"))
     return preorder.subtree_sizes(preorder.with_parents(shipments(spark, sf).join(kinds, ["sample_id", "node_id"])))
 
