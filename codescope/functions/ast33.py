@@ -1,17 +1,16 @@
-"""33 syntax-tree features: from the tree for Python, from brackets and keywords for other languages."""
+"""33 syntax-tree features: from the tree for Python, from brackets and keywords for other languages. Python's own parser cuts a text
+into arrays; the features of both kinds are expressions."""
 
 from __future__ import annotations
 
 import ast
-from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import characters, found, hits, let, lines_of, mean, ratio, std, strip
+from .text import characters, entropy, found, hits, let, lines_of, mean, ratio, std, strip, total
 
 NAMES = (
     "max_depth", "avg_depth", "depth_std", "max_breadth", "tree_balance", "node_entropy", "unique_node_ratio", "total_nodes", "if_count", "loop_count", "try_count",
@@ -19,75 +18,82 @@ NAMES = (
     "num_classes", "avg_methods_per_class", "inheritance_depth", "docstring_ratio", "comment_density", "avg_docstring_length", "type_hint_ratio", "return_annotation_ratio",
     "exception_specificity", "try_coverage", "naming_consistency", "avg_identifier_length", "import_count", "import_diversity",
 )
-DECISIONS = (ast.If, ast.For, ast.While, ast.And, ast.Or, ast.ExceptHandler, ast.With, ast.IfExp, ast.BoolOp)
+DECISIONS = ("If", "For", "While", "And", "Or", "ExceptHandler", "With", "IfExp", "BoolOp")
 NESTING = (ast.If, ast.For, ast.While, ast.With, ast.Try)
-BRANCHES = (ast.If, ast.For, ast.While, ast.With)
+BRANCHES = ("If", "For", "While", "With")
 
 
-class Flat:
-    """A tree as a table in preorder: nodes, depth, nesting and the end of each subtree, so that what a node holds is a slice."""
+#: What a tree is cut into: for its nodes in preorder the type, depth, number of nesting statements around and place after its subtree;
+#: for functions the place, lines and parameters; for classes the place and bases; and what names, imports and handlers hold.
+WORDS, PLACES, COUNT = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType()), T.IntegerType()
+TREE = T.StructType([T.StructField(name, kind) for name, kind in (
+    ("kind", WORDS), ("depth", PLACES), ("nested", PLACES), ("stop", PLACES), ("f_at", PLACES), ("f_lines", PLACES), ("f_params", PLACES), ("c_at", PLACES), ("c_bases", PLACES),
+    ("hints", COUNT), ("returns", COUNT), ("docs", PLACES), ("typed", COUNT), ("names", WORDS), ("modules", WORDS),
+)])
+NO_TREE = [None] * len(TREE)
 
-    def __init__(self, tree: ast.AST):
-        self.nodes, self.depth, self.nested, self.end = [], [], [], []
-        stack = [(tree, 0, 0)]
-        while stack:
-            node, d, n = stack.pop()
-            if node is None:  # the subtree that began at d ends
-                self.end[d] = len(self.nodes)
-                continue
-            stack.append((None, len(self.nodes), 0))
-            self.nodes.append(node)
-            self.depth.append(d)
-            self.nested.append(n)
-            self.end.append(0)
-            stack += [(c, d + 1, n + isinstance(c, NESTING)) for c in reversed(list(ast.iter_child_nodes(node)))]
 
-    def at(self, kind) -> list[int]:
-        return [i for i, n in enumerate(self.nodes) if isinstance(n, kind)]
-
-    def inside(self, i: int, kind) -> int:
-        return sum(isinstance(n, kind) for n in self.nodes[i : self.end[i]])
-
-
-def python_features(code: str) -> list[float]:
-    """In order of NAMES; zeros where the text is no Python."""
+def cut(code: str | None) -> list:
+    """TREE of a text; nulls where it is empty or no Python."""
     try:
-        f = Flat(ast.parse(code))
+        tree = ast.parse(code) if code else None
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return [0.0] * len(NAMES)
-    avg = lambda xs: float(np.mean(xs)) if len(xs) else 0.0
-    share = lambda a, b: a / b if b else 0.0
-    n, depth = len(f.nodes), np.array(f.depth)
-    kinds = np.array(list(Counter(type(x).__name__ for x in f.nodes).values()), float)
-    functions, classes, tries = f.at(ast.FunctionDef), f.at(ast.ClassDef), f.at(ast.Try)
-    defs = [f.nodes[i] for i in functions]
-    arguments = [a for d in defs for a in d.args.args]
-    docs = [s for i in functions + classes if (s := ast.get_docstring(f.nodes[i]))]
-    handlers = [f.nodes[i] for i in f.at(ast.ExceptHandler)]
-    names = [f.nodes[i].id for i in f.at(ast.Name)]
-    snake = sum("_" in x and x.islower() for x in names)
-    camel = sum("_" not in x and any(map(str.isupper, x)) for x in names)
-    imports = [f.nodes[i] for i in f.at((ast.Import, ast.ImportFrom))]
-    modules = {a.name for x in imports if isinstance(x, ast.Import) for a in x.names} | {x.module for x in imports if isinstance(x, ast.ImportFrom) and x.module}
-    lengths, params = [d.end_lineno - d.lineno + 1 for d in defs], [len(d.args.args) for d in defs]
-    lines = code.split("\n")
-    out = {
-        "max_depth": depth.max(), "avg_depth": depth.mean(), "depth_std": depth.std(), "max_breadth": np.bincount(depth).max(), "tree_balance": share(depth.mean(), depth.max()),
-        "node_entropy": -(kinds / n * np.log2(kinds / n)).sum(), "unique_node_ratio": len(kinds) / n, "total_nodes": n, "if_count": len(f.at(ast.If)), "loop_count": len(f.at((ast.For, ast.While))), "try_count": len(tries),
-        "cyclomatic_complexity": 1 + len(f.at(DECISIONS)), "nesting_depth": max(f.nested), "num_functions": len(defs), "avg_function_length": avg(lengths), "max_function_length": max(lengths, default=0),
-        "avg_function_params": avg(params), "max_function_params": max(params, default=0), "avg_function_complexity": avg([f.inside(i, BRANCHES) for i in functions]),
-        "num_classes": len(classes), "avg_methods_per_class": avg([f.inside(i, ast.FunctionDef) for i in classes]), "inheritance_depth": max((len(f.nodes[i].bases) for i in classes), default=0),
-        "docstring_ratio": share(len(docs), len(functions) + len(classes)), "comment_density": sum(x.strip().startswith("#") for x in lines) / len(lines), "avg_docstring_length": avg([len(x) for x in docs]),
-        "type_hint_ratio": share(sum(a.annotation is not None for a in arguments), len(arguments)), "return_annotation_ratio": share(sum(d.returns is not None for d in defs), len(defs)),
-        "exception_specificity": share(sum(h.type is not None for h in handlers), len(handlers)) if handlers else 0.5, "try_coverage": sum(f.end[i] - i for i in tries) / n,
-        "naming_consistency": share(max(snake, camel), len(names)), "avg_identifier_length": avg([len(x) for x in names]), "import_count": len(imports), "import_diversity": share(len(modules), len(imports)),
+        tree = None
+    if tree is None:
+        return NO_TREE
+    nodes, depth, nested, stop, stack = [], [], [], [], [(tree, 0, 0)]
+    while stack:
+        node, d, n = stack.pop()
+        if node is None:  # the subtree that began at d ends
+            stop[d] = len(nodes)
+            continue
+        stack.append((None, len(nodes), 0))
+        nodes.append(node)
+        depth.append(d)
+        nested.append(n)
+        stop.append(0)
+        stack += [(c, d + 1, n + isinstance(c, NESTING)) for c in reversed(list(ast.iter_child_nodes(node)))]
+    f_at, c_at = ([i for i, n in enumerate(nodes) if isinstance(n, kind)] for kind in (ast.FunctionDef, ast.ClassDef))
+    f, c = [nodes[i] for i in f_at], [nodes[i] for i in c_at]
+    modules = [a.name for n in nodes if isinstance(n, ast.Import) for a in n.names] + [n.module for n in nodes if isinstance(n, ast.ImportFrom) and n.module]
+    return [
+        [type(n).__name__ for n in nodes], depth, nested, stop, f_at, [n.end_lineno - n.lineno + 1 for n in f], [len(n.args.args) for n in f], c_at, [len(n.bases) for n in c],
+        sum(a.annotation is not None for n in f for a in n.args.args), sum(n.returns is not None for n in f), [len(s) for n in f + c if (s := ast.get_docstring(n))],
+        sum(isinstance(n, ast.ExceptHandler) and n.type is not None for n in nodes), [n.id for n in nodes if isinstance(n, ast.Name)], modules,
+    ]
+
+
+@F.pandas_udf(TREE)
+def python_tree(code: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([cut(c) for c in code], columns=TREE.names, dtype=object)
+
+
+def _of(kinds: Column, *names: str) -> Column:
+    return F.size(F.filter(kinds, lambda k: k.isin(*names)))
+
+
+def tree_features(t: Column, code: Column) -> dict[str, Column]:
+    """name: column, from a struct TREE that isn't null."""
+    kinds, depth, lines = t["kind"], t["depth"], lines_of(code)
+    n, functions, classes = F.size(kinds), F.size(t["f_at"]), F.size(t["c_at"])
+    inside = lambda at, *names: F.transform(at, lambda i: _of(F.slice(kinds, i + 1, F.get(t["stop"], i) - i), *names))
+    tries = F.filter(F.transform(kinds, lambda k, i: F.when(k == "Try", F.get(t["stop"], i) - i)), lambda x: x.isNotNull())
+    handlers, imports = _of(kinds, "ExceptHandler"), _of(kinds, "Import", "ImportFrom")
+    snake = F.size(F.filter(t["names"], lambda x: F.contains(x, F.lit("_")) & x.rlike(r"\p{IsLowercase}") & ~x.rlike(r"[\p{IsUppercase}\p{Lt}]")))
+    camel = F.size(F.filter(t["names"], lambda x: ~F.contains(x, F.lit("_")) & x.rlike(r"\p{IsUppercase}")))
+    most = lambda a: F.coalesce(F.array_max(a), F.lit(0))
+    return {
+        "max_depth": most(depth), "avg_depth": mean(depth), "depth_std": std(depth), "max_breadth": _breadth(depth), "tree_balance": ratio(mean(depth), most(depth)),
+        "node_entropy": entropy(kinds), "unique_node_ratio": F.size(F.array_distinct(kinds)) / n, "total_nodes": n, "if_count": _of(kinds, "If"), "loop_count": _of(kinds, "For", "While"), "try_count": _of(kinds, "Try"),
+        "cyclomatic_complexity": 1 + _of(kinds, *DECISIONS), "nesting_depth": most(t["nested"]), "num_functions": functions, "avg_function_length": mean(t["f_lines"]), "max_function_length": most(t["f_lines"]),
+        "avg_function_params": mean(t["f_params"]), "max_function_params": most(t["f_params"]), "avg_function_complexity": mean(inside(t["f_at"], *BRANCHES)),
+        "num_classes": classes, "avg_methods_per_class": mean(inside(t["c_at"], "FunctionDef")), "inheritance_depth": most(t["c_bases"]),
+        "docstring_ratio": ratio(F.size(t["docs"]), functions + classes), "comment_density": F.size(F.filter(lines, lambda x: F.startswith(strip(x), F.lit("#")))) / F.size(lines), "avg_docstring_length": mean(t["docs"]),
+        "type_hint_ratio": ratio(t["hints"], total(t["f_params"])), "return_annotation_ratio": ratio(t["returns"], functions),
+        "exception_specificity": F.when(handlers == 0, 0.5).otherwise(t["typed"] / handlers), "try_coverage": total(tries) / n,
+        "naming_consistency": ratio(F.greatest(snake, camel), F.size(t["names"])), "avg_identifier_length": mean(F.transform(t["names"], F.length)),
+        "import_count": imports, "import_diversity": ratio(F.size(F.array_distinct(t["modules"])), imports),
     }
-    return [float(out[k]) for k in NAMES]
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def python_ast(code: pd.Series) -> pd.Series:
-    return code.map(lambda c: python_features(c) if c else [0.0] * len(NAMES))
 
 
 # Fixed values of the features from brackets and keywords.
@@ -141,13 +147,12 @@ def bracket_features(code: Column) -> dict[str, Column]:
 
 def with_ast33(df: DataFrame, code: str = "code", language: str = "language", compat_python_only: bool = False) -> DataFrame:
     """df with the features: of the tree where language is Python, of brackets elsewhere; compat_python_only parses all as Python."""
-    text = F.coalesce(F.col(code), F.lit(""))
     kept = [F.col(f"`{c}`") for c in df.columns]
-    if compat_python_only:
-        df = df.withColumn("_f", python_ast(text))
-    else:
-        other = bracket_features(F.col("_code"))
-        python = F.coalesce(F.lower(F.trim(F.col(language))).isin("python", "py"), F.lit(False))
-        df = df.withColumn("_code", text).withColumn("_python", python).withColumn("_tree", python_ast(F.when(F.col("_python"), F.col("_code"))))
-        df = df.withColumn("_f", F.when(F.col("_python"), F.col("_tree")).when(F.col("_code") == "", F.array_repeat(F.lit(0.0), len(NAMES))).otherwise(F.array(*(other[k].cast("double") for k in NAMES))))
+    python = F.lit(True) if compat_python_only else F.coalesce(F.lower(F.trim(F.col(language))).isin("python", "py"), F.lit(False))
+    df = df.withColumn("_code", F.coalesce(F.col(code), F.lit(""))).withColumn("_python", python).withColumn("_tree", python_tree(F.when(F.col("_python"), F.col("_code"))))
+    zeros = F.array_repeat(F.lit(0.0), len(NAMES))
+    listed = lambda made: F.array(*(made[k].cast("double") for k in NAMES))
+    own = F.when(F.col("_tree.kind").isNull(), zeros).otherwise(listed(tree_features(F.col("_tree"), F.col("_code"))))
+    other = own if compat_python_only else F.when(F.col("_code") == "", zeros).otherwise(listed(bracket_features(F.col("_code"))))
+    df = df.withColumn("_f", F.when(F.col("_python"), own).otherwise(other))
     return df.select(*kept, *(F.get("_f", F.lit(k)).alias(name) for k, name in enumerate(NAMES)))

@@ -149,6 +149,24 @@ def test_ast33(spark):
     assert same[0] == p and all(same[1][k] == 0 for k in ast33.NAMES)
 
 
+def test_tree_features_against_the_tree(spark):
+    """Sources of Python's own library, and texts with what these may lack."""
+    import ast
+    import inspect
+    import textwrap
+
+    from python_tree_model import python_features
+
+    texts = [inspect.getsource(m) for m in (ast, textwrap, inspect)] + [
+        "import a, b.c\nfrom a import d\nfrom . import e\n", "async def f(a: int, *, b: str) -> int:\n    \"\"\"Doc.\"\"\"\n    # no\n    return a\n", "x", "# only", " \n", "\u00c9t\u00e9_x = \u01c5a = \u00aax = fooBar = _1 = 1\nprint(\u00c9t\u00e9_x, \u01c5a, fooBar, _1)",
+        "try:\n  try:\n    pass\n  except:\n    pass\nexcept (A, B) as e:\n  pass", "class A(B, C):\n  class D: pass\n  def f(self): return [x for x in y if x]\n  def g(self, z: int = 1):\n    def h(): pass\n    if z:\n      while z: z -= 1", "(" * 300, "\0",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "ID long, code string").withColumn("language", F.lit(" Python "))
+    got = rows(ast33.with_ast33(df))
+    for i, t in enumerate(texts):
+        assert [got[i][k] for k in ast33.NAMES] == pytest.approx(python_features(t), abs=1e-9), t[:50]
+
+
 @pytest.mark.parametrize(("code", "value"), [
     ("x = 1", 1.0),  # one operator, spaced
     ("x=1", 0.0),
