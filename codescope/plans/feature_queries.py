@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ast33, signature57, stylometric12
-from ..operators import clean, profile
-from .queries import FOLD, _lines, _signature_sql, _sql_count, query, rounded, samples, table
+from ..functions import ast33, lexical44, signature57, stylometric12
+from ..operators import clean, graph, profile
+from ..sources.io import materialised
+from .queries import FOLD, _lines, _signature_sql, _sql_count, folded, query, rounded, samples, table, tree
 
 #: What an order is in a script and in a class, by o_orderkey % 6; K stands for its key, S for its status, P for its priority.
 SCRIPT = (
@@ -111,8 +112,7 @@ def script_style(spark, sf):
 @query(_style_sql(FOLD, "doc_id"))
 def document_style(spark, sf):
     """The same features of every document."""
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x").alias("code"))
-    return rounded(stylometric12.with_stylometric12(d, "code", tuple(_STYLE)).drop("code"))
+    return rounded(stylometric12.with_stylometric12(folded(spark, sf), "code", tuple(_STYLE)).drop("code"))
 
 
 # ---- signatures ----
@@ -142,7 +142,7 @@ def script_signatures(spark, sf):
 @query(_scores_sql(FOLD, "doc_id"))
 def signature_scores(spark, sf):
     """The same of every document."""
-    return _scored(table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x").alias("code")), "doc_id")
+    return _scored(folded(spark, sf), "doc_id")
 
 
 # ---- syntax features from brackets ----
@@ -196,6 +196,38 @@ def script_tree_features(spark, sf):
     return rounded(ast33.with_ast33(scripts(spark, sf).withColumn("language", F.lit("python"))).drop("code", "language"))
 
 
+# ---- depth of braces, trees of pages ----
+
+def _braces_sql(texts: str, id_: str) -> str:
+    return f"""WITH {texts}, c AS (SELECT {id_}, unnest(string_split(code, '')) AS c, unnest(range(length(code))) AS pos FROM f WHERE code <> ''),
+s AS (SELECT {id_}, pos, sum(CASE c WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY {id_} ORDER BY pos) AS s FROM c),
+d AS (SELECT {id_}, s - least(0, min(s) OVER (PARTITION BY {id_} ORDER BY pos)) AS d FROM s),
+m AS (SELECT {id_}, max(d) AS most, avg(d) AS mean FROM d GROUP BY {id_})
+SELECT {id_}, coalesce(most, 0)::DOUBLE AS max_brace_depth, round(coalesce(mean, 0), 6) AS avg_brace_depth FROM f LEFT JOIN m USING ({id_})"""
+
+
+@query(_braces_sql(FOLD, "doc_id"))
+def document_brace_depth(spark, sf):
+    return rounded(lexical44.with_lexical44(folded(spark, sf), "code", ("structure",)).select("doc_id", "max_brace_depth", "avg_brace_depth"))
+
+
+@query(_braces_sql(_texts_sql(CLASS, HEAD, TAIL), "ID"))
+def class_brace_depth(spark, sf):
+    return rounded(lexical44.with_lexical44(classes(spark, sf), "code", ("structure",)).select("ID", "max_brace_depth", "avg_brace_depth"))
+
+
+@query("WITH t AS (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) SELECT lower(t) AS type, count(*) AS n FROM t GROUP BY lower(t)")
+def page_types(spark, sf):
+    """How often each element occurs in the trees of the pages."""
+    return tree(spark, sf).where(~F.col("type").isin("#text", "document")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_edges(spark, sf):
+    """The edges of all kinds of the pages' trees."""
+    return rounded(graph.edges(materialised(graph.truncated(tree(spark, sf)), "page-trees")))
+
+
 # ---- languages of the documents ----
 
 _ALIAS = "CASE lower(trim(lang)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in clean.LANGUAGES.items()) + " END"

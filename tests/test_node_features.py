@@ -112,6 +112,15 @@ def test_assembled(spark):
     assert [tuple(e) for e in row["edges"]] == [(0, 0, 1), (0, 0, 3), (0, 1, 2), (1, 1, 0), (1, 2, 1), (1, 3, 0)]
 
 
+def test_edges_of_a_page(spark):
+    """document 0, a 1, b 2, c 3: b and c are siblings and leaves that follow each other. A page without elements is a loop."""
+    df = spark.createDataFrame([(1, "<a><b></b><c></c></a>"), (2, ""), (3, None), (4, " ")], "page_id long, html string")
+    tree = io.materialised(graph.truncated(graph.nodes(df, "html", "page_id", F.lit("html"))))
+    got = sorted(map(tuple, graph.edges(tree).select("sample_id", "src", "dst", "edge_type").collect()))
+    both = lambda a, b, there, back: [(1, a, b, there), (1, b, a, back)]
+    assert got == sorted(both(0, 1, 0, 1) + both(1, 2, 0, 1) + both(1, 3, 0, 1) + both(2, 3, 2, 2) + both(2, 3, 3, 3) + [(4, 0, 0, 0)])
+
+
 def test_weights_of_absent_classes(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "label int")
     # total / (K n) are 8/18 and 8/6, an absent class 1
