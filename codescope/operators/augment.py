@@ -35,7 +35,7 @@ def renamed(code: str) -> str:
 
     try:
         tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last where the parser's stack is too small for the text
         return code
     names = {x for n in ast.walk(tree) for x in ([n.id] if isinstance(n, ast.Name) else [n.arg] if isinstance(n, ast.arg) else [n.name] if isinstance(n, (ast.FunctionDef, ast.ClassDef)) else [])}
     table = {n: f"var_{k}" for k, n in enumerate(sorted(n for n in names if len(n) > 1 and n not in KEPT_NAMES and not keyword.iskeyword(n)))}

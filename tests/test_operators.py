@@ -151,6 +151,13 @@ def test_tfidf_and_windows(spark):
     assert {r["ID"]: math.isinf(r["perplexity"]) for r in vectors.perplexity(df, vectors.fit_bigram_lm(df)).collect()} == {1: False, 2: False, 3: True}
 
 
+def test_renamed_leaves_texts_beyond_the_parser():
+    deep = "~" * 20000 + "value"
+    with pytest.raises(MemoryError):
+        compile(deep, "", "eval")
+    assert augment.renamed(deep) == deep
+
+
 def test_augment(spark, groups):
     code = "def area(width, height):\n    total = width * height\n    return total\n"
     out = augment.renamed(code)
