@@ -195,3 +195,21 @@ def test_character_entropy(spark):
     for t, h in zip(texts, got, strict=True):
         n = Counter(t)
         assert h == pytest.approx(-sum(c / len(t) * math.log2(c / len(t)) for c in n.values()) if t else 0.0), t[:9]
+
+
+def test_comments_of_long_lines(spark):
+    import re
+    import time
+
+    from codescope.functions import lexical44
+
+    texts = ["", "#", "a # b", "a #", "a #\n\n b // c # d\n#", "\n\n\n  # x\n\n", "x//y//\nz", "# # #  \n \n", "a\n\n\n\nb", " \n # \n//\n", "é # ü\n # x", "x" * 3 + "#" * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, code string")
+    got = {r["id"]: (r["comment_line_ratio"], r["inline_comment_ratio"]) for r in lexical44.with_lexical44(df, groups=("comment",)).collect()}
+    for k, t in enumerate(texts):
+        n = t.count("\n") + 1
+        assert got[k] == (len(re.findall(lexical44.COMMENT_LINE, t, re.M)) / n, len(re.findall(lexical44.COMMENT_INLINE, t)) / n), t
+    began = time.time()
+    long = spark.createDataFrame([("word " * 80_000,), ("\n" * 200_000,)], "code string")
+    assert [r["inline_comment_ratio"] for r in lexical44.with_lexical44(long, groups=("comment",)).collect()] == [0.0, 0.0]
+    assert time.time() - began < 60
