@@ -213,3 +213,34 @@ def test_comments_of_long_lines(spark):
     long = spark.createDataFrame([("word " * 80_000,), ("\n" * 200_000,)], "code string")
     assert [r["inline_comment_ratio"] for r in lexical44.with_lexical44(long, groups=("comment",)).collect()] == [0.0, 0.0]
     assert time.time() - began < 60
+
+
+def test_signatures_whose_needed_text_is_there():
+    """What a pattern needs is in every text that it matches."""
+    texts = [PYTHON, '"""Create a."""', "## x # Step 1: 2. # Test: it", "x -> y", "try:" + "x" * 60 + "except ValueError as e:", 'print(f"{a}")', "def f(a): return g(b) ", "<|fim_a|>", "a: int", "def f() -> int:", "from a import b", "from a import *",
+             "if " + "a" * 31 + ":", 'if __name__ == "__main__":', "from typing import X", "[x for y in z]", "match x:", "a := b", "a_b_c_d", "        x", "# Usage: # Edge case # Algorithm # Given that", "# a long enough comment\n"]
+    for name, pattern, flags, _ in signature57.COUNTED:
+        needed = signature57.NEEDED.get(name)
+        for text in texts:
+            if needed and needed not in text:
+                assert not re.search(pattern, text, (re.I if "i" in flags else 0) | (re.M if "m" in flags else 0)), (name, text)
+
+
+def test_bigram_entropy_of_wide_texts(spark):
+    texts = ["", "a", "ab", "abab", "é\U0001f600é\U0001f600x", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, code string")
+    got = {r["id"]: r["bigram_entropy"] for r in lexical44.with_lexical44(df, groups=("entropy",)).collect()}
+    for k, t in enumerate(texts):
+        c = Counter(a + b for a, b in zip(t or "", (t or "")[1:]))
+        n = sum(c.values())
+        assert got[k] == pytest.approx(math.log2(n) - sum(x * math.log2(x) for x in c.values()) / n if n else 0.0)
+
+
+def test_training_features_are_computed_once(spark, tmp_path):
+    from codescope.plans import queries
+
+    rows = [(i, f"some text {i}, of words " * (1 + i % 7), "en", "web") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    f, names = queries._trained(spark, str(tmp_path))
+    assert set(names) <= set(f.columns) and not any("documents" in x for x in f.inputFiles())
