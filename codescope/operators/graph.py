@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import materialised
+from ..sources.io import dealt, materialised
 from . import nesting, preorder
 from .selection import first_rows
 
@@ -169,8 +169,7 @@ def subtree_sizes(tree: DataFrame) -> DataFrame:
 
 def structural_features(tree: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """Six features in [0, 1] with static bounds; the last is the size relative to the parent's."""
-    up = tree.select("sample_id", F.col("node_id").alias("parent_id"), F.col("size").alias("parent_size"))
-    t = tree.join(up, ["sample_id", "parent_id"], "left")
+    t = preorder.with_parent(tree, parent_size="size")
     least = lambda x, by: F.least(F.lit(1.0), x / by)
     return t.select(
         "sample_id", "node_id", least(F.col("depth"), 100.0).alias("f_depth"), least(F.col("child_pos"), 50.0).alias("f_child_pos"), least(F.col("child_count"), 50.0).alias("f_child_count"),
@@ -261,7 +260,10 @@ def node_texts(tree: DataFrame, most: int = 500_000) -> DataFrame:
 
 
 def assembled(tree: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """A row a sample: arrays of type ids (tree is encoded) and of edges."""
+    """A row a sample: arrays of type ids (tree is encoded) and of edges. tree is a table that is cheap to count, and sets how many
+    samples are in a partition."""
+    nodes = tree.count()
+    tree, edge_table = (dealt(x, "sample_id", nodes, preorder.NODES_A_TASK) for x in (tree, edge_table))
     n = tree.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "type_id"))), lambda x: x["type_id"]).alias("type_ids"))
     e = edge_table.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("edge_type", "src", "dst"))).alias("edges"))
     return n.join(e, "sample_id", "left")

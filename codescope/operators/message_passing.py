@@ -88,10 +88,13 @@ def graph_vectors(graphs: DataFrame, dims: int = 16, rounds: int = 3, kind: str
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
             ids, types = b.column(0).to_pylist(), [np.array(t or [], np.int64) for t in b.column(1).to_pylist()]
-            edges = [np.array([(e["edge_type"], e["src"], e["dst"]) for e in x or []], np.int64).reshape(-1, 3) for x in b.column(2).to_pylist()]
+            flat, size = b.column(2).flatten(), pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
+            every = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in ("edge_type", "src", "dst")], axis=1)  # 12 bytes an edge
+            edges = np.split(every, np.cumsum(size)[:-1])
             lo = 0
             while lo < len(ids):
                 hi, n = lo + 1, len(types[lo])

@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.io import dealt
 from .preorder import subtree_sizes, with_parents
 
 TEXT = 200
+#: Bytes of code, about, whose tokens a task sorts and passes over; more only where one text has more.
+CODE_A_TASK = 1 << 20
 SPACE = " \t\n\x0b\f\r"
 
 # The lexical forms of the languages. *+ stands where a long text mustn't need a deep stack.
@@ -151,8 +154,9 @@ def lexed(df: DataFrame, code: str = "code", id_: str = "ID", language: str | Co
     """(sample_id, language, pos, tok, new_line, start (byte), ahead): a row a token. ahead is the text from the token on, where an
     inner node may begin."""
     lang = F.col(language) if isinstance(language, str) else language
-    dealt = df.select(F.col(id_).cast("long").alias("sample_id"), F.col(code).alias("_code"), lang.alias("language")).where(F.col("language").isin(*LANGUAGES)).repartition("sample_id")
-    t = dealt.select("sample_id", "language", tokens(F.col("_code"), F.col("language")).alias("t"))
+    texts = df.select(F.col(id_).cast("long").alias("sample_id"), F.col(code).alias("_code"), lang.alias("language")).where(F.col("language").isin(*LANGUAGES))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("_code")), F.lit(0))).first()[0]
+    t = dealt(texts, "sample_id", size, CODE_A_TASK).select("sample_id", "language", tokens(F.col("_code"), F.col("language")).alias("t"))
     before = lambda i: F.substring(F.coalesce(F.get("t", i - 1), F.lit(";")), -1, 1)
     may = lambda x, i: F.substring(x, -1, 1).isin("(", "[", "{") | before(i).isin(";", "{", "}", "/") | F.contains(x, F.lit("\n"))
     cut = F.transform("t", lambda x, i: F.struct(x.alias("raw"), F.when(may(x, i), F.substring(F.array_join(F.slice(F.col("t"), i + 1, TEXT), ""), 1, TEXT + F.length(x))).alias("ahead")))

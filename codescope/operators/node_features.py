@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .preorder import with_parent
+
+
 def _sample():
     return Window.partitionBy("sample_id")
 
@@ -22,12 +25,6 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c.cast("double"), F.lit(0.0))
 
 
-def _with_parent(tree: DataFrame, **columns: str) -> DataFrame:
-    """tree with columns of each node's parent, null for roots."""
-    up = tree.select("sample_id", F.col("node_id").alias("parent_id"), *(F.col(c).alias(name) for name, c in columns.items()))
-    return tree.join(up, ["sample_id", "parent_id"], "left")
-
-
 def type_share_features(tree: DataFrame, vocab: DataFrame) -> DataFrame:
     """Five features: the type's number (0: not in vocab) by the number of types, depth and children relative to the sample's largest,
     leaf and named flags. vocab is a row a type, as graph.vocabulary() makes it."""
@@ -44,7 +41,7 @@ def type_share_features(tree: DataFrame, vocab: DataFrame) -> DataFrame:
 def relative_features(tree: DataFrame) -> DataFrame:
     """Six features relative to the sample: depth, children, leaf and named flags, subtree size by the root's, and the place among the
     siblings by the last place (0 for an only child). tree has size, of the whole tree also where nodes were cut off."""
-    t = _with_parent(tree, _siblings="child_count")
+    t = with_parent(tree, _siblings="child_count")
     last = F.greatest(F.coalesce(F.col("_siblings"), F.lit(1)) - 1, F.lit(1))
     whole = F.max(F.when(F.col("parent_id") < 0, F.col("size"))).over(_sample())
     return t.select(
@@ -55,7 +52,7 @@ def relative_features(tree: DataFrame) -> DataFrame:
 
 def raw_features(tree: DataFrame) -> DataFrame:
     """Six features without bounds: depth, place, children, named flag, subtree size, and that by the parent's (1 for a root)."""
-    t = _with_parent(tree, _above="size")
+    t = with_parent(tree, _above="size")
     number = lambda c: F.col(c).cast("double").alias(f"f_{c}")
     return t.select("sample_id", "node_id", number("depth"), number("child_pos"), number("child_count"), _flag(F.col("is_named")).alias("f_named"), number("size"), F.coalesce(F.col("size") / F.col("_above"), F.lit(1.0)).alias("f_parent_share"))
 
@@ -72,9 +69,9 @@ def stack_limited(tree: DataFrame, most: int) -> DataFrame:
         return tree.limit(0)
     order = _sample().orderBy("node_id")
     before = F.coalesce(F.sum("child_count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-    t = _with_parent(tree.withColumn("_taken", before), _room="_taken", _all="child_count")
+    t = with_parent(tree.withColumn("_taken", before), _room="_taken", _all="child_count")
     first = F.col("_all") - (most - F.col("_room"))  # the first child that there's room for
     kept = t.where(F.col("_room").isNull() | ((F.col("_room") < most) & (F.col("child_pos") >= first)))
     kept = kept.withColumn("_new", (F.row_number().over(order) - 1).cast("int"))
-    new = _with_parent(kept, _up="_new").withColumns({"node_id": F.col("_new"), "parent_id": F.coalesce("_up", F.lit(-1))})
+    new = with_parent(kept, _up="_new").withColumns({"node_id": F.col("_new"), "parent_id": F.coalesce("_up", F.lit(-1))})
     return new.select(*tree.columns)

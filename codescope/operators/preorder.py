@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Nodes, about, that a task sorts and passes over; more only where one tree has more.
+NODES_A_TASK = 200_000
+
 
 def _rest(df: DataFrame) -> Column:
     """All columns but sample_id, which stays beside, so that Spark knows that the partitioning by it still holds."""
@@ -50,6 +53,19 @@ def with_parents(tree: DataFrame) -> DataFrame:
     return numbered.withColumn("child_count", F.when(F.col("_inner"), F.lead("_k").over(order)).otherwise(0)).drop("_k", "_inner")
 
 
+def with_parent(tree: DataFrame, **columns: str) -> DataFrame:
+    """tree (with parent_id) and, by name, columns of each node's parent, null where it isn't in the table. Every node stands twice, as
+    itself and as a parent, and meets its parent in a window, so the tree is computed once and rows dealt by sample stay."""
+    kind = tree.select(_rest(tree).alias("r")).schema["r"].dataType
+    up = F.struct(*(F.col(f"`{c}`").alias(name) for name, c in columns.items()))
+    none = F.lit(None).cast(tree.select(up.alias("u")).schema["u"].dataType)
+    own = F.struct(F.col("parent_id").alias("key"), F.lit(1).alias("kind"), _rest(tree).alias("row"), none.alias("up"))
+    parent = F.struct(F.col("node_id").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("row"), up.alias("up"))
+    both = tree.select("sample_id", F.explode(F.array(own, parent)).alias("x")).select("sample_id", "x.*")
+    met = both.withColumn("up", F.first("up", ignorenulls=True).over(Window.partitionBy("sample_id", "key").orderBy("kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
+    return met.select(*(F.col("sample_id") if c == "sample_id" else F.col(f"row.`{c}`") for c in tree.columns), *(F.col(f"up.`{name}`") for name in columns))
+
+
 def breadth_first(tree: DataFrame) -> DataFrame:
     """tree (with parent_id) renumbered level by level, in order of place within a level."""
     by = Window.partitionBy("sample_id").orderBy("depth", "node_id")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import augment, graph, nesting, preorder
+from ..sources.io import dealt
 from .queries import query, rounded, table
 
 #: language: what stands before and after the statements
@@ -98,13 +99,14 @@ _DEPTHS = """q AS (SELECT l_suppkey AS sample_id, row_number() OVER (PARTITION B
 d AS (SELECT sample_id, node_id, CASE WHEN node_id = 0 THEN 0 ELSE node_id + min(CASE WHEN node_id = 0 THEN 0 ELSE q - node_id END) OVER (PARTITION BY sample_id ORDER BY node_id) END AS depth FROM q)"""
 
 
-def shipments(spark, sf) -> DataFrame:
+def shipments(spark, sf, *more: str) -> DataFrame:
     """(sample_id, node_id, depth): a tree a supplier, whose nodes are its lines in order; a line is at most one deeper than the line
-    before, and else as deep as its quantity says."""
-    by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")
-    l = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample_id"), (F.row_number().over(by) - 1).alias("node_id"), (F.col("l_quantity").cast("int") % 12 + 1).alias("q"))
+    before, and else as deep as its quantity says. more names columns of lineitem to keep, by which equal lines are ordered."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample_id"), "l_orderkey", "l_linenumber", "l_quantity", *more)
+    by = Window.partitionBy("sample_id").orderBy("l_orderkey", "l_linenumber", "l_quantity", *more)
+    l = dealt(lines, "sample_id", lines.count(), preorder.NODES_A_TASK).select("sample_id", (F.row_number().over(by) - 1).alias("node_id"), (F.col("l_quantity").cast("int") % 12 + 1).alias("q"), *more)
     least = F.min(F.when(F.col("node_id") == 0, 0).otherwise(F.col("q") - F.col("node_id"))).over(Window.partitionBy("sample_id").orderBy("node_id"))
-    return l.select("sample_id", "node_id", F.when(F.col("node_id") == 0, 0).otherwise(F.col("node_id") + least).alias("depth"))
+    return l.select("sample_id", "node_id", F.when(F.col("node_id") == 0, 0).otherwise(F.col("node_id") + least).alias("depth"), *more)
 
 
 @query(f"WITH {_DEPTHS}, e AS (SELECT a.sample_id, a.node_id, min(b.node_id) AS stop FROM d a JOIN d b ON a.sample_id = b.sample_id AND b.node_id > a.node_id AND b.depth <= a.depth GROUP BY ALL), n AS (SELECT sample_id, count(*) AS n FROM d GROUP BY sample_id) SELECT d.sample_id, d.node_id, d.depth::BIGINT AS depth, coalesce(stop, n) - d.node_id AS size FROM d JOIN n USING (sample_id) LEFT JOIN e USING (sample_id, node_id)")

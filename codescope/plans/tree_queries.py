@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, node_features, preorder
@@ -24,9 +24,8 @@ a AS (SELECT t.*, widest, u.size AS above, u.child_count AS siblings FROM t JOIN
 
 def trees(spark, sf) -> DataFrame:
     """shipments() with parents, places, sizes, a type and a named flag."""
-    by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
-    kinds = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample_id"), (F.row_number().over(by) - 1).alias("node_id"), F.col("l_returnflag").alias("type"), (F.col("l_linestatus") == "O").alias("is_named"))
-    return preorder.subtree_sizes(preorder.with_parents(shipments(spark, sf).join(kinds, ["sample_id", "node_id"])))
+    s = shipments(spark, sf, "l_returnflag", "l_linestatus").select("sample_id", "node_id", "depth", F.col("l_returnflag").alias("type"), (F.col("l_linestatus") == "O").alias("is_named"))
+    return preorder.subtree_sizes(preorder.with_parents(s))
 
 
 @query(f"WITH {_TREE} SELECT sample_id, node_id, round(least(1.0, depth / 100.0), 9) AS f_depth, round(least(1.0, child_pos / 50.0), 9) AS f_child_pos, round(least(1.0, child_count / 50.0), 9) AS f_child_count, is_named::INTEGER::DOUBLE AS f_named, round(least(1.0, size / 512.0), 9) AS f_size, round(coalesce(size / above, 1.0), 9) AS f_parent_share FROM a")
@@ -36,8 +35,8 @@ def node_features_static(spark, sf):
 
 @query(f"WITH {_TREE}, v AS (SELECT type, row_number() OVER (ORDER BY count(*) DESC, type) AS id, count(*) OVER () AS types FROM t GROUP BY type) SELECT sample_id, node_id, round(id / types, 9) AS f_type, round(depth / deepest, 9) AS f_depth, round(child_count / widest, 9) AS f_children, (child_count = 0)::INTEGER::DOUBLE AS f_leaf, is_named::INTEGER::DOUBLE AS f_named FROM a JOIN v USING (type)")
 def node_features_type_share(spark, sf):
-    t = trees(spark, sf)
-    return rounded(node_features.type_share_features(t, graph.vocabulary(t)), 9)
+    types = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("type"))  # of all nodes, as each line is one
+    return rounded(node_features.type_share_features(trees(spark, sf), graph.vocabulary(types)), 9)
 
 
 @query(f"WITH {_TREE} SELECT sample_id, node_id, round(depth / deepest, 9) AS f_depth, round(child_count / widest, 9) AS f_children, (child_count = 0)::INTEGER::DOUBLE AS f_leaf, is_named::INTEGER::DOUBLE AS f_named, round(size / whole, 9) AS f_size, round(child_pos / greatest(coalesce(siblings, 1) - 1, 1), 9) AS f_place FROM a")

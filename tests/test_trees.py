@@ -187,3 +187,29 @@ def test_augmented_by_language(spark):
     df = spark.createDataFrame([(k, "int alpha = beta(alpha);", "java") for k in range(60)], CODE)
     got = {r["code"] for r in augment.augmented(df, language="language").collect()}
     assert any("int var_0 = var_1(var_0);" in c for c in got) and all("alpha" in c or "var_0" in c for c in got)
+
+
+def test_tasks_hold_no_more_of_larger_tables(spark, monkeypatch, tmp_path):
+    """Trees, texts and graphs are dealt over more partitions where there are more of them, and a parent's columns need no join."""
+    from codescope.operators import message_passing, node_features
+    from codescope.plans.code_queries import shipments
+
+    monkeypatch.setattr(preorder, "NODES_A_TASK", 50)
+    monkeypatch.setattr(nesting, "CODE_A_TASK", 200)
+    lines = [(s, o, 1, float(o % 9), "A", "O") for s in range(40) for o in range(10)]
+    spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = preorder.subtree_sizes(preorder.with_parents(shipments(spark, str(tmp_path), "l_returnflag")))
+    assert t.rdd.getNumPartitions() == 8 and t.count() == 400
+    raw = node_features.raw_features(t.withColumn("is_named", F.lit(True)))
+    assert raw.rdd.getNumPartitions() == 8
+    size = {(r["sample_id"], r["node_id"]): r["size"] for r in t.collect()}
+    up = {(r["sample_id"], r["node_id"]): r["parent_id"] for r in t.collect()}
+    for r in raw.collect():
+        at = (r["sample_id"], r["node_id"])
+        assert r["f_parent_share"] == (size[at] / size[at[0], up[at]] if up[at] >= 0 else 1.0)
+    p = spark.createDataFrame([(i, "c", f"int f() {{ return {i}; }}" * 2) for i in range(20)], "ID long, language string, code string")
+    assert nesting.lexed(p).rdd.getNumPartitions() == -(-sum(len(r["code"]) for r in p.collect()) // 200)
+    tree = graph.nodes(p).cache()
+    graphs = graph.assembled(graph.encoded(tree, graph.vocabulary(tree)), graph.edges(tree))
+    assert message_passing.graph_vectors(graphs).count() == 20
+    assert graphs.select("sample_id").rdd.getNumPartitions() == -(-tree.count() // 50)
