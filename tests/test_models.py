@@ -236,3 +236,15 @@ def test_vectors_tell_more_than_summaries(spark):
     flat = flat.select("sample_id", array_to_vector(F.array(*(F.col(c).cast("double") for c in flat.columns[1:]))).alias("features")).join(y, "sample_id").cache()
     right = lambda d: LogisticRegression(maxIter=50).fit(d.where("sample_id < 80")).transform(d.where("sample_id >= 80")).where("prediction = label").count()
     assert right(vs) == 40 > 30 > right(flat)
+
+
+def test_boosting_trains_on_distinct_rows(spark, monkeypatch):
+    """Copies of all rows change neither the model nor how many rows a round goes over."""
+    seen, whole = [], boosting.materialised
+    monkeypatch.setattr(boosting, "materialised", lambda df, tag="table": seen.append(whole(df, tag)) or seen[-1])
+    df = spark.createDataFrame([(float(i % 7), float(i % 3), i % 3 if i % 5 else 0) for i in range(60)], "a double, b double, label int").distinct()
+    once = boosting.boosted(df, ["a", "b"], 3, rounds=2, depth=2)
+    many = boosting.boosted(df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).drop("k"), ["a", "b"], 3, rounds=2, depth=2)
+    flat = lambda t: [y for x in t for y in flat(x)] if isinstance(t, list) else [t]
+    assert flat(many["rounds"]) == pytest.approx(flat(once["rounds"]))
+    assert [x.count() for x in seen] == [df.count()] * 2
