@@ -151,6 +151,21 @@ def test_tfidf_and_windows(spark):
     assert {r["ID"]: math.isinf(r["perplexity"]) for r in vectors.perplexity(df, vectors.fit_bigram_lm(df)).collect()} == {1: False, 2: False, 3: True}
 
 
+def test_tfidf_counts_by_text_what_it_needs(spark):
+    """Texts without an id have weights; only the terms asked for are shuffled by text; arrays of tokens do as well as texts."""
+    df = spark.createDataFrame([(1, "a b b c"), (2, "a a d"), (None, "a b"), (4, None)], "ID long, code string")
+    t = vectors.tokenised(df)
+    fitted = vectors.fit_tfidf(t, size=2)
+    assert sorted(map(tuple, fitted.collect())) == sorted(map(tuple, vectors.fit_tfidf(df, size=2).collect()))
+    idf = {r["term"]: r["idf"] for r in fitted.collect()}
+    assert idf == {"a": pytest.approx(math.log(5 / 4) + 1), "b": pytest.approx(math.log(5 / 3) + 1)}
+    got = {(r["ID"], r["term"]): r["weight"] for r in vectors.tfidf(t, fitted).collect()}
+    norm = math.hypot(idf["a"], idf["b"])
+    assert got.keys() == {(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "b")} and got[None, "a"] == pytest.approx(idf["a"] / norm)
+    assert {(r["ID"], r["term"]): r["weight"] for r in vectors.tfidf(df, fitted).collect()} == pytest.approx(got)
+    assert {(r["ID"], r["term"], r["tf"]) for r in vectors.term_counts(df, of=fitted).collect()} == {(1, "a", 1), (1, "b", 2), (2, "a", 2), (None, "a", 1), (None, "b", 1)}
+
+
 def test_renamed_leaves_texts_beyond_the_parser():
     deep = "~" * 20000 + "value"
     with pytest.raises(MemoryError):
