@@ -54,6 +54,22 @@ def test_windowed_perplexity(spark):
     assert all(close(got[k], perplexity_plainly(t, loss, 8, 4)) for k, t in enumerate(texts)) and len(got) == len(texts)
 
 
+def test_own_perplexity(spark):
+    """The perplexity of texts by their own model is that of the fitted one, by whole texts and by windows; a text has one row a
+    distinct pair and one a distinct context, however often they occur."""
+    rng = random.Random(5)
+    texts = ["a b " * 500, "a", None, "", " \n", "zz a", *(" ".join(rng.choice("a b c ( ) x1 7 the".split()) for _ in range(n)) for n in (2, 3, 7, 8, 9, 12, 13, 31, 32, 33, 40, 300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "ID long, code string")
+    lm = vectors.fit_bigram_lm(df)
+    for plain, own in ((vectors.perplexity(df, lm), vectors.own_perplexity(df)), (vectors.windowed_perplexity(df, vectors.bigram_losses(lm), length=8, stride=4), vectors.own_perplexity(df, length=8))):
+        want, got = ({r["ID"]: r["perplexity"] for r in x.collect()} for x in (plain, own))
+        assert got.keys() == want.keys() == set(range(len(texts))) and all(close(got[k], want[k]) for k in want)
+    counts = vectors.own_counts(vectors.tokenised(df, hashed=True), "code", "ID").where("ID < 2").collect()
+    assert sorted((r["ID"], r["c"], r["s"]) for r in counts) == [(0, -500, 500.0), (0, -499, 499.0), (0, -1, 1.0), (0, 1, 1.0), (0, 499, 499.0), (0, 500, 500.0), (1, -1, 1.0), (1, 1, 1.0)]
+    empty = vectors.own_perplexity(df.where("ID < 0"))
+    assert empty.count() == 0
+
+
 def test_losses_of_a_model(spark):
     """A model from outside, and one that fails on some windows: those texts are infinite, the job goes on."""
     texts = ["a b c d e f g h i j k", "boom a b", "x", None]
