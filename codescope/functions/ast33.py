@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import characters, entropy, found, hits, let, lines_of, mean, ratio, std, strip, total
+from .text import entropy, found, hits, let, lines_of, mean, ratio, std, strip, total
 
 NAMES = (
     "max_depth", "avg_depth", "depth_std", "max_breadth", "tree_balance", "node_entropy", "unique_node_ratio", "total_nodes", "if_count", "loop_count", "try_count",
@@ -103,11 +103,24 @@ NEUTRAL = {"node_entropy": 3.0, "avg_docstring_length": 50.0, "return_annotation
 GENERIC_ERRORS = ("Exception", "Error", "e")
 
 
-def _openers(code: Column) -> Column:
-    """The depth at each opening bracket; depth never falls below 0."""
-    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("at"))
-    step = lambda a, c: F.when(c.isin("{", "[", "("), F.struct((a["d"] + 1).alias("d"), F.concat(a["at"], F.array(a["d"] + 1)).alias("at"))).otherwise(F.struct(F.greatest(a["d"] - 1, F.lit(0)).alias("d"), a["at"].alias("at")))
-    return F.aggregate(characters(F.regexp_replace(code, r"[^{}\[\]()]+", "")), start, step)["at"]
+DEPTHS = T.StructType([T.StructField("deepest", COUNT), T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType()), T.StructField("widest", COUNT)])
+
+
+@F.pandas_udf(DEPTHS)
+def bracket_depths(brackets: pd.Series) -> pd.DataFrame:
+    """Of the depths at the opening brackets of a text of brackets: the largest, mean, deviation, and how many the fullest level has.
+    Depth never falls below 0, so it is the sum of steps less the lowest sum before, in time with the length."""
+    import numpy as np
+
+    def of(text: str | None) -> tuple:
+        if not text:
+            return 0, 0.0, 0.0, 0
+        opens = np.isin(np.frombuffer(text.encode(), np.uint8), np.frombuffer(b"{[(", np.uint8))
+        sums = np.cumsum(np.where(opens, 1, -1))
+        d = (sums - np.minimum(np.minimum.accumulate(sums), 0))[opens]
+        return (int(d.max()), float(d.mean()), float(d.std()), int(np.bincount(d).max())) if len(d) else (0, 0.0, 0.0, 0)
+
+    return pd.DataFrame([of(t) for t in brackets], columns=DEPTHS.names)
 
 
 def _breadth(depths: Column) -> Column:
@@ -115,32 +128,33 @@ def _breadth(depths: Column) -> Column:
     return let(F.array_sort(depths), lambda s: F.coalesce(F.array_max(F.transform(F.array_distinct(s), lambda d: F.size(F.filter(s, lambda x: x == d)))), F.lit(0)))
 
 
-def bracket_features(code: Column) -> dict[str, Column]:
-    """name: column, for any language."""
-    lines = F.size(lines_of(code))
-    ifs, loops, tries = hits(code, r"\bif\s*\("), hits(code, r"\b(for|while)\s*\("), hits(code, r"\btry\s*[{\(]")
-    functions = hits(code, FUNCTION)
+def bracket_counts(code: Column) -> dict[str, Column]:
+    """What the features of any language are made from, each of which several of them need."""
     pieces = F.split(code, f"(?dU)(?={FUNCTION})")
-    # the lookahead also holds inside the first word of a match; a piece is a function where a match begins at a word's start
-    spans = F.transform(F.filter(pieces, lambda p: p.rlike(rf"(?dU)\A{FUNCTION}")), lambda p: F.size(lines_of(p)))
-    params = F.filter(F.transform(F.filter(found(code, r"\(([^)]*)\)", "", 1), lambda x: strip(x) != ""), lambda x: F.size(F.filter(F.split(x, ",", -1), lambda y: strip(y) != ""))), lambda n: n >= 0)
-    classes = hits(code, r"\bclass\s+\w+")
-    comments = hits(code, "//.*$", "m") + hits(code, r"/\*.*?\*/", "s")
-    caught = found(code, r"catch\s*\(\s*(\w+)", "", 1)
-    words = found(code, r"\b[a-zA-Z_]\w+\b")
-    keywords = found(code, KEYWORD)
+    return {
+        "lines": F.size(lines_of(code)), "ifs": hits(code, r"\bif\s*\("), "loops": hits(code, r"\b(for|while)\s*\("), "tries": hits(code, r"\btry\s*[{\(]"), "functions": hits(code, FUNCTION), "classes": hits(code, r"\bclass\s+\w+"),
+        # the lookahead also holds inside the first word of a match; a piece is a function where a match begins at a word's start
+        "spans": F.transform(F.filter(pieces, lambda p: p.rlike(rf"(?dU)\A{FUNCTION}")), lambda p: F.size(lines_of(p))),
+        "params": F.transform(F.filter(found(code, r"\(([^)]*)\)", "", 1), lambda x: strip(x) != ""), lambda x: F.size(F.filter(F.split(x, ",", -1), lambda y: strip(y) != ""))),
+        "comments": hits(code, "//.*$", "m") + hits(code, r"/\*.*?\*/", "s"), "words": found(code, r"\b[a-zA-Z_]\w+\b"), "keywords": found(code, KEYWORD), "caught": found(code, r"catch\s*\(\s*(\w+)", "", 1),
+    }
+
+
+def bracket_features(code: Column, depths: Column, of: dict[str, Column]) -> dict[str, Column]:
+    """name: column, for any language, of a text, its bracket_depths() and columns of its bracket_counts()."""
+    lines, ifs, loops, tries, functions, classes, spans, params, comments, words, keywords, caught = (of[k] for k in ("lines", "ifs", "loops", "tries", "functions", "classes", "spans", "params", "comments", "words", "keywords", "caught"))
     one = F.greatest(functions, F.lit(1))
-    depths = _openers(code)
+    deepest = depths["deepest"]
     return {
-        "max_depth": F.coalesce(F.array_max(depths), F.lit(0)), "avg_depth": mean(depths), "depth_std": std(depths), "max_breadth": _breadth(depths), "tree_balance": let(depths, lambda d: ratio(mean(d), F.coalesce(F.array_max(d), F.lit(0)))),
+        "max_depth": deepest, "avg_depth": depths["mean"], "depth_std": depths["sd"], "max_breadth": depths["widest"], "tree_balance": ratio(depths["mean"], deepest),
         "node_entropy": F.lit(NEUTRAL["node_entropy"]), "unique_node_ratio": let(keywords, lambda k: ratio(F.size(F.array_distinct(k)), F.size(k))), "total_nodes": 2 * F.size(keywords), "if_count": ifs, "loop_count": loops, "try_count": tries,
-        "cyclomatic_complexity": 1 + ifs + loops, "nesting_depth": F.coalesce(F.array_max(depths), F.lit(0)), "num_functions": functions, "avg_function_length": mean(spans), "max_function_length": F.coalesce(F.array_max(spans), F.lit(0)),
+        "cyclomatic_complexity": 1 + ifs + loops, "nesting_depth": deepest, "num_functions": functions, "avg_function_length": mean(spans), "max_function_length": F.coalesce(F.array_max(spans), F.lit(0)),
         "avg_function_params": mean(params), "max_function_params": F.coalesce(F.array_max(params), F.lit(0)), "avg_function_complexity": (1 + ifs + loops) / one,
         "num_classes": classes, "avg_methods_per_class": ratio(functions, classes), "inheritance_depth": hits(code, "extends|implements|:") / F.greatest(classes, F.lit(1)),
         "docstring_ratio": comments / one, "comment_density": comments / lines, "avg_docstring_length": F.lit(NEUTRAL["avg_docstring_length"]),
         "type_hint_ratio": hits(code, r":\s*\w+") / F.greatest(functions * 2, F.lit(1)), "return_annotation_ratio": F.lit(NEUTRAL["return_annotation_ratio"]),
         "exception_specificity": let(caught, lambda c: F.when(F.size(c) == 0, F.lit(0.5)).otherwise(F.size(F.filter(c, lambda x: ~x.isin(*GENERIC_ERRORS))) / F.size(c))), "try_coverage": tries / one,
-        "naming_consistency": let(words, lambda w: ratio(F.greatest(F.size(F.filter(w, lambda x: F.contains(x, F.lit("_")))), F.size(F.filter(w, lambda x: x.rlike(r"\p{Lu}")))), F.size(w))), "avg_identifier_length": mean(F.transform(words, F.length)),
+        "naming_consistency": let(words, lambda w: ratio(F.greatest(F.size(F.filter(w, lambda x: F.contains(x, F.lit("_")))), F.size(F.filter(w, lambda x: x.rlike(r"\p{Lu}")))), F.size(w))), "avg_identifier_length": let(F.transform(words, F.length), mean),
         "import_count": hits(code, r"\b(import|include|using|require)\s+"), "import_diversity": F.lit(NEUTRAL["import_diversity"]),
     }
 
@@ -153,6 +167,9 @@ def with_ast33(df: DataFrame, code: str = "code", language: str = "language", co
     zeros = F.array_repeat(F.lit(0.0), len(NAMES))
     listed = lambda made: F.array(*(made[k].cast("double") for k in NAMES))
     own = F.when(F.col("_tree.kind").isNull(), zeros).otherwise(listed(tree_features(F.col("_tree"), F.col("_code"))))
-    other = own if compat_python_only else F.when(F.col("_code") == "", zeros).otherwise(listed(bracket_features(F.col("_code"))))
+    if not compat_python_only:
+        counts = bracket_counts(F.when(~F.col("_python"), F.col("_code")))
+        df = df.withColumns({f"_{k}_": c for k, c in counts.items()}).withColumn("_depths", bracket_depths(F.when(~F.col("_python"), F.regexp_replace("_code", r"[^{}\[\]()]+", ""))))
+    other = own if compat_python_only else F.when(F.col("_code") == "", zeros).otherwise(listed(bracket_features(F.col("_code"), F.col("_depths"), {k: F.col(f"_{k}_") for k in counts})))
     df = df.withColumn("_f", F.when(F.col("_python"), own).otherwise(other))
     return df.select(*kept, *(F.get("_f", F.lit(k)).alias(name) for k, name in enumerate(NAMES)))

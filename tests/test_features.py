@@ -244,3 +244,20 @@ def test_training_features_are_computed_once(spark, tmp_path):
     spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     f, names = queries._trained(spark, str(tmp_path))
     assert set(names) <= set(f.columns) and not any("documents" in x for x in f.inputFiles())
+
+
+def test_bracket_depths_of_long_texts(spark):
+    """Depths never fall below 0; time is in proportion to a text's brackets, of which copying what was found made a square."""
+    texts = ["", "a", ")", ")](", "((a)[b]{", "x(" * 3 + ")" * 5 + "{[" * 2 + "}", "(f[1]{" * 200_000 + ")" * 7, None]
+    got = {r["ID"]: r for r in ast33.with_ast33(spark.createDataFrame([(k, t, "java") for k, t in enumerate(texts)], "ID long, code string, language string")).collect()}
+    for k, t in enumerate(texts):
+        depths, d = [], 0
+        for c in t or "":
+            if c in "([{":
+                d += 1
+                depths.append(d)
+            elif c in ")]}":
+                d = max(d - 1, 0)
+        m = sum(depths) / len(depths) if depths else 0
+        want = {"max_depth": max(depths, default=0), "nesting_depth": max(depths, default=0), "avg_depth": m, "depth_std": math.sqrt(sum((x - m) ** 2 for x in depths) / len(depths)) if depths else 0, "max_breadth": max(Counter(depths).values(), default=0), "tree_balance": m / max(depths) if depths else 0}
+        assert {n: got[k][n] for n in want} == pytest.approx(want)
