@@ -261,3 +261,15 @@ def test_bracket_depths_of_long_texts(spark):
         m = sum(depths) / len(depths) if depths else 0
         want = {"max_depth": max(depths, default=0), "nesting_depth": max(depths, default=0), "avg_depth": m, "depth_std": math.sqrt(sum((x - m) ** 2 for x in depths) / len(depths)) if depths else 0, "max_breadth": max(Counter(depths).values(), default=0), "tree_balance": m / max(depths) if depths else 0}
         assert {n: got[k][n] for n in want} == pytest.approx(want)
+
+
+def test_markers_and_the_order_of_stylometric_steps(spark):
+    """Markers in any case, also within each other's words; Python's tokenizer gets the text before arrays are cut from it."""
+    texts = ["todo TODO fixme\nTEMPTODO x", "no such\n\nthing", "NOTE", "", None]
+    df = stylometric12.with_stylometric12(spark.createDataFrame(list(enumerate(texts)), "ID long, code string"))
+    got = {r["ID"]: r["human_markers"] for r in df.collect()}
+    for k, t in enumerate(texts):
+        upper, full = (t or "").upper(), [x for x in (t or "").split("\n") if x.strip()]
+        assert got[k] == pytest.approx(min(1.0, sum(upper.count(m) for m in stylometric12.MARKERS) / (len(full) * 0.1)) if full else 0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[plan.index("ArrowEvalPython") :]
