@@ -23,10 +23,11 @@ into fragments; an empty table gives no rows; only doc_id and text are looked at
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import boxed, drop_written, forget_shuffles, pieces, table, written
@@ -39,8 +40,10 @@ PIECE = 8 << 20  # bytes of text that are shingled at once, more only where one
 FRAGMENTS = 8
 #: Ids of at most so many documents are broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Likewise shingles of more than one head.
+#: Nothing reads this any more: shared shingles are found in the shuffle that brings the rows of each together, at any size.
 BROADCAST_KEYS = 2_000_000
+#: The shingles of heads are shuffled in so many rounds, a part of all shingles each, so that only a part is on disk at once.
+ROUNDS = 4
 #: Comparisons of members of groups that are made at once; beyond, a further member is tested against its group first.
 AT_ONCE = 50_000_000
 PEELS = 6
@@ -206,25 +209,27 @@ def _pairs(x: str, y: str) -> list:
     return [F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name) for p, q, c, name in ((x, y, "set_id", "a"), (x, y, "n", "na"), (y, x, "set_id", "b"), (y, x, "n", "nb"))]
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int, order) -> DataFrame | None:
-    """(id, component) of the sets that link with another set; None where there are none."""
-    members = sets.select("set_id", "n", F.posexplode("head").alias("pos", "key"))
-    shared = written(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "ngram-keys")
-    forget_shuffles(docs.sparkSession)
-    few = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    hot = written(members.join(few, "key").dropDuplicates(["key", "set_id"]), "ngram-groups")
-    drop_written(shared)
-    several = hot.groupBy("key").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count("*").alias("c")).where("x < y").select("key", "c")
-    members = written(hot.join(several, "key"), "ngram-members")
-    drop_written(hot)
-    forget_shuffles(docs.sparkSession)
+def shared_heads(sets: DataFrame, part: int) -> DataFrame:
+    """set_id, n, pos, key, c: the shingles of heads that heads of other sets have too, once a set, and how many sets have each;
+    of all shingles those of one round. The rows of heads are shuffled once."""
+    alike = Window.partitionBy("key")
+    rows = sets.select("set_id", "n", F.posexplode("head").alias("pos", "key")).where(f"pmod(key, {ROUNDS}) = {part}")
+    met = rows.withColumns({"x": F.min("set_id").over(alike), "y": F.max("set_id").over(alike)}).where("x < y").drop("x", "y")
+    return met.dropDuplicates(["key", "set_id"]).withColumn("c", F.count("*").over(alike))
+
+
+def linked_sets(docs: DataFrame, sets: DataFrame, rounds: list[DataFrame], k: int, percent: int, order) -> DataFrame | None:
+    """(id, component) of the sets that link with another set; None where there are none. rounds: shared_heads() of
+    each round as a table, which is deleted."""
+    members = reduce(DataFrame.unionByName, rounds)
     if members.isEmpty():
-        drop_written(members)
+        drop_written(*rounds)
         return None
     of_set = written(members.groupBy("set_id").agg(F.sum("c").alias("score"), F.collect_list("key").alias("keys")), "ngram-set-keys")
     keys = of_set.select("set_id", "keys")
     groups = written(members.join(of_set.select("set_id", "score"), "set_id").select("key", "set_id", "n", "pos", "score"), "ngram-scored")
-    drop_written(members)
+    drop_written(*rounds)
+    forget_shuffles(docs.sparkSession)
 
     def lead(of: DataFrame, all_: DataFrame) -> DataFrame:
         """Pairs of each group's first of `of` with the members of all_."""
@@ -238,14 +243,15 @@ def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int, order) -
         now = groups.join(small(comps.withColumnRenamed("id", "set_id")), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id")).drop("component")
         by = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min("n").alias("least"))
         main = by.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("all"), F.count("*").alias("comps"), F.min("least").alias("least")).where("comps > 1").select("key", F.col("t.comp").alias("main"), F.col("all"), "least")
-        mixed = now.join(main, "key")
+        mixed = written(now.join(main, "key"), "ngram-mixed")
+        forget_shuffles(docs.sparkSession)
         rest = mixed.where("comp <> main")
         if done is not None:
             rest = rest.join(done, ["key", "set_id"], "left_anti")
         rest = written(rest.where(f"least <= {_room('n', 'pos', percent)}"), "ngram-rest")
         work = rest.agg(F.count("*"), F.sum("all")).first()
         if not work[0]:
-            drop_written(rest)
+            drop_written(rest, mixed)
             break
         last = work[1] <= AT_ONCE or peel == PEELS
         if last:
@@ -258,7 +264,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, k: int, percent: int, order) -
             done = tested
             pairs = lead(rest, mixed)
         more = _verified(docs, sets, pairs, keys, k, percent, order)
-        drop_written(rest)
+        drop_written(rest, mixed)
         all_links = written(links.union(more), "ngram-links")
         drop_written(links, more, comps)
         links = all_links
@@ -278,9 +284,15 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, t, n, comp for each row of docs (doc_id, text): comp names the component; t is the hash of the text."""
     docs = docs.select("doc_id", "text")
     order = docs.sparkSession.sparkContext.broadcast(global_order(docs, k))
-    sets = written(heads(docs, k, percent, order), "ngram-heads", "uncompressed")
-    comps = linked_sets(docs, sets, k, percent, order)
-    rows = sets.select("doc_id", "t", "n", "set_id")
+    forget_shuffles(docs.sparkSession)
+    headed = written(heads(docs, k, percent, order), "ngram-heads", "uncompressed")
+    rounds = []
+    for part in range(ROUNDS):
+        rounds.append(written(shared_heads(headed, part), "ngram-members"))
+        forget_shuffles(docs.sparkSession)
+    rows = sets = written(headed.drop("head"), "ngram-all-sets")
+    drop_written(headed)
+    comps = linked_sets(docs, sets, rounds, k, percent, order)
     if comps is not None:
         rows = rows.join(small(comps.withColumnRenamed("id", "set_id")), "set_id", "left").withColumn("set_id", F.coalesce("component", "set_id"))
     out = written(rows.select("doc_id", "t", "n", F.col("set_id").alias("comp")), "ngram-rows")

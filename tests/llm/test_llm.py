@@ -437,6 +437,31 @@ def test_ngram_peels(spark, monkeypatch):
     assert collect(ngram_join.joined(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)) == brute_components(docs, 3, 90)
 
 
+def test_ngram_heads_are_shuffled_once(spark, monkeypatch):
+    """However many shingles heads share, their rows aren't shuffled to be counted and again to be met; the parts add up."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
+    docs = [(i, " ".join(f"w{i}n{j}" for j in range(400))) for i in range(40)]
+    docs.append((100, docs[0][1] + " more"))
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    empty = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = store.stageList(spark._jvm.java.util.ArrayList(), False, False, empty, spark._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before, most = stages(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large for it
+    try:
+        assert collect(ngram_join.joined(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)) == brute_components(docs, 3, 90)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    sizes = [len(set(zip(w, w[1:], w[2:], strict=False))) for w in (t.split() for _, t in docs)]
+    of_heads = sum(n - (90 * n + 99) // 100 + 1 for n in sizes)
+    moved = sum(n for k, n in stages().items() if k not in before and 16 * n > of_heads)  # but for what has few rows
+    assert of_heads <= moved < 1.5 * of_heads
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_ngram_null_and_clashing_ids(spark, monkeypatch, most):
     """Sets without doc_id link and bridge; texts that share a doc_id keep their own links."""
