@@ -27,17 +27,25 @@ def embedded(types: np.ndarray, dims: int, seed: int) -> np.ndarray:
     return np.array([np.random.default_rng((seed, int(t) + 1)).normal(size=dims) for t in known]).reshape(-1, dims)[at]
 
 
-def passed(h: np.ndarray, edges: np.ndarray, w: dict, kind: str) -> np.ndarray:
+def neighbours(edges: np.ndarray) -> list[tuple]:
+    """By edge type: src in order of dst, the dst that occur, where in src those of each begin, and how many they are."""
+    out = []
+    for t in range(EDGE_TYPES):
+        e = edges[edges[:, 0] == t]
+        if len(e):
+            e = e[np.argsort(e[:, 2], kind="stable")]
+            begin = np.flatnonzero(np.diff(e[:, 2], prepend=-1))
+            out.append((t, e[:, 1], e[begin, 2], begin, np.diff(np.append(begin, len(e)))))
+    return out
+
+
+def passed(h: np.ndarray, edges: np.ndarray, w: dict, kind: str, near: list[tuple] | None = None) -> np.ndarray:
     """One round: relu of a node's own part and of what comes in over its edges (edge_type, src, dst): by edge type the mean of the
-    neighbours (gcn), or all weighted by attention (gat)."""
+    neighbours (gcn; near is neighbours(), the same in all rounds), or all weighted by attention (gat)."""
     out = h @ w["own"]
     if kind == "gcn":
-        for t in range(EDGE_TYPES):
-            src, dst = edges[edges[:, 0] == t, 1], edges[edges[:, 0] == t, 2]
-            if len(src):
-                total, n = np.zeros_like(h), np.bincount(dst, minlength=len(h))
-                np.add.at(total, dst, h[src])
-                out = out + total / np.maximum(n, 1)[:, None] @ w["by"][t]
+        for t, src, dst, begin, n in neighbours(edges) if near is None else near:
+            out[dst] += np.add.reduceat(h[src], begin) / n[:, None] @ w["by"][t]
     elif len(edges):
         kind_, src, dst = edges.T
         moved = np.einsum("ed,edk->ek", h[src], w["by"][kind_])
@@ -70,16 +78,19 @@ def pooled(h: np.ndarray, graph: np.ndarray, n: int, query: np.ndarray) -> np.nd
 def vectors_of(types: list[np.ndarray], edges: list[np.ndarray], dims: int, rounds: int, kind: str, jump: bool, seed: int) -> np.ndarray:
     """(graphs, 2 * dims). jump: a node's state is the largest of each coordinate over all rounds, not the last."""
     offsets = np.cumsum([0, *map(len, types)])
-    graph = np.repeat(np.arange(len(types)), np.diff(offsets))
-    h = embedded(np.concatenate(types).astype(np.int64), dims, seed)
     every = np.concatenate([np.asarray(e, np.int64).reshape(-1, 3) + [0, o, o] for e, o in zip(edges, offsets, strict=False)])
-    states = []
+    return vectors_at_once(np.concatenate(types).astype(np.int64), np.diff(offsets), every, dims, rounds, kind, jump, seed)
+
+
+def vectors_at_once(types: np.ndarray, sizes: np.ndarray, edges: np.ndarray, dims: int, rounds: int, kind: str, jump: bool, seed: int) -> np.ndarray:
+    """vectors_of() graphs after each other, of so many nodes each, their edges by places among all nodes."""
+    h, near, states = embedded(types, dims, seed), neighbours(edges) if kind == "gcn" else None, []
     for w in layers(dims, rounds, seed):
-        h = passed(h, every, w, kind)
+        h = passed(h, edges, w, kind, near)
         states.append(h)
     if jump and states:
         h = np.max(states, axis=0)
-    return pooled(h, graph, len(types), np.random.default_rng((seed, 0)).normal(size=dims))
+    return pooled(h, np.repeat(np.arange(len(sizes)), sizes), len(sizes), np.random.default_rng((seed, 0)).normal(size=dims))
 
 
 def graph_vectors(graphs: DataFrame, dims: int = 16, rounds: int = 3, kind: str = "gcn", jump: bool = True, seed: int = 7) -> DataFrame:
@@ -106,3 +117,48 @@ def graph_vectors(graphs: DataFrame, dims: int = 16, rounds: int = 3, kind: str
                 lo = hi
 
     return graphs.select("sample_id", "type_ids", "edges").mapInArrow(run, "sample_id long, vector array<double>")
+
+
+def tree_edges(parent: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """graph.edges() of trees after each other, by places among all nodes, in order of type, src and dst. start is in order of node in
+    each tree where leaves are."""
+    tree, node = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(parent))
+    below = node[parent >= 0]
+    up = parent[below]
+    order = np.argsort(up, kind="stable")
+    alike = np.flatnonzero(np.diff(up[order]) == 0)
+    a, b = below[order][alike], below[order][alike + 1]
+    leaves = np.setdiff1d(node, up)
+    leaves = leaves[np.lexsort((leaves, start[leaves], tree[leaves]))]
+    beside = np.flatnonzero(np.diff(tree[leaves]) == 0)
+    c, d = leaves[beside], leaves[beside + 1]
+    alone = (np.cumsum(sizes) - sizes)[sizes == 1]
+    every = np.concatenate([np.stack([np.full(len(x), t), x, y], axis=1) for t, x, y in ((0, up, below), (0, alone, alone), (1, below, up), (2, a, b), (2, b, a), (3, c, d), (3, d, c))])
+    return every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+
+
+def tree_vectors(trees: DataFrame, vocab: DataFrame, dims: int = 16, rounds: int = 3, kind: str = "gcn", jump: bool = True, seed: int = 7) -> DataFrame:
+    """graph_vectors() of whole trees as from packed.packed(), with vocab (type, type_id): edges are made where the tree lies, so nothing
+    is shuffled. Types that vocab lacks are 0."""
+    known = {r["type"]: r["type_id"] for r in vocab.collect()}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sizes = np.asarray(b.column(1).value_lengths()).astype(np.int64)
+            done = np.cumsum(sizes)
+            cuts = np.flatnonzero(np.diff(done // NODES_AT_ONCE, prepend=-1))
+            for lo, hi in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                part, n = b.slice(lo, hi - lo), sizes[lo:hi]
+                types = part.column(1).flatten().dictionary_encode()
+                type_ids = np.array([known.get(t, 0) for t in types.dictionary.to_pylist()], np.int64)[np.asarray(types.indices)]
+                parent, first = np.asarray(part.column(2).flatten()).astype(np.int64), np.repeat(np.cumsum(n) - n, n)
+                start = np.arange(len(parent))
+                ordered = np.repeat(np.asarray(part.column(3).is_null()), n)
+                start[~ordered] = np.asarray(part.column(3).flatten())
+                found = vectors_at_once(type_ids, n, tree_edges(np.where(parent < 0, -1, parent + first), n, start), dims, rounds, kind, jump, seed)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 2 * dims, pa.int32()), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=["sample_id", "vector"])
+
+    return trees.select("sample_id", "types", "parents", "starts").mapInArrow(run, "sample_id long, vector array<double>")

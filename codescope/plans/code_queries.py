@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import augment, graph, nesting, preorder
+from ..operators import augment, nesting, packed, preorder
 from ..sources.io import dealt
 from .queries import query, rounded, table
 
@@ -73,9 +73,7 @@ def code_nesting(spark, sf):
 @query()
 def code_tree_types(spark, sf):
     """Node types of the programs by language, with their sizes and depths."""
-    p = programs(spark, sf)
-    t = graph.nodes(p).join(p.select(F.col("ID").alias("sample_id"), "language"), "sample_id")
-    return rounded(t.groupBy("language", "type").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("depth").alias("depth"), F.sum("child_count").alias("children")))
+    return rounded(packed.type_sums(programs(spark, sf)))
 
 
 _KEPT = "[" + ", ".join(_quoted(x) for x in sorted(augment.KEPT_NAMES) + nesting.KEYWORDS) + "]"

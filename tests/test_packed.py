@@ -1,10 +1,49 @@
 """Trees a text at a time against those of graph.nodes(), and what their queries take."""
 
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from codescope.operators import graph, message_passing
+from codescope.operators import graph, message_passing, nesting, packed
 from codescope.plans import code_queries, model_queries
 
+from test_trees import CODE, TOKENS
+
+MORE = ["else if", "class", "return", "do", "while", "fallthrough", "++", ":=", ".", "->", "#", "# {\n", "#define {\n", "<?php", "?>", "<?=", "$", "$a", "é", "«", "٣", ".5", "<<<", "''", '"', "`{`", "\n", " ", "'''"]
+
+
+def texts(spark):
+    rng = random.Random(11)
+    rows = [(k, rng.choice(["", "\n ", " {"]) + rng.choice([" ", "\n", ""]).join(rng.choice(TOKENS + MORE) for _ in range(rng.randint(1, 90))), rng.choice(list(nesting.LANGUAGES))) for k in range(400)]
+    odd = [None, "", " \n", ")", "]x", "/* a", "(" * 400 + ")" * 500, "{" * 60, "x;" * 700]
+    rows += [(1000 + 10 * k + j, x, language) for k, x in enumerate(odd) for j, language in enumerate(["java", "go", "php"])]
+    return spark.createDataFrame([*rows, (5000, "x = 1", "python"), (5001, "def f(:", "python"), (5002, "<b>x</b><i>", "html"), (5003, "x", None), (5004, "x", "rust")], CODE).repartition(3)
+
+
+def by_text(tree):
+    out = {}
+    for r in tree.collect():
+        out.setdefault(r["sample_id"], []).append(r)
+    return {k: sorted(rows, key=lambda r: r["node_id"]) for k, rows in out.items()}
+
+
+def test_packed_trees_are_those_of_nodes(spark, monkeypatch):
+    monkeypatch.setattr(packed, "TOKENS_AT_ONCE", 500)
+    df = texts(spark)
+    want, got = by_text(graph.nodes(df)), {r["sample_id"]: r for r in packed.packed(df).collect()}
+    assert got.keys() == want.keys() and len(got) > 400
+    for k, rows in want.items():
+        assert got[k]["types"] == [r["type"] for r in rows] and got[k]["parents"] == [r["parent_id"] for r in rows], k
+
+
+def test_sums_by_type(spark):
+    df = texts(spark)
+    t = graph.nodes(df).join(df.select(F.col("ID").alias("sample_id"), "language"), "sample_id")
+    want = t.groupBy("language", "type").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("depth").alias("depth"), F.sum("child_count").alias("children"))
+    assert sorted(map(tuple, packed.type_sums(df).collect())) == sorted(map(tuple, want.collect()))
+    assert packed.type_sums(df.limit(0)).collect() == []
+
 
 def orders(spark, path, rows):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
@@ -23,3 +62,10 @@ def test_program_vectors_are_of_whole_programs(spark, tmp_path):
     assert tree.count() > 2 * 1000
     want = message_passing.graph_vectors(graph.assembled(graph.encoded(tree, graph.vocabulary(tree)), graph.edges(tree))).collect()
     assert all(np.allclose([got[r["sample_id"]][k] for k in range(32)], r["vector"], atol=1e-6) for r in want)
+
+
+def test_nodes_are_not_shuffled(spark, tmp_path):
+    """Nodes aren't sorted: programs are put together in the one shuffle of orders, and only sums follow."""
+    orders(spark, tmp_path, [(k, k % 5, "O", "1-URGENT") for k in range(50)])
+    plan = code_queries.code_tree_types(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange ") == 2
