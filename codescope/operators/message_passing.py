@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 EDGE_TYPES = 5
 #: Nodes that are worked on at once, more only where one graph has more.
 NODES_AT_ONCE = 1 << 15
+#: Neighbours of a node that are added in turn; those beyond are added as a segment.
+ONE_BY_ONE = 8
 
 
 def layers(dims: int, rounds: int, seed: int) -> list[dict]:
@@ -28,24 +30,41 @@ def embedded(types: np.ndarray, dims: int, seed: int) -> np.ndarray:
 
 
 def neighbours(edges: np.ndarray) -> list[tuple]:
-    """By edge type: src in order of dst, the dst that occur, where in src those of each begin, and how many they are."""
+    """By edge type: src in order of dst, the dst that occur, most frequent first, where in src those of each begin, and how many they are."""
     out = []
     for t in range(EDGE_TYPES):
         e = edges[edges[:, 0] == t]
         if len(e):
             e = e[np.argsort(e[:, 2], kind="stable")]
             begin = np.flatnonzero(np.diff(e[:, 2], prepend=-1))
-            out.append((t, e[:, 1], e[begin, 2], begin, np.diff(np.append(begin, len(e)))))
+            n = np.diff(np.append(begin, len(e)))
+            order = np.argsort(-n, kind="stable")
+            out.append((t, e[:, 1], e[begin[order], 2], begin[order], n[order]))
     return out
 
 
+def summed(h: np.ndarray, src: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of h over the n of src from each of begin on (n falls): one of each at a time, as nearly all have one or two, and long ones
+    by segments."""
+    total = h.take(src[begin], axis=0)
+    for k in range(1, min(int(n[0]), ONE_BY_ONE)):
+        m = np.searchsorted(-n, -k)
+        total[:m] += h.take(src[begin[:m] + k], axis=0)
+    if long := np.searchsorted(-n, -ONE_BY_ONE):
+        size = n[:long] - ONE_BY_ONE
+        first = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(begin[:long] + ONE_BY_ONE - first, size)
+        total[:long] += np.add.reduceat(h.take(src[at], axis=0), first)
+    return total
+
+
 def passed(h: np.ndarray, edges: np.ndarray, w: dict, kind: str, near: list[tuple] | None = None) -> np.ndarray:
     """One round: relu of a node's own part and of what comes in over its edges (edge_type, src, dst): by edge type the mean of the
     neighbours (gcn; near is neighbours(), the same in all rounds), or all weighted by attention (gat)."""
     out = h @ w["own"]
     if kind == "gcn":
         for t, src, dst, begin, n in neighbours(edges) if near is None else near:
-            out[dst] += np.add.reduceat(h[src], begin) / n[:, None] @ w["by"][t]
+            out[dst] += summed(h, src, begin, n) / n[:, None] @ w["by"][t]
     elif len(edges):
         kind_, src, dst = edges.T
         moved = np.einsum("ed,edk->ek", h[src], w["by"][kind_])
@@ -120,8 +139,7 @@ def graph_vectors(graphs: DataFrame, dims: int = 16, rounds: int = 3, kind: str
 
 
 def tree_edges(parent: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """graph.edges() of trees after each other, by places among all nodes, in order of type, src and dst. start is in order of node in
-    each tree where leaves are."""
+    """graph.edges() of trees after each other, by places among all nodes. start is in order of node in each tree where leaves are."""
     tree, node = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(parent))
     below = node[parent >= 0]
     up = parent[below]
@@ -133,8 +151,7 @@ def tree_edges(parent: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> np.n
     beside = np.flatnonzero(np.diff(tree[leaves]) == 0)
     c, d = leaves[beside], leaves[beside + 1]
     alone = (np.cumsum(sizes) - sizes)[sizes == 1]
-    every = np.concatenate([np.stack([np.full(len(x), t), x, y], axis=1) for t, x, y in ((0, up, below), (0, alone, alone), (1, below, up), (2, a, b), (2, b, a), (3, c, d), (3, d, c))])
-    return every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+    return np.concatenate([np.stack([np.full(len(x), t), x, y], axis=1) for t, x, y in ((0, up, below), (0, alone, alone), (1, below, up), (2, a, b), (2, b, a), (3, c, d), (3, d, c))])
 
 
 def tree_vectors(trees: DataFrame, vocab: DataFrame, dims: int = 16, rounds: int = 3, kind: str = "gcn", jump: bool = True, seed: int = 7) -> DataFrame:

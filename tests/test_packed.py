@@ -45,6 +45,17 @@ def test_sums_by_type(spark):
     assert packed.type_sums(df.limit(0)).collect() == []
 
 
+def test_vectors_of_packed_trees(spark, monkeypatch):
+    monkeypatch.setattr(message_passing, "NODES_AT_ONCE", 300)
+    df = texts(spark).where("ID NOT BETWEEN 1060 AND 1079")
+    tree = graph.nodes(df).cache()
+    vocab = graph.vocabulary(tree)
+    for kind in ("gcn", "gat"):
+        want = {r["sample_id"]: r["vector"] for r in message_passing.graph_vectors(graph.assembled(graph.encoded(tree, vocab), graph.edges(tree)), 6, 2, kind).collect()}
+        got = {r["sample_id"]: r["vector"] for r in message_passing.tree_vectors(packed.packed(df), vocab, 6, 2, kind).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def orders(spark, path, rows):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
 
@@ -65,7 +76,9 @@ def test_program_vectors_are_of_whole_programs(spark, tmp_path):
 
 
 def test_nodes_are_not_shuffled(spark, tmp_path):
-    """Nodes aren't sorted: programs are put together in the one shuffle of orders, and only sums follow."""
+    """Neither query sorts nodes: programs are put together in the one shuffle of orders, and only sums follow."""
     orders(spark, tmp_path, [(k, k % 5, "O", "1-URGENT") for k in range(50)])
     plan = code_queries.code_tree_types(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and plan.count("Exchange ") == 2
+    plan = model_queries.program_vectors(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange ") == 0
