@@ -264,3 +264,21 @@ def test_boosting_trains_on_distinct_rows(spark, monkeypatch):
     flat = lambda t: [y for x in t for y in flat(x)] if isinstance(t, list) else [t]
     assert flat(many["rounds"]) == pytest.approx(flat(once["rounds"]))
     assert [x.count() for x in seen] == [df.count()] * 2
+
+
+def test_own_perplexity_by_blocks(spark, monkeypatch):
+    """A block sends each of its pairs and contexts once, whatever the number of its texts; many blocks and parts give the fitted model's
+    perplexity, also for texts that are larger than a block."""
+    same = spark.range(500).select(F.col("id").alias("ID"), F.lit("a b a b a").alias("code")).coalesce(1)
+    held = vectors.token_blocks(same, "code", "ID").collect()
+    assert sum(r["n"] for r in held) == 2500 and all(len(vectors.unpacked_numbers(r["vocab"])) == 2 and len(vectors._keys(r["sizes"], r["vocab"], r["codes"], 7, None)[3]) == 6 for r in held)
+    monkeypatch.setattr(vectors, "AT_A_TIME", 60)
+    monkeypatch.setattr(vectors, "TOKENS_A_TASK", 100)
+    rng = random.Random(3)
+    texts = [None, "", "é", *(" ".join(rng.choice("a b c d ( ) x1 7 the".split()) for _ in range(rng.randint(1, 150))) for _ in range(60))]
+    df = spark.createDataFrame([(f"t{k}", x) for k, x in enumerate(texts)], "ID string, code string").repartition(3)
+    lm = vectors.fit_bigram_lm(df)
+    for want, got in ((vectors.perplexity(df, lm), vectors.own_perplexity(df)), (vectors.windowed_perplexity(df, vectors.bigram_losses(lm), length=16, stride=8), vectors.own_perplexity(df, length=16))):
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        want, got = ({r["ID"]: r["perplexity"] for r in x.collect()} for x in (want, got))
+        assert want.keys() == got.keys() and all(close(got[k], want[k]) for k in want)
