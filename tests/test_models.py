@@ -282,3 +282,19 @@ def test_own_perplexity_by_blocks(spark, monkeypatch):
         assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
         want, got = ({r["ID"]: r["perplexity"] for r in x.collect()} for x in (want, got))
         assert want.keys() == got.keys() and all(close(got[k], want[k]) for k in want)
+
+
+def test_importances_are_of_a_whole_model(spark, monkeypatch):
+    """The query asks for all rounds and the depth that boosting has by itself."""
+    import inspect
+
+    from codescope.plans import model_queries
+
+    asked, whole = [], inspect.signature(boosting.boosted)
+    monkeypatch.setattr(model_queries, "_flags", lambda spark, sf: None)
+    monkeypatch.setattr(model_queries, "materialised", lambda df, tag: None)
+    monkeypatch.setattr(model_queries, "rounded", lambda df: df)
+    monkeypatch.setattr(boosting, "boosted", lambda *a, **b: asked.append(whole.bind(*a, **b)))
+    monkeypatch.setattr(boosting, "permutation_importances", lambda *a, **b: None)
+    model_queries.flag_importances(spark, "")
+    assert all(asked[0].arguments.get(x, whole.parameters[x].default) == whole.parameters[x].default for x in ("rounds", "depth", "step"))
